@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, rules, simhash
+from . import decontaminate, licenses, pii, rules, shards, simhash
 from .common import documents
 
 
@@ -15,10 +15,24 @@ def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(documents(spark, sf_dir)))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no paths: a document's is its source, its language and its id."""
+    path = F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"))
+    return licenses.scan(documents(spark, sf_dir), path)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.scored(documents(spark, sf_dir))
 
 
+def op6_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard(documents(spark, sf_dir))
+
+
+def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
@@ -28,9 +42,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_pii_spans,
+        op4_license_scan,
         op5_quality_rules,
+        op6_balanced_shards,
+        op7_benchmark_leaks,
         op10_simhash_components,
     )
 }
 
-ORACLES: dict[str, str] = {"op5_quality_rules": rules.op5_sql()}
+ORACLES: dict[str, str] = {"op4_license_scan": licenses.op4_sql(), "op5_quality_rules": rules.op5_sql(), "op7_benchmark_leaks": decontaminate.op7_sql()}
