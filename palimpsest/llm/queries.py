@@ -7,14 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, pii, rules, shards, simhash
-from .common import documents
+from . import chat, decontaminate, licenses, order, pieces, pii, quality, rules, shards, simhash
+from .common import documents, tuned
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pieces.encoded(documents(spark, sf_dir))
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256)
+    return done.select("doc_id", "n_tokens", "n_byte_tokens", digest.alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "parity")
 
 
 def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(documents(spark, sf_dir)))
 
 
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.ordered(documents(spark, sf_dir)).drop("ids")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table has no paths: a document's is its source, its language and its id."""
     path = F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"))
@@ -33,6 +43,19 @@ def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classified(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark)
+    log = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", F.col("turn").alias("seq"), "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id bigint, seq bigint, role string, text string")
+    events = log.unionByName(extra).withColumn("event", F.lit("message")).withColumn("message_id", F.lit(None).cast("string"))
+    return chat.formatted(events)
+
+
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
@@ -41,11 +64,15 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_sentencepiece,
         op2_pii_spans,
+        op3_training_order,
         op4_license_scan,
         op5_quality_rules,
         op6_balanced_shards,
         op7_benchmark_leaks,
+        op8_quality_classifier,
+        op9_chat_format,
         op10_simhash_components,
     )
 }
