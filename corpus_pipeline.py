@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import pii, rules, simhash
+from palimpsest.llm import decontaminate, pieces, pii, rules, simhash
 from palimpsest.llm.common import documents, materialise, tuned
 
 
@@ -24,16 +24,30 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.first_of_each(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    tuned(spark)
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Identifiers become placeholders."""
     tuned(spark)
     return pii.redacted(docs)
 
 
+def subwords(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Subword ids; the text that they decode to stays beside them."""
+    tuned(spark)
+    return pieces.encoded(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_rules),
     ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
     ("personal_data", personal_data),
+    ("subwords", subwords),
 ]
 
 #: Fingerprints, disguises and subword units have no SQL form; tests hold each stage to brute force.
