@@ -437,14 +437,14 @@ def color_class(spark, sf_dir):
     return matched(spark, sf_dir).select("src_id", "doc_id", "src_line", R.colour(F.col("rate")).alias("shown"), R.colour(F.col("rate"), True).alias("written"))
 
 
-@query(f"{_M} SELECT l.doc_id, l.line_no, src_id, rate, {_COLOUR.format(r='coalesce(rate, 0)', mid='Yellow')} AS colour FROM {_DOC} l LEFT JOIN matches m ON m.doc_id = l.doc_id AND m.tgt_line = l.line_no")
+@query(f"{_M} SELECT l.doc_id, l.line_no, coalesce(src_id, -1) AS src_id, coalesce(rate, 0.0) AS rate, {_COLOUR.format(r='coalesce(rate, 0)', mid='Yellow')} AS colour FROM {_DOC} l LEFT JOIN matches m ON m.doc_id = l.doc_id AND m.tgt_line = l.line_no")
 def annotated_lines(spark, sf_dir):
-    return R.annotated(doc_lines_of(spark, sf_dir), matched(spark, sf_dir))
+    return R.annotated(doc_lines_of(spark, sf_dir), matched(spark, sf_dir)).fillna({"src_id": -1, "rate": 0.0})
 
 
-@query(f"{_M} SELECT l.src_id, l.line_no, doc_id, rate, {_COLOUR.format(r='coalesce(rate, 0)', mid='Yellow')} AS colour FROM {_SRC} l LEFT JOIN matches m ON m.src_id = l.src_id AND m.src_line = l.line_no")
+@query(f"{_M} SELECT l.src_id, l.line_no, coalesce(doc_id, -1) AS doc_id, coalesce(rate, 0.0) AS rate, {_COLOUR.format(r='coalesce(rate, 0)', mid='Yellow')} AS colour FROM {_SRC} l LEFT JOIN matches m ON m.src_id = l.src_id AND m.src_line = l.line_no")
 def annotated_sources(spark, sf_dir):
-    return R.annotated(L.explode(bench(spark, sf_dir), "src_id", L.sentences(F.col("text"))), matched(spark, sf_dir), "src")
+    return R.annotated(L.explode(bench(spark, sf_dir), "src_id", L.sentences(F.col("text"))), matched(spark, sf_dir), "src").fillna({"doc_id": -1, "rate": 0.0})
 
 
 @query(f"""{_M}, j AS (SELECT m.*, {N.trim_separator_sql('s.text')} AS a, {N.trim_separator_sql('t.text')} AS b, length(s.text) AS size FROM matches m JOIN {_SRC} s ON s.src_id = m.src_id AND s.line_no = src_line JOIN {_DOC} t ON t.doc_id = m.doc_id AND t.line_no = tgt_line),
