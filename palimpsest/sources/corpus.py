@@ -23,14 +23,14 @@ def scan(spark: SparkSession, folder: str, sidecar: str = ".index") -> DataFrame
 
 def sidecar_texts(spark: SparkSession, folder: str, sidecar: str = ".index") -> DataFrame:
     """Text sidecars below ``folder``: ``(path, text)``."""
-    files = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(folder)
+    files = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True)
     files = files.select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     return files.filter(F.contains("path", F.lit(f"/{sidecar}/")) & F.col("path").endswith(".txt"))
 
 
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Plain texts, a row a file: ``(doc_id, path, text)`` with an id that hangs on the path alone."""
-    files = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(folder)
+    files = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True)
     files = files.select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     return files.filter(F.lower("path").endswith(".txt")).select(F.xxhash64("path").alias("doc_id"), "path", "text")
 
