@@ -106,6 +106,18 @@ def plain_line_sql(expr: str) -> str:
     return sql(widths_sql(sql(f"coalesce({expr}, '')", PLAIN_FIRST)), PLAIN_LAST)
 
 
+CONVERTER_FIRST: Rules = CONTROLS + [(r"[\x{A0}\x{C2A0}]", " ")] + QUOTES + FIGURE + COLLAPSE
+
+
+def converter_lines(c: Column) -> Column:
+    """The variant used when a document is written: no breaks inside a sentence; gives an array of lines."""
+    return F.split(apply(widths(apply(F.coalesce(c, F.lit("")), CONVERTER_FIRST)), PLAIN_LAST), "\n")
+
+
+def converter_lines_sql(expr: str) -> str:
+    return f"string_split({sql(widths_sql(sql(f'coalesce({expr}, {chr(39) * 2})', CONVERTER_FIRST)), PLAIN_LAST)}, chr(10))"
+
+
 def short_line(c: Column) -> Column:
     """Quotes, blanks and widths only; line structure is left alone."""
     return widths(apply(F.coalesce(c, F.lit("")), SPACES + QUOTES))

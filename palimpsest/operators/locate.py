@@ -132,3 +132,52 @@ def located(patterns: DataFrame, texts: DataFrame) -> DataFrame:
     """``patterns(doc_id, pattern_no, line, rate)`` in ``texts(doc_id, text)`` -> spans and whether any was found."""
     found = patterns.join(texts, "doc_id").withColumn("search", prepared(F.col("line"))).withColumn("spans", spans_arrow("search", "text"))
     return found.select("doc_id", "pattern_no", "rate", "spans", F.when(F.col("search").isNull(), "skipped").when(F.size("spans") > 0, "found").otherwise("not found").alias("status"))
+
+
+#: So many leading characters of a piece are looked for when places are found in order.
+HEAD = 120
+
+
+def forward_paragraphs(pieces: list[str], paragraphs: list[str]) -> list[int]:
+    """For each piece in turn, the first paragraph at or after the cursor that holds its head (-1 before
+    any is found; a piece that is not found stays where the last one was). A piece that ends in a full
+    stop moves the cursor behind its paragraph."""
+    out, place, cursor = [], -1, 0
+    for piece in pieces:
+        head = piece.strip()[:HEAD]
+        hit = next((i for i in range(cursor, len(paragraphs)) if head in paragraphs[i]), None) if head else None
+        if hit is not None:
+            place = hit
+            if piece.rstrip().endswith("."):
+                cursor = hit + 1
+        out.append(place)
+    return out
+
+
+def forward_lines(pieces: list[str], lines: list[str]) -> list[int]:
+    """For each piece in turn, the line that holds its head behind the last hit (-1: none). A hit that
+    reaches the end of a line moves on to the next."""
+    out, line, at = [], 0, 0
+    for piece in pieces:
+        head = piece.strip().strip(".")[:HEAD]
+        hit, k, start = -1, line, at
+        while head and k < len(lines):
+            text = lines[k].strip().strip(".")
+            found = text.find(head, min(start, max(0, len(text) - 1)))
+            if text and found >= 0:
+                hit, end = k, found + len(piece)
+                line, at = (k + 1, 0) if end >= len(text) else (k, end)
+                break
+            k, start = k + 1, 0
+        out.append(hit)
+    return out
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def forward_paragraphs_arrow(pieces: pd.Series, paragraphs: pd.Series) -> pd.Series:
+    return pd.Series([forward_paragraphs(list(a), list(b)) for a, b in zip(pieces, paragraphs)])
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def forward_lines_arrow(pieces: pd.Series, lines: pd.Series) -> pd.Series:
+    return pd.Series([forward_lines(list(a), list(b)) for a, b in zip(pieces, lines)])

@@ -163,6 +163,12 @@ def norm_line(spark, sf_dir):
     return doc_lines_of(spark, sf_dir).select("doc_id", "line_no", N.line(F.col("text")).alias("text"))
 
 
+@query(f"SELECT src_id, line_no, array_to_string({N.converter_lines_sql(_MARKED_SQL)}, '|') AS text FROM {_SRC}")
+def norm_converter(spark, sf_dir):
+    lines = L.explode(bench(spark, sf_dir), "src_id", L.sentences(F.col("text")))
+    return lines.select("src_id", "line_no", F.array_join(N.converter_lines(_marked("text")), "|").alias("text"))
+
+
 @query(f"SELECT doc_id, {N.strip_all_sql(_spiced_sql('text'))} AS text FROM documents")
 def strip_symbols(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", N.strip_all(_spiced("text")).alias("text"))
@@ -552,6 +558,18 @@ def span_runs(spark, sf_dir):
     return P.runs_of(parts, runs, "doc_id")
 
 
+@query()
+def forward_places(spark, sf_dir):
+    """Sentences of every document found again in its lines, in order: by paragraph and by line."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", L.sentences(F.col("text")).alias("s"), L.rows(F.col("text")).alias("r"))
+    return docs.select("doc_id", P.forward_paragraphs_arrow("s", "r").alias("paragraphs"), P.forward_lines_arrow("s", "r").alias("lines"))
+
+
+@query("SELECT max(n) AS longest FROM (" + ORACLES["numeric_runs"].replace("SELECT conv_id, min(line_no) AS first_line, count(*) AS n_lines, sum(len(string_split(t, ' ')))::BIGINT AS n_pieces", "SELECT sum(len(string_split(t, ' ')))::BIGINT AS n") + ")")
+def longest_numeric_run(spark, sf_dir):
+    return numeric_runs(spark, sf_dir).agg(F.max("n_pieces").alias("longest"))
+
+
 # ---- control ------------------------------------------------------------------------------
 
 

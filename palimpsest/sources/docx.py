@@ -148,12 +148,13 @@ def highlighted(content: bytes, marks: dict[int, str]) -> bytes:
     with zipfile.ZipFile(io.BytesIO(content)) as z, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as to:
         for item in z.infolist():
             data = z.read(item.filename)
-            if item.filename == "word/document.xml":
+            if item.filename == "word/document.xml" or item.filename.startswith(("word/header", "word/footer")):
                 root = ET.fromstring(data)
                 for props in root.iter(W + "rPr"):
                     for old in [*props.findall(W + "shd"), *props.findall(W + "highlight")]:
                         props.remove(old)
-                for k, p in enumerate(root.find(W + "body").iter(W + "p")):
+                body = root.find(W + "body")
+                for k, p in enumerate(body.iter(W + "p") if body is not None else ()):
                     if k in marks:
                         for r in p.iter(W + "r"):
                             props = r.find(W + "rPr")
