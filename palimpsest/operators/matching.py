@@ -1,7 +1,7 @@
 """Line matching: pruned similarity join, first-fit assignment, document ranking.
 
-The reference semantics compare every source line with every target line. Here a pair is scored
-only if it can qualify. At threshold t a source line of n pieces must share at least ceil(t * n)
+Plainly, every source line is compared with every target line. Here a pair is scored only if it
+can qualify. At threshold t a source line of n pieces must share at least ceil(t * n)
 of them (as a multiset) with its partner, so the partner holds one of any n - ceil(t * n) + 1
 numbered pieces of the source line; the rarest ones are taken. That turns the theta join into an
 equi-join on pieces that probes the large side once, without moving it: only source prefixes
@@ -81,7 +81,9 @@ def candidates(src: DataFrame, tgt: DataFrame, params: SearchParams) -> DataFram
 
 
 def _checked(df: DataFrame) -> DataFrame:
-    """Broadcast after counting; a large side is left to a shuffled join."""
+    """Broadcast after counting; a large side is left to a shuffled join. The counted rows are kept, as the
+    join would make them again."""
+    df = df.persist()
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
