@@ -2,9 +2,9 @@
 
 The model's protobuf is read here, without a protobuf library. From it come the normaliser, the
 metaspace marker, the scores (of a unigram model, or as merge ranks of a BPE model) and byte
-fallback. Texts are encoded in batches, on several threads, and every text's ids are held
-against the sentencepiece library's own; where the two ever differ, its ids stand and the row
-says so.
+fallback. Texts are encoded in batches, on several threads. Where the vocabulary lets a text fall
+apart at its blanks, each word is encoded once in a lot. Both libraries encode every word (or
+else every text), and where they ever differ, sentencepiece's ids stand and the row says so.
 """
 
 from __future__ import annotations
@@ -118,7 +118,7 @@ def build(m: Model):
         for p, score in usable:
             merges += [(-score, vocab[p], p[:i], p[i:]) for i in range(1, len(p)) if p[:i] in known and p[i:] in known]
         merges.sort()
-        model = models.BPE(vocab=vocab, merges=[(a, b) for _, _, a, b in merges], unk_token=m.pieces[m.unk_id][0], fuse_unk=True, byte_fallback=m.byte_fallback)
+        model = models.BPE(vocab=vocab, merges=[(a, b) for _, _, a, b in merges], unk_token=m.pieces[m.unk_id][0], fuse_unk=True, byte_fallback=m.byte_fallback, cache_capacity=0)
     else:
         raise ValueError("only unigram and BPE models are supported")
     t = Tokenizer(model)
@@ -143,43 +143,70 @@ class Codec:
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         import sentencepiece
+        from tokenizers import pre_tokenizers
 
         self.model, self.threads = parse(data), threads
         self.fast = build(self.model)
-        self.raw = type(self.fast)(self.fast.model)  # for text that is normalised already
+        self.raw, self.plain = type(self.fast)(self.fast.model), type(self.fast)(self.fast.model)  # for words that are normalised already
         self.check = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.bytes = {i for i, (_, _, k) in enumerate(self.model.pieces) if k == BYTE}
+        self.is_byte = np.array([k == BYTE for _, _, k in self.model.pieces])
         # Where no piece has a mark after another character, a text falls apart before every run of marks.
         self.apart = self.model.escape and not any(MARK in p.lstrip(MARK) for p, _, k in self.model.pieces if k in (NORMAL, USER))
         self.table = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in self.model.pieces]
-        self.known: dict[str, list[int]] = {}
-
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        """By the tokenizers library alone. Words are encoded once in a lot."""
+        # The check library must not rewrite anything else, or a word's marks would not come through.
+        self.apart = self.apart and self.model.dummy_prefix and not self.model.squeeze and not self.model.charsmap
+        zero = [i for i, (p, _, k) in enumerate(self.model.pieces) if k == BYTE and p == "<0x00>"]
+        self.apart = self.apart and bool(zero) and not any("\0" in p for p, _, _ in self.model.pieces)
+        self.zero = zero[0] if zero else -1
+        self.raw.pre_tokenizer = pre_tokenizers.Split("\0", "isolated")
+        self.known: dict[str, bytes] = {}
+        self.odd: set[str] = set()
+
+    def learn(self, words: list[str]) -> None:
+        """Encode new words by both libraries, many in one text. In ours the byte piece of a zero stands
+        between them; theirs sees them strung together, as in any text. Where the results differ, or a
+        word holds a zero itself, words are taken one by one, and those that differ are remembered."""
+        for at in range(0, len(words), 1024):
+            lot = words[at : at + 1024]
+            text = "".join(lot)
+            if "\0" not in text:
+                mine = np.array(self.raw.encode_batch_fast(["\0".join(lot)], add_special_tokens=False)[0].ids, np.int32)
+                cuts = np.flatnonzero(mine == self.zero)
+                theirs = np.array(self.check.encode(text[1:].replace(MARK, " ")), np.int32)
+                if len(cuts) == len(lot) - 1 and np.array_equal(np.delete(mine, cuts), theirs):
+                    starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(mine)]
+                    data = mine.tobytes()
+                    self.known.update((w, data[4 * i : 4 * j]) for w, i, j in zip(lot, starts, ends))
+                    continue
+            for w in lot:
+                mine = [i for part in self.plain.encode_batch([w], add_special_tokens=False) for i in part.ids]
+                theirs = self.check.encode(w[1:].replace(MARK, " "))
+                self.known[w] = np.array(theirs, np.int32).tobytes()
+                if mine != theirs:
+                    self.odd.add(w)
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        """Ids of each text, and whether both libraries agree on them."""
         if not self.apart:
-            return [e.ids for e in self.fast.encode_batch(texts, add_special_tokens=False)]
-        split = [_CHUNK.findall(self.fast.normalizer.normalize_str(t)) for t in texts]
+            mine = [e.ids for e in self.fast.encode_batch(texts, add_special_tokens=False)]
+            theirs = self.check.encode(texts, num_threads=self.threads)
+            return [np.array(x, np.int32) for x in theirs], [a == b for a, b in zip(mine, theirs)]
+        # With no other rewriting left, the normaliser is a leading blank and the marks.
+        split = [_CHUNK.findall((" " + t).replace(" ", MARK)) if t else [] for t in texts]
         if len(self.known) > KNOWN:
-            self.known = {}
-        known = self.known
-        new = list({c for chunks in split for c in chunks if c not in known})
-        known.update(zip(new, (e.ids for e in self.raw.encode_batch_fast(new, add_special_tokens=False))))
-        return [list(chain.from_iterable(map(known.__getitem__, chunks))) for chunks in split]
-
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
-        """Ids of each text, and whether both libraries agree on them."""
-        mine = self.ids(texts)
-        theirs = self.check.encode(texts, num_threads=self.threads)
-        same = [a == b for a, b in zip(mine, theirs)]
-        return [a if ok else b for a, b, ok in zip(mine, theirs, same)], same
+            self.known, self.odd = {}, set()
+        known, odd = self.known, self.odd
+        self.learn(list(set().union(*split).difference(known)))
+        ids = [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in split]
+        return ids, [not odd or odd.isdisjoint(words) for words in split]
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
         """By the tokenizers library."""
-        return self.fast.decode_batch(ids, skip_special_tokens=False)
+        return self.fast.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
 
-    def spell(self, ids: list[int]) -> str:
+    def spell(self, ids: np.ndarray) -> str:
         """The same from the piece table, for ids that ``encode`` made: marks are blanks, byte pieces bytes."""
-        text = b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace")
+        text = b"".join(map(self.table.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
 
 
@@ -235,9 +262,9 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
                 back += map(c.spell, got)
             counts = [len(x) for x in ids]
             offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
-            flat = pa.array(np.concatenate([np.asarray(x, np.int32) for x in ids]) if ids else np.zeros(0, np.int32))
+            flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.ListArray.from_arrays(offsets, flat), pa.array(counts, pa.int64()), pa.array([sum(i in c.bytes for i in set(x)) and sum(i in c.bytes for i in x) for x in ids], pa.int64()), pa.array(back, pa.string()), pa.array(same, pa.bool_())],
+                [b.column(0), pa.ListArray.from_arrays(offsets, flat), pa.array(counts, pa.int64()), pa.array([int(c.is_byte[x].sum()) for x in ids], pa.int64()), pa.array(back, pa.string()), pa.array(same, pa.bool_())],
                 names=["doc_id", "ids", "n_tokens", "n_byte_tokens", "decoded", "parity"],
             )
 
