@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 THRESHOLD = 0.7
+#: Template words that a unit must have, if the template has so many: "mit" alone is German, not a licence.
+HITS = 2
 
 #: Licence names as notices write them.
 NAMES = {
@@ -60,6 +62,10 @@ _FILES = {
 STOP = ("a", "an", "and", "any", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "new", "of", "on", "or", "that", "the", "this", "to", "under", "was", "with", "without", "you", "can")
 
 
+#: Template words that are everyday words elsewhere.
+FOREIGN = ("mit",)
+
+
 def templates() -> list[tuple[str, str]]:
     out = []
     for lic, names in NAMES.items():
@@ -72,8 +78,8 @@ def tokens_of(text: str) -> list[str]:
     return [w for w in re.findall("[a-z0-9]+", text.lower()) if w not in STOP]
 
 
-def model(rows: list[tuple[str, str]]) -> tuple[list[tuple[int, str, str, float]], dict[str, float], float, list[str]]:
-    """Template vectors of unit length (template, licence, token, weight), idf, idf of unknown tokens, anchors."""
+def model(rows: list[tuple[str, str]]) -> tuple[list[tuple[int, str, str, float, int]], dict[str, float], float, list[str]]:
+    """Template vectors of unit length (template, licence, token, weight, tokens needed), idf, idf of unknown tokens, anchors."""
     counts = [Counter(tokens_of(t)) for _, t in rows]
     df = Counter(w for c in counts for w in c)
     idf = {w: 1 + math.log((1 + len(rows)) / (1 + n)) for w, n in df.items()}
@@ -83,11 +89,13 @@ def model(rows: list[tuple[str, str]]) -> tuple[list[tuple[int, str, str, float]
         raw = {w: n * idf[w] for w, n in c.items()}
         norm = math.sqrt(sum(x * x for x in raw.values()))
         unit = {w: x / norm for w, x in raw.items()}
-        vectors += [(k, rows[k][0], w, x) for w, x in sorted(unit.items())]
+        need = min(HITS, len(unit))
+        vectors += [(k, rows[k][0], w, x, need) for w, x in sorted(unit.items())]
         rest = sum(x * x for w, x in unit.items() if w not in anchors)
-        # Words that say "licence" first, then the heaviest; stop once the rest is too light.
-        for w in sorted(unit, key=lambda w: (not re.match("licen|spdx|copyright|creative|unlicense", w), -unit[w], w)):
-            if math.sqrt(max(0.0, rest)) < THRESHOLD - 1e-9:
+        # Words that say "licence" first, then the heaviest, a common word of another language last; stop
+        # once the rest is too light or has too few words.
+        for w in sorted(unit, key=lambda w: (w in FOREIGN, not re.match("licen|spdx|copyright|creative|unlicense", w), -unit[w], w)):
+            if math.sqrt(max(0.0, rest)) < THRESHOLD - 1e-9 or sum(t not in anchors for t in unit) < need:
                 break
             if w not in anchors:
                 anchors.add(w)
@@ -102,12 +110,12 @@ def _tokens(text: Column) -> Column:
 def _best(units: DataFrame, spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
     """``units(rid, whole, unit, text)`` -> best template of each row's lines and of its whole text."""
     vectors, idf, unknown, _ = model(rows)
-    weights = F.broadcast(spark.createDataFrame(vectors, "template int, license string, token string, weight double"))  # fixed size
+    weights = F.broadcast(spark.createDataFrame(vectors, "template int, license string, token string, weight double, need int"))  # fixed size
     idfs = F.broadcast(spark.createDataFrame(sorted(idf.items()), "token string, idf double"))  # fixed size
     terms = units.select("rid", "whole", "unit", F.explode(_tokens(F.col("text"))).alias("token")).filter(~F.col("token").isin(*STOP)).groupBy("rid", "whole", "unit", "token").agg(F.count("*").alias("n"))
     heavy = terms.join(idfs, "token", "left").select("rid", "whole", "unit", "token", (F.col("n") * F.coalesce("idf", F.lit(unknown))).alias("w"))
     norms = heavy.groupBy("rid", "whole", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = heavy.join(weights, "token").groupBy("rid", "whole", "unit", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    dots = heavy.join(weights, "token").groupBy("rid", "whole", "unit", "template", "license", "need").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"), F.count("*").alias("hits")).filter("hits >= need")
     scored = dots.join(norms, ["rid", "whole", "unit"]).select("rid", "whole", "license", F.round(F.col("dot") / F.col("norm"), 4).alias("score")).filter(F.col("score") >= THRESHOLD)
     pick = F.max(F.struct(F.col("score"), F.col("license"))).alias("best")
     return scored.groupBy("rid", "whole").agg(pick).select("rid", "whole", F.col("best.score").alias("score"), F.col("best.license").alias("license"))
@@ -168,17 +176,17 @@ def op4_sql() -> str:
     """DuckDB: all lines and whole texts against all templates, without anchors."""
     vectors, idf, unknown, _ = model(templates())
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    vec = ",".join(f"({k},{quote(lic)},{quote(w)},{x!r}::DOUBLE)" for k, lic, w, x in vectors)
+    vec = ",".join(f"({k},{quote(lic)},{quote(w)},{x!r}::DOUBLE,{need})" for k, lic, w, x, need in vectors)
     idfs = ",".join(f"({quote(w)},{x!r}::DOUBLE)" for w, x in sorted(idf.items()))
     return f"""
-WITH v(template, license, token, weight) AS (VALUES {vec}), i(token, idf) AS (VALUES {idfs}),
+WITH v(template, license, token, weight, need) AS (VALUES {vec}), i(token, idf) AS (VALUES {idfs}),
 d AS (SELECT doc_id, concat(source, '/', lang, '/', doc_id) AS path, concat(source, '/', lang) AS dir, coalesce(text, '') AS text FROM documents),
 l AS (SELECT doc_id, false AS whole, unnest(range(len(string_split(text, chr(10))))) AS unit, unnest(string_split(text, chr(10))) AS text FROM d
   UNION ALL SELECT doc_id, true, 0, text FROM d),
 t AS (SELECT doc_id, whole, unit, token, count(*) AS n FROM (SELECT doc_id, whole, unit, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM l) WHERE token NOT IN ({", ".join(map(quote, STOP))}) GROUP BY ALL),
 h AS (SELECT t.*, n * coalesce(idf, {unknown!r}::DOUBLE) AS w FROM t LEFT JOIN i USING (token)),
 n AS (SELECT doc_id, whole, unit, sqrt(sum(w * w)) AS norm FROM h GROUP BY ALL),
-p AS (SELECT doc_id, whole, unit, template, license, sum(w * weight) AS dot FROM h JOIN v USING (token) GROUP BY ALL),
+p AS (SELECT doc_id, whole, unit, template, license, sum(w * weight) AS dot FROM h JOIN v USING (token) GROUP BY doc_id, whole, unit, template, license, need HAVING count(*) >= need),
 s AS (SELECT doc_id, whole, license, round(dot / norm, 4) AS score FROM p JOIN n USING (doc_id, whole, unit) WHERE round(dot / norm, 4) >= {THRESHOLD}),
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY whole DESC, score DESC, license DESC) = 1),
 f AS (SELECT d.doc_id, path, dir, license, score, CASE WHEN whole THEN 'file' WHEN license IS NOT NULL THEN 'header' END AS origin FROM d LEFT JOIN b USING (doc_id)),
