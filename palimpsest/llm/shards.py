@@ -1,8 +1,8 @@
 """Sharding by balanced label propagation.
 
 Documents with equal texts are linked. Labels (shards) start at random by row. In each round,
-joins tell every group which shard with room holds most of it, and its other members move
-there as far as the shard's quota of bytes goes, so fewer links are cut. State is held per
+joins tell every group which shards with room hold most of it, and its other members move
+there as far as the shards' quotas of bytes go, so fewer links are cut. State is held per
 (group, shard), at most one row for each shard however large a group is, and rows of one group
 all have the same size. When no move is left, unlinked documents even out the sizes: the few
 that are large against a shard go, largest first, to the emptiest; the rest are laid along a
@@ -25,6 +25,8 @@ ROUNDS = 6
 LARGE = 0.004
 #: Rows for each bucket of the running sums; groups above it are cut within a shard's order.
 BUCKET_ROWS = 20_000
+#: Least number of buckets, so that small tables are spread as well.
+BUCKETS = 640
 
 
 def _unit(*cols: str) -> Column:
@@ -46,27 +48,33 @@ def _floats(values: list[float]) -> Column:
 def propagate(state: DataFrame, quota: float, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """``state(g, shard, bytes)``: how much of each group a shard holds -> the same after propagation.
 
-    A shard whose room is under a hundredth of its quota takes nobody. Incoming moves beyond the room
-    are scaled down alike, so quotas hold in every round."""
+    A group's core is the fewest of its shards, most of it first, that have room for all of it: one for
+    any group but the largest. Members elsewhere move to the core, by its shards' room. A shard whose
+    room is under a hundredth of its quota takes nobody, and incoming moves beyond the room are scaled
+    down alike, so quotas hold in every round."""
+    order = W.partitionBy("g").orderBy(F.desc("bytes"), F.xxhash64("g", "shard"), "shard")  # at most one row a shard
+    group = W.partitionBy("g")
     for _ in range(rounds):
         room = [max(0.0, quota - x) for x in _loads(state, shards)]
-        free = [r if r > quota / 100 else 0.0 for r in room]
-        at = state.withColumn("free", F.element_at(_floats(free), F.col("shard") + 1))
-        best = at.filter("free > 0").groupBy("g").agg(F.max_by("shard", F.struct("bytes", F.xxhash64("g", "shard"))).alias("to"))
-        moves = materialise(at.join(best, "g", "left").select("g", "shard", "bytes", F.coalesce("to", "shard").alias("to")), "moves")
+        free = F.element_at(_floats([r if r > quota / 100 else 0.0 for r in room]), F.col("shard") + 1)
+        at = state.withColumn("free", free).withColumn("total", F.sum("bytes").over(group))
+        before = F.coalesce(F.sum(F.col("free") + F.col("bytes")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+        at = materialise(at.withColumn("core", before < F.col("total")), "labels")
+        sinks = at.filter("core and free > 0").select("g", F.col("shard").alias("to"), (F.col("free") / F.sum("free").over(group)).alias("pull"))
+        moves = materialise(at.filter("not core").join(sinks, "g").select("g", "shard", "to", "pull", (F.col("bytes") * F.col("pull")).alias("bytes")), "moves")
         asked = [0.0] * shards
-        for r in moves.filter("to <> shard").groupBy("to").agg(F.sum("bytes").alias("b")).collect():
+        for r in moves.groupBy("to").agg(F.sum("bytes").alias("b")).collect():  # at most one row a shard
             asked[r["to"]] = float(r["b"])
         if not any(asked):
             break
-        share = [min(1.0, free[s] / asked[s]) if asked[s] else 0.0 for s in range(shards)]
-        part = F.when(F.col("to") == F.col("shard"), 0.0).otherwise(F.element_at(_floats(share), F.col("to") + 1))
-        # A move that fits whole stays whole: a group is cut only where the quota cuts it.
-        whole = F.when(F.col("bytes") > quota / 100, part).otherwise((_unit("g", "shard") < part).cast("double"))
-        moved = moves.withColumn("part", whole)
-        stay = moved.select("g", "shard", (F.col("bytes") * (1 - F.col("part"))).alias("bytes"))
-        go = moved.select("g", F.col("to").alias("shard"), (F.col("bytes") * F.col("part")).alias("bytes"))
-        state = materialise(stay.unionByName(go).filter("bytes > 0").groupBy("g", "shard").agg(F.sum("bytes").alias("bytes")), "state")
+        share = F.element_at(_floats([min(1.0, room[s] / asked[s]) if asked[s] else 0.0 for s in range(shards)]), F.col("to") + 1)
+        # A small move goes whole or not at all: a group is cut only where a quota cuts it.
+        part = F.when((F.col("bytes") > quota / 100) | (F.col("pull") < 1), share).otherwise((_unit("g", "shard", "to") < share).cast("double"))
+        gone = moves.select("g", "shard", "to", (F.col("bytes") * part).alias("bytes")).filter("bytes > 0")
+        left = gone.select("g", "shard", (-F.col("bytes")).alias("bytes"))
+        came = gone.select("g", F.col("to").alias("shard"), "bytes")
+        state = at.select("g", "shard", "bytes").unionByName(left).unionByName(came).groupBy("g", "shard").agg(F.sum("bytes").alias("bytes"))
+        state = materialise(state.filter("bytes > 0.5"), "state")
     return state
 
 
@@ -85,7 +93,7 @@ def _fill(loads: list[float], amount: float) -> list[float]:
 
 def _running(df: DataFrame, rows: int, value: Column, order: list) -> DataFrame:
     """``before``: the sum of ``value`` over all earlier rows, by hashed buckets of bounded size."""
-    buckets = max(1, -(-rows // BUCKET_ROWS))
+    buckets = max(BUCKETS, -(-rows // BUCKET_ROWS))
     df = df.withColumn("bucket", F.pmod(F.xxhash64("rid"), F.lit(buckets)).cast("int")).withColumn("value", value)
     sums = materialise(df.groupBy("bucket").agg(F.sum("value").alias("sum")), "sums")
     # One row for each bucket: a 1/BUCKET_ROWS share of the rows.
@@ -115,8 +123,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     sums = W.partitionBy("g").orderBy("shard")
     cut = state.select("g", "shard", (F.sum("bytes").over(sums) / F.sum("bytes").over(W.partitionBy("g"))).alias("upto"))
     cuts = cut.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("cuts"))  # at most one a shard
-    u = _unit("rid")
-    placed = linked.join(cuts, "g").select("doc_id", "size", "text_crc32", "g", "rid", "n", F.coalesce(F.get(F.filter("cuts", lambda c: c["upto"] > u), F.lit(0))["shard"], F.element_at("cuts", -1)["shard"]).alias("shard"))
+    place = lambda at: F.coalesce(F.get(F.filter("cuts", lambda c: c["upto"] > at), F.lit(0))["shard"], F.element_at("cuts", -1)["shard"])
+    columns = ["doc_id", "size", "text_crc32", "g", "rid", "n"]
+    homed = materialise(linked.join(cuts, "g").select(*columns, "cuts"), "homed")
+    whole = homed.filter(F.size("cuts") == 1).select(*columns, place(F.lit(0.0)).alias("shard"))
+    split = numbered(homed.filter(F.size("cuts") > 1)).select(*columns, place((F.col("place") + 0.5) / F.col("n")).alias("shard"))
+    placed = whole.unionByName(split)
     placed = materialise(placed, "placed")
     loads = _loads(placed.withColumnRenamed("size", "bytes"), shards)
 
@@ -143,9 +155,20 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     return slots(materialise(placed.unionByName(big).unionByName(spread), "sharded"), n)
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``place``: each row's number in its group, from counted buckets of bounded size."""
+    buckets = F.ceil(F.col("n") / BUCKET_ROWS)
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("rid"), buckets))
+    counts = rows.groupBy("g", "bucket").agg(F.count("*").alias("count"))
+    before = W.partitionBy("g").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
+    starts = counts.select("g", "bucket", (F.sum("count").over(before) - F.col("count")).alias("start"))
+    inner = F.row_number().over(W.partitionBy("g", "bucket").orderBy("rid")) - 1
+    return rows.withColumn("inner", inner).join(starts, ["g", "bucket"]).withColumn("place", F.col("inner") + F.col("start"))
+
+
 def slots(rows: DataFrame, n: int) -> DataFrame:
     """Gapless places in each shard: sub-buckets are counted, then numbered by themselves."""
-    subs = max(1, -(-n // (SHARDS * BUCKET_ROWS)))
+    subs = max(BUCKETS // SHARDS, -(-n // (SHARDS * BUCKET_ROWS)))
     hot = F.col("n") > BUCKET_ROWS
     key = ["shard", "a", "b", "c"]
     rows = rows.select(
