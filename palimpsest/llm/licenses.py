@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -56,6 +57,25 @@ _FILES = {
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
 }
+#: The standard headers of source files, each as one line.
+_HEADERS = [
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    (
+        "Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 '
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. '
+        "See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+]
+_GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version. "
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} License for more details. "
+    "You should have received a copy of the GNU {0} License along with this program. If not, see <https://www.gnu.org/licenses/>."
+)
+_HEADERS += [(lic, _GNU.format(name, version)) for lic, name, version in (("AGPL-3.0", "Affero General Public", 3), ("GPL-2.0", "General Public", 2), ("GPL-3.0", "General Public", 3), ("LGPL-3.0", "Lesser General Public", 3))]
+#: Full texts of licence files, one file a licence.
+TEXTS = Path(__file__).parent / "license_texts"
 
 
 #: Function words, which carry no weight in any vector.
@@ -71,7 +91,8 @@ def templates() -> list[tuple[str, str]]:
     for lic, names in NAMES.items():
         out += [(lic, lead.format(lic if "SPDX" in lead else name)) for name in names for lead in _LEADS]
         out += [(lic, name) for name in names if len(name.split()) > 2]
-    return list(dict.fromkeys(out + list(_FILES.items())))
+    full = [(f.name[: -len(".txt")], f.read_text(encoding="utf-8")) for f in sorted(TEXTS.glob("*.txt"))]
+    return list(dict.fromkeys(out + list(_FILES.items()) + _HEADERS + full))
 
 
 def tokens_of(text: str) -> list[str]:

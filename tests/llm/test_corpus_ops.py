@@ -183,6 +183,22 @@ def test_inheritance(spark):
     }
 
 
+def test_whole_license_files_are_inherited(spark):
+    """Complete texts with a title and a holder, and the usual one-line Apache header."""
+    head = "{} License\n\nCopyright (c) 2024 Jane Doe and contributors\n\n"
+    names = ["AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense"]
+    rows = []
+    for k, name in enumerate(names):
+        rows += [(2 * k, f"{name}/LICENSE", head.format(name) + (licenses.TEXTS / f"{name}.txt").read_text()), (2 * k + 1, f"{name}/src/x.py", "print nothing")]
+    one = 'x = 1\n# Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License\n' + "filler words here " * 40
+    rows.append((100, "z/x.py", one))
+    got = {r["doc_id"]: (r["license"], r["origin"], r["license_dir"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, path string, text string"), F.col("path")).collect()}
+    want = {100: ("Apache-2.0", "header", None)}
+    for k, name in enumerate(names):
+        want |= {2 * k: (name, "file", name), 2 * k + 1: (name, "inherited", name)}
+    assert got == want
+
+
 def test_license_tables(spark):
     docs = edge_table(spark, "path string, license string, rid int")
     assert licenses.scan(docs, F.col("source")).count() == len(EDGE)
