@@ -3,8 +3,9 @@
 The model's protobuf is read here, without a protobuf library. From it come the normaliser, the
 metaspace marker, the scores (of a unigram model, or as merge ranks of a BPE model) and byte
 fallback. Texts are encoded in batches, on several threads. Where the vocabulary lets a text fall
-apart at its blanks, each word is encoded once in a lot. Both libraries encode every word (or
-else every text), and where they ever differ, sentencepiece's ids stand and the row says so.
+apart at its blanks, our side encodes each word once and strings the ids together. Sentencepiece
+encodes every text whole; where the ids of a text differ, sentencepiece's stand and the row says so.
+Ids are decoded by the tokenizers library.
 """
 
 from __future__ import annotations
@@ -160,52 +161,44 @@ class Codec:
         self.zero = zero[0] if zero else -1
         self.raw.pre_tokenizer = pre_tokenizers.Split("\0", "isolated")
         self.known: dict[str, bytes] = {}
-        self.odd: set[str] = set()
 
     def learn(self, words: list[str]) -> None:
-        """Encode new words by both libraries, many in one text. In ours the byte piece of a zero stands
-        between them; theirs sees them strung together, as in any text. Where the results differ, or a
-        word holds a zero itself, words are taken one by one, and those that differ are remembered."""
+        """Encode new words, many in one text: the byte piece of a zero stands between them. A word that
+        holds a zero itself is taken alone."""
         for at in range(0, len(words), 1024):
             lot = words[at : at + 1024]
-            text = "".join(lot)
-            if "\0" not in text:
-                mine = np.array(self.raw.encode_batch_fast(["\0".join(lot)], add_special_tokens=False)[0].ids, np.int32)
+            joined = "\0".join(lot)
+            if joined.count("\0") == len(lot) - 1:
+                mine = np.array(self.raw.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
                 cuts = np.flatnonzero(mine == self.zero)
-                theirs = np.array(self.check.encode(text[1:].replace(MARK, " ")), np.int32)
-                if len(cuts) == len(lot) - 1 and np.array_equal(np.delete(mine, cuts), theirs):
+                if len(cuts) == len(lot) - 1:
                     starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(mine)]
                     data = mine.tobytes()
                     self.known.update((w, data[4 * i : 4 * j]) for w, i, j in zip(lot, starts, ends))
                     continue
             for w in lot:
-                mine = [i for part in self.plain.encode_batch([w], add_special_tokens=False) for i in part.ids]
-                theirs = self.check.encode(w[1:].replace(MARK, " "))
-                self.known[w] = np.array(theirs, np.int32).tobytes()
-                if mine != theirs:
-                    self.odd.add(w)
+                self.known[w] = np.array([i for part in self.plain.encode_batch([w], add_special_tokens=False) for i in part.ids], np.int32).tobytes()
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
-        """Ids of each text, and whether both libraries agree on them."""
+        """Ids of each text, and whether both libraries agree on them. Sentencepiece encodes every text whole."""
+        theirs = [np.array(x, np.int32) for x in self.check.encode(texts, num_threads=self.threads)]
         if not self.apart:
-            mine = [e.ids for e in self.fast.encode_batch(texts, add_special_tokens=False)]
-            theirs = self.check.encode(texts, num_threads=self.threads)
-            return [np.array(x, np.int32) for x in theirs], [a == b for a, b in zip(mine, theirs)]
-        # With no other rewriting left, the normaliser is a leading blank and the marks.
-        split = [_CHUNK.findall((" " + t).replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.known) > KNOWN:
-            self.known, self.odd = {}, set()
-        known, odd = self.known, self.odd
-        self.learn(list(set().union(*split).difference(known)))
-        ids = [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in split]
-        return ids, [not odd or odd.isdisjoint(words) for words in split]
+            mine = [np.array(e.ids, np.int32).tobytes() for e in self.fast.encode_batch(texts, add_special_tokens=False)]
+        else:
+            split = [_CHUNK.findall(self.fast.normalizer.normalize_str(t)) if t else [] for t in texts]
+            if len(self.known) > KNOWN:
+                self.known = {}
+            known = self.known
+            self.learn(list(set().union(*split).difference(known)))
+            mine = [b"".join(map(known.__getitem__, words)) for words in split]
+        return theirs, [a == b.tobytes() for a, b in zip(mine, theirs)]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         """By the tokenizers library."""
         return self.fast.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
 
     def spell(self, ids: np.ndarray) -> str:
-        """The same from the piece table, for ids that ``encode`` made: marks are blanks, byte pieces bytes."""
+        """The same from the piece table, to hold against ``decode``: marks are blanks, byte pieces bytes."""
         text = b"".join(map(self.table.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
 
@@ -259,7 +252,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
                 got, ok = c.encode(lot)
                 ids += got
                 same += ok
-                back += map(c.spell, got)
+                back += c.decode(got)
             counts = [len(x) for x in ids]
             offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
             flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))

@@ -182,6 +182,20 @@ def test_parity_on_any_text(texts):
         assert [x.tolist() for x in ids] == c.check.encode(texts)
 
 
+def test_parity_is_of_whole_texts(model, monkeypatch):
+    """A wrong split of a text or a wrong word in the cache shows; sentencepiece's ids stand."""
+    text = "some words of a text"
+    c = pieces.Codec(model, 1)
+    assert c.encode([text])[1] == [True]
+    c.known["▁words"] = c.known["▁text"]
+    ids, same = c.encode([text, "other ones"])
+    assert same == [False, True] and ids[0].tolist() == c.check.encode(text)
+    c = pieces.Codec(model, 1)
+    monkeypatch.setattr(pieces, "_CHUNK", re.compile("[a-z]+"))
+    ids, same = c.encode([text])
+    assert same == [False] and ids[0].tolist() == c.check.encode(text)
+
+
 def test_unigram_model_is_rebuilt():
     """A unigram model written by hand, byte by byte."""
     import struct
