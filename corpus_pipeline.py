@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import decontaminate, pieces, pii, rules, simhash
+from palimpsest.llm import copies, decontaminate, pieces, pii, rules
 from palimpsest.llm.common import documents, materialise, tuned
 
 
@@ -19,9 +19,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays: the one with the least id."""
+    """Of near copies (SimHash, or five-word shingles alike by 0.8 or more) the one with the least id stays."""
     tuned(spark)
-    return simhash.first_of_each(docs)
+    return copies.first_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

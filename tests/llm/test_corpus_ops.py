@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palimpsest.llm import decontaminate, graph, licenses, order, quality, queries, shards, simhash
+from palimpsest.llm import copies, decontaminate, graph, licenses, order, quality, queries, shards, simhash
 from test_text_ops import EDGE, edge_table
 
 
@@ -341,6 +341,36 @@ def test_pipeline_by_brute_force(spark, sf_dir):
     assert got == want
 
 
+def shingles_by_hand(text):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text).encode().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)} - {()}
+
+
+def test_near_dedup_finds_every_pair(spark, sf_dir):
+    random.seed(6)
+    texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    for t in list(texts[:40]):  # copies with a few words changed, about the threshold
+        words = t.split()[:300]
+        texts.append(" ".join(words))
+        for _ in range(random.randrange(1, max(2, len(words) // 30))):
+            words[random.randrange(len(words))] = f"new{random.randrange(10**6)}"
+        texts.append(" ".join(words))
+    sets = [shingles_by_hand(t) for t in texts]
+    fps = [fingerprint_by_hand(t) for t in texts]
+    up = simhash._Sets(len(texts))
+    beyond = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            near, alike = (fps[i] ^ fps[j]).bit_count() <= 4, 5 * same >= 4 * (len(sets[i]) + len(sets[j]) - same) > 0
+            beyond += alike and not near
+            if near or alike:
+                up.join(i, j)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in got) == [i for i in range(len(texts)) if up.find(i) == i] and beyond
+
+
 def test_stages_keep_the_columns(spark, sf_dir):
     docs = edge_table(spark)
     for name, stage in corpus_pipeline.STAGES[:-1]:
