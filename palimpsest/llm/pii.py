@@ -66,8 +66,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 14 and 14 <= len(d := _NOT_DIGIT.sub("", m[0])) <= 19 and luhn(d):
                 found.append((m.start(), m.end(), "card"))
-        if "+" in text:
-            found += [(m.start(), m.end(), "phone") for m in _PHONE.finditer(text) if 10 <= len(_NOT_DIGIT.sub("", m[0])) <= 15]
+    if "+" in text:
+        found += [(m.start(), m.end(), "phone") for m in _PHONE.finditer(text) if 10 <= len(_NOT_DIGIT.sub("", m[0])) <= 15]
     found.sort(key=lambda x: (x[0], KINDS.index(x[2])))
     return found
 

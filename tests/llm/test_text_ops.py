@@ -56,6 +56,11 @@ def test_base_spans_of_numbers():
         assert pii.base_spans(text) == base_by_regex(text)
 
 
+def test_phone_of_digits_far_apart():
+    text = "call +1 (2) (3) (4) (5) (6) (7) (8) (9) (0)"
+    assert pii.base_spans(text) == base_by_regex(text) == [(5, len(text) - 1, "phone")]
+
+
 @pytest.mark.parametrize(
     "text, kind, part",
     [
