@@ -5,7 +5,8 @@ metaspace marker, the scores (of a unigram model, or as merge ranks of a BPE mod
 fallback. Texts are encoded in batches, on several threads. Where the vocabulary lets a text fall
 apart at its blanks, our side encodes each word once and strings the ids together. Sentencepiece
 encodes every text whole; where the ids of a text differ, sentencepiece's stand and the row says so.
-Ids are decoded by the tokenizers library.
+That holds for texts in which a byte or user piece of a unigram model is spelled out as well, which
+the two libraries take differently. Ids are decoded by the tokenizers library.
 """
 
 from __future__ import annotations
@@ -14,9 +15,9 @@ import hashlib
 import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,10 @@ from pyspark.sql import functions as F
 MODEL = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 THREADS = 2
 MARK = "▁"
+#: Words that are encoded as one input.
+LOT_WORDS = 1024
+#: Goes before control and unused pieces of a unigram model: text never spells them.
+_UNSPOKEN = "\ufdd0"
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Encoded words that a worker keeps from lot to lot, before it starts anew.
 KNOWN = 400_000
@@ -111,7 +116,7 @@ def build(m: Model):
 
     usable = [(p, s) for p, s, k in m.pieces if k in (NORMAL, USER)]
     if m.kind == 1:
-        model = models.Unigram([(p, s) for p, s, _ in m.pieces], m.unk_id, m.byte_fallback)
+        model = models.Unigram([(_UNSPOKEN + p if k in (CONTROL, UNUSED) else p, s) for p, s, k in m.pieces], m.unk_id, m.byte_fallback)
     elif m.kind == 2:
         vocab = {p: i for i, (p, _, _) in enumerate(m.pieces)}
         known = {p for p, _ in usable}
@@ -131,8 +136,7 @@ def build(m: Model):
     if m.escape:
         steps.append(normalizers.Replace(" ", MARK))
     t.normalizer = normalizers.Sequence(steps)
-    tail = [decoders.ByteFallback(), decoders.Fuse()] if m.byte_fallback else [decoders.Fuse()]
-    t.decoder = decoders.Sequence([decoders.Replace(MARK, " "), *tail, *([decoders.Strip(" ", 1, 0)] if m.dummy_prefix else [])])
+    t.decoder = decoders.Sequence([*([decoders.ByteFallback()] if m.byte_fallback else []), decoders.Fuse(), decoders.Replace(MARK, " "), *([decoders.Strip(" ", 1, 0)] if m.dummy_prefix else [])])
     t.encode_special_tokens = True
     return t
 
@@ -148,7 +152,8 @@ class Codec:
 
         self.model, self.threads = parse(data), threads
         self.fast = build(self.model)
-        self.raw, self.plain = type(self.fast)(self.fast.model), type(self.fast)(self.fast.model)  # for words that are normalised already
+        self.plain, self.words = type(self.fast)(self.fast.model), type(self.fast)(self.fast.model)  # for text that is normalised already
+        self.words.pre_tokenizer = pre_tokenizers.Split(MARK, "merged_with_next")
         self.check = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.is_byte = np.array([k == BYTE for _, _, k in self.model.pieces])
         # Where no piece has a mark after another character, a text falls apart before every run of marks.
@@ -156,50 +161,53 @@ class Codec:
         self.table = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in self.model.pieces]
         # The check library must not rewrite anything else, or a word's marks would not come through.
         self.apart = self.apart and self.model.dummy_prefix and not self.model.squeeze and not self.model.charsmap
-        zero = [i for i, (p, _, k) in enumerate(self.model.pieces) if k == BYTE and p == "<0x00>"]
-        self.apart = self.apart and bool(zero) and not any("\0" in p for p, _, _ in self.model.pieces)
-        self.zero = zero[0] if zero else -1
-        self.raw.pre_tokenizer = pre_tokenizers.Split("\0", "isolated")
-        self.known: dict[str, bytes] = {}
+        self.opens = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
+        self.known: dict[str, bytes] = {}  # ids of a mark and a word without marks
+        self.chunks: dict[str, bytes] = {}  # ids of other chunks
 
     def learn(self, words: list[str]) -> None:
-        """Encode new words, many in one text: the byte piece of a zero stands between them. A word that
-        holds a zero itself is taken alone."""
-        for at in range(0, len(words), 1024):
-            lot = words[at : at + 1024]
-            joined = "\0".join(lot)
-            if joined.count("\0") == len(lot) - 1:
-                mine = np.array(self.raw.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
-                cuts = np.flatnonzero(mine == self.zero)
-                if len(cuts) == len(lot) - 1:
-                    starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(mine)]
-                    data = mine.tobytes()
-                    self.known.update((w, data[4 * i : 4 * j]) for w, i, j in zip(lot, starts, ends))
-                    continue
-            for w in lot:
-                self.known[w] = np.array([i for part in self.plain.encode_batch([w], add_special_tokens=False) for i in part.ids], np.int32).tobytes()
-
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        """Encode new words, many in one input and many inputs at once. Each stands behind a mark, and no
+        piece has a mark but at its beginning, so a word's ids begin where a piece with a mark stands."""
+        lots = [words[at : at + LOT_WORDS] for at in range(0, len(words), LOT_WORDS)]
+        for lot, got in zip(lots, self.words.encode_batch_fast([MARK + MARK.join(lot) for lot in lots], add_special_tokens=False)):
+            ids = np.array(got.ids, np.int32)
+            cuts = np.flatnonzero(self.opens[ids]).tolist()
+            if len(cuts) == len(lot) and cuts[0] == 0:
+                data = ids.tobytes()
+                self.known.update((w, data[4 * i : 4 * j]) for w, i, j in zip(lot, cuts, [*cuts[1:], len(ids)]))
+            else:
+                self.known.update((w, self._whole(MARK + w)) for w in lot)
+
+    def _whole(self, normal: str) -> bytes:
+        return np.array(self.plain.encode_batch([normal], add_special_tokens=False)[0].ids, np.int32).tobytes()
+
+    def _strung(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text from those of its chunks; a text falls apart before every run of marks."""
+        normal = [self.fast.normalizer.normalize_str(t) if t else "" for t in texts]
+        plain = [n.startswith(MARK) and MARK + MARK not in n for n in normal]
+        split = [n[1:].split(MARK) if p else _CHUNK.findall(n) for n, p in zip(normal, plain)]
+        if len(self.known) > KNOWN:
+            self.known, self.chunks = {}, {}
+        known, chunks = self.known, self.chunks
+        self.learn(list(set().union(*(s for s, p in zip(split, plain) if p)).difference(known)))
+        for w in set().union(*(s for s, p in zip(split, plain) if not p)).difference(chunks):
+            chunks[w] = self._whole(w)
+        return [b"".join(map((known if p else chunks).__getitem__, s)) for s, p in zip(split, plain)]
+
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
         """Ids of each text, and whether both libraries agree on them. Sentencepiece encodes every text whole."""
-        theirs = [np.array(x, np.int32) for x in self.check.encode(texts, num_threads=self.threads)]
+        theirs = self.check.encode(texts, num_threads=self.threads)
         if not self.apart:
-            mine = [np.array(e.ids, np.int32).tobytes() for e in self.fast.encode_batch(texts, add_special_tokens=False)]
-        else:
-            split = [_CHUNK.findall(self.fast.normalizer.normalize_str(t)) if t else [] for t in texts]
-            if len(self.known) > KNOWN:
-                self.known = {}
-            known = self.known
-            self.learn(list(set().union(*split).difference(known)))
-            mine = [b"".join(map(known.__getitem__, words)) for words in split]
-        return theirs, [a == b.tobytes() for a, b in zip(mine, theirs)]
-
-    def decode(self, ids: list[np.ndarray]) -> list[str]:
+            return theirs, [a.ids == b for a, b in zip(self.fast.encode_batch(texts, add_special_tokens=False), theirs)]
+        return theirs, [a == array("i", b).tobytes() for a, b in zip(self._strung(texts), theirs)]
+
+    def decode(self, ids: list[list[int]]) -> list[str]:
         """By the tokenizers library."""
-        return self.fast.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+        return self.fast.decode_batch(ids, skip_special_tokens=False)
 
-    def spell(self, ids: np.ndarray) -> str:
+    def spell(self, ids: list[int]) -> str:
         """The same from the piece table, to hold against ``decode``: marks are blanks, byte pieces bytes."""
-        text = b"".join(map(self.table.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        text = b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
 
 
@@ -247,17 +255,19 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(data, threads)
         for b in batches:
-            ids, same, back = [], [], []
+            counts, flat, same, back, n_bytes = [], array("i"), [], [], []
             for lot in _lots([t or "" for t in b.column(1).to_pylist()]):
                 got, ok = c.encode(lot)
-                ids += got
-                same += ok
                 back += c.decode(got)
-            counts = [len(x) for x in ids]
+                same += ok
+                for x in got:
+                    counts.append(len(x))
+                    n_bytes.append(int(c.is_byte[x].sum()) if x else 0)
+                    flat.extend(x)
             offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
-            flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
+            ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(flat, np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.ListArray.from_arrays(offsets, flat), pa.array(counts, pa.int64()), pa.array([int(c.is_byte[x].sum()) for x in ids], pa.int64()), pa.array(back, pa.string()), pa.array(same, pa.bool_())],
+                [b.column(0), ids, pa.array(counts, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(back, pa.string()), pa.array(same, pa.bool_())],
                 names=["doc_id", "ids", "n_tokens", "n_byte_tokens", "decoded", "parity"],
             )
 
