@@ -12,6 +12,7 @@ import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules["palimpsest.llm"])
 
@@ -36,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     there = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = context.applicationId
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
@@ -52,14 +55,49 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.work_table = path
+    return out
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a work table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def remove(df: DataFrame) -> None:
+    """Delete a work table that nothing will read any more."""
+    context = df.sparkSession.sparkContext
+    p = context._jvm.org.apache.hadoop.fs.Path(df.work_table)
+    p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: A key is hot from this share of the rows on, but not below so many rows; there are fewer than HOT_SHARE such keys.
+HOT_ROWS, HOT_SHARE = 1_000, 1_000
+#: A table of a few longs a row is broadcast up to so many counted rows (well below 64 MB).
+BROADCAST_ROWS = 250_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Broadcast a written table only when its counted rows are few; otherwise let it be shuffled."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def free(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that is no column of ``df``, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str | list[str], n: str, total: int) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row a key and in ``n`` the number of rows that have it.
+
+    Hot keys, under HOT_SHARE of them, are broadcast, so their rows stay where they are; the others are
+    shuffled. ``n`` is dropped. ``rows`` and ``table`` are read twice: both should be written tables."""
+    key = [key] if isinstance(key, str) else key
+    if total <= HOT_ROWS:  # no key can be hot
+        return rows.join(table.drop(n), key)
+    hot = F.col(n) > max(HOT_ROWS, total // HOT_SHARE)
+    heavy = F.broadcast(table.filter(hot).drop(n))
+    cold = rows.join(heavy.select(*key), key, "left_anti").join(table.filter(~hot).drop(n), key)
+    return rows.join(heavy, key).unionByName(cold)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,16 @@
-"""Near copies by exact Jaccard similarity of five-word shingles, without loss.
-
-Two sets of similarity t share at least the t-th part of each, so they meet among the least
-n - ceil(t n) + 1 hashes of both (prefix filter). Pairs that meet are cut by size, by place of the
-common hash and by the number of common hashes, then verified on the shingles themselves.
+"""Near copies for the pipeline: SimHash groups, completed by five-word shingles of similarity 0.8 or more.
+
+One pass over the texts gives each its SimHash fingerprint and a MinHash sketch of its five-word
+shingles. Fingerprints are linked by the Gray-order index of ``simhash``, at its radius of 4 bits; most
+texts that agree to 0.8 stand further apart than any such index can reach (9.7 bits on average at 0.8),
+so texts that share a band of their sketches are looked at as well. Whether two are alike is then
+decided on the shingles themselves.
+
+Bands: 32 of 4 hashes; two texts at 0.8 share none with probability (1 - 0.8 ** 4) ** 32 = 5e-8, above
+0.8 with less. Inside a band's bucket nothing is paired with everything: first each text meets one
+centre of its bucket, and only where texts are still in different groups do further centres follow, 64
+at a time, until every member has been one. Sketches put aside pairs far from 0.8 before their texts
+are fetched.
 """
 
 from __future__ import annotations
@@ -10,21 +18,29 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import BROADCAST_ROWS, free, lookup, materialise, small
 from .graph import components
-from .simhash import _LOWER, near_duplicates
+from .simhash import majority, rooted, shingle_hashes, words_of
 
 SHINGLE = 5
 #: Least similarity, as a fraction.
 OVER, UNDER = 4, 5
+BANDS, ROWS = 32, 4
+#: Sketches hold 4 bits of each hash. At 0.8 two of them differ in 51 bits on average, deviation 10.4; at
+#: more than this (six deviations, similarity 0.56 on average) a pair is put aside.
+DIFFER = 114
+#: Members of a bucket that are centres in one round.
+CENTRES = 64
 
-
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+_RNG = np.random.default_rng(20_11)
+_TIMES = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
+_PLUS = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
+_BAND = _RNG.integers(0, 1 << 63, BANDS, np.uint64)
 
 
 def shingles(text: str | None) -> set[bytes]:
@@ -37,94 +53,159 @@ def alike(a: set[bytes], b: set[bytes]) -> bool:
     return (OVER + UNDER) * len(a & b) >= OVER * (len(a) + len(b)) > 0
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """``docs(id, text)`` -> ``(id, n, digest, prefix)``: size of the shingle set, a name of it, its least hashes."""
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
 
-        for b in batches:
-            sizes, names, prefixes = [], [], []
-            for text in b.column(1).to_pylist():
-                grams = shingles(text)
-                hashes = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, len(grams)))
-                n = len(hashes)
-                sizes.append(n)
-                names.append(xxhash.xxh128_digest(hashes.tobytes()))
-                prefixes.append(hashes[: n - -(-OVER * n // UNDER) + 1].view(np.int64))
-            offsets = pa.array(np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))), pa.int32())
-            flat = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(names, pa.binary()), pa.ListArray.from_arrays(offsets, flat)], names=["id", "n", "digest", "prefix"])
+def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the bands and 512 bits of the MinHashes, from the hashes of the four-word shingles in order:
+    two that follow one another make one of five words."""
+    pairs = _mix(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + _mix(hashes[1:])) if len(hashes) > 1 else _mix(hashes)
+    short = (pairs >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, 0xFFFF_FFFF, np.uint32)
+    for at in range(0, len(short), 2048):
+        np.minimum(least, (short[at : at + 2048, None] * _TIMES + _PLUS).min(axis=0), out=least)
+    wide = least.reshape(BANDS, ROWS).astype(np.uint64)
+    keys = _mix(_mix(wide[:, 0] | wide[:, 1] << np.uint64(32)) + (wide[:, 2] | wide[:, 3] << np.uint64(32)) + _BAND)
+    bits = (least * np.uint32(0x9E3779B1) >> np.uint32(28)).astype(np.uint8)
+    return keys.view(np.int64), (bits[::2] | bits[1::2] << np.uint8(4)).view(np.int64)
+
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, n int, digest binary, prefix array<bigint>")
+def digest(words: list[bytes]) -> int:
+    import xxhash
 
+    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
 
-def _verified(pairs: DataFrame) -> DataFrame:
-    """``(u, v, a, b)`` with texts a and b -> ``(u, v)`` of those that are alike."""
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, fp, digest, keys, bits)`` of each row: fingerprint, a name of its sequence of words, sketch.
+    A text without words has no keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, names, keys, bits, sizes = [], [], [], [], [0]
+            for text in b.column(1).to_pylist():
+                words = words_of(text)
+                hashes = shingle_hashes(words)
+                fps.append(majority(hashes))
+                names.append(digest(words))
+                if words:
+                    k, v = sketch(hashes)
+                    keys.append(k)
+                    bits.append(v)
+                sizes.append(len(keys))
+            flat = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
+            lists = [pa.ListArray.from_arrays(pa.array(np.array(sizes, np.int32) * np.int32(m)), flat(x)) for m, x in ((BANDS, keys), (8, bits))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(names, pa.int64()), *lists], names=["id", "fp", "digest", "keys", "bits"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint, digest bigint, keys array<bigint>, bits array<bigint>")
+
+
+def _apart(a: Column, b: Column) -> Column:
+    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, 8)), F.bit_count(a[0].bitwiseXOR(b[0])))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``pairs(u, v)``, structs of id, digest and comp -> ``(cu, cv)`` of those whose texts are alike.
+    The pairs go to the texts while they are few; else both are shuffled."""
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    with_id = small(pairs.select(F.col("u.id").alias("id"), "u", "v").withColumn("side", F.lit(0)).unionByName(pairs.select(F.col("v.id").alias("id"), "u", "v", F.lit(1).alias("side"))))
+    sides = texts.join(with_id, "id").select("u", "v", "side", "text")
+    a, b = (sides.filter(F.col("side") == k).select("u", "v", F.col("text").alias(f"t{k}")) for k in (0, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def good(du: int, dv: int, x: str, y: str) -> bool:
+            return digest(words_of(x)) == du and digest(words_of(y)) == dv and alike(shingles(x), shingles(y))
+
         for b in batches:
-            good = pa.array([alike(shingles(x), shingles(y)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(good), b.column(1).filter(good)], names=["u", "v"])
-
-    kind = pairs.schema["u"].dataType.simpleString()
-    return pairs.mapInArrow(run, f"u {kind}, v {kind}")
-
-
-def _roots(own: DataFrame, edges: DataFrame) -> DataFrame:
-    """``own(id, comp)`` with the components that ``edges(u, v)``, pairs of comps, join made one."""
-    joined = components(edges).withColumnRenamed("node", "comp")
-    return own.join(joined, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp"))
-
-
-def _named(pairs: DataFrame, own: DataFrame) -> DataFrame:
-    """Pairs ``(u, v)`` of ids whose comps differ, with these: ``(u, v, cu, cv)``."""
-    left, right = own.select(F.col("id").alias("u"), F.col("comp").alias("cu")), own.select(F.col("id").alias("v"), F.col("comp").alias("cv"))
-    return pairs.join(left, "u").join(right, "v").filter("cu <> cv").select("u", "v", "cu", "cv")
-
-
-def linked(own: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``own(id, comp)``: components so far, named by their least id -> the same after every pair of
-    similarity 0.8 or more is joined. Rows without an id or without words are in no pair. Pairs inside
-    a component need no check; of the others each document's first is verified, then what is still apart."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    sets = materialise(_sets(texts).filter("n > 0"), "sets")
-    # Equal sets stand for each other: the least id goes on.
-    least = sets.groupBy("digest").agg(F.min("id").alias("least"))
-    every = sets.select("id", "digest").join(least, "digest").filter("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v")).distinct()
-    named = _named(every, own)
-    own = materialise(_roots(own, named.select(F.col("cu").alias("u"), F.col("cv").alias("v"))), "own")
-    single = sets.join(least, "digest").filter("id = least").dropDuplicates(["digest"]).join(own, "id")
-    single = materialise(single.select("id", "comp", "n", F.posexplode("prefix").alias("at", "h")), "prefixes")
-    shared = single.groupBy("h").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("h")
-    met = materialise(single.join(shared, "h"), "met")
-    other = met.select("h", F.col("id").alias("id2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("at").alias("at2"))
-    # Hashes that can still agree: those before the common one, itself, and those after it.
-    most = F.least("at", "at2") + F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
-    near = met.join(other, "h").filter((F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2")) & ((OVER + UNDER) * most >= OVER * (F.col("n") + F.col("n2"))))
-    # Up to the nearer end of the two prefixes, one set has its whole prefix, of which at most n - overlap
-    # are not in the other set: the rest must be common.
-    overlap = F.ceil(OVER * (F.col("n") + F.col("n2")) / (OVER + UNDER) - 1e-9)
-    least_common = overlap + 1 - F.ceil(OVER * F.greatest("n", "n2") / UNDER - 1e-9)
-    counted = near.groupBy(F.col("id").alias("u"), F.col("id2").alias("v"), "n", "n2").agg(F.count("*").alias("common")).filter(F.col("common") >= least_common)
-    pairs = materialise(counted.select("u", "v").distinct(), "pairs")
-    left, right = texts.select(F.col("id").alias("u"), F.col("text").alias("a")), texts.select(F.col("id").alias("v"), F.col("text").alias("b"))
-    first = pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
-    for some in (first, pairs):
-        todo = _named(some, own).select("u", "v")
-        good = _verified(todo.join(left, "u").join(right, "v").select("u", "v", "a", "b"))
-        own = materialise(_roots(own, _named(good, own).select(F.col("cu").alias("u"), F.col("cv").alias("v"))), "own")
-    return own
+            cols = [b.column(i).to_pylist() for i in (0, 1, 4, 5)]
+            yield b.select(["cu", "cv"]).filter(pa.array([good(*x) for x in zip(*cols)], pa.bool_()))
+
+    both = a.join(b, ["u", "v"]).select(F.col("u.digest").alias("du"), F.col("v.digest").alias("dv"), F.col("u.comp").alias("cu"), F.col("v.comp").alias("cv"), "t0", "t1")
+    return both.mapInArrow(run, "cu bigint, cv bigint")
+
+
+def completed(rows: DataFrame, comps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``rows`` of ``sketches``, ``comps(fp, comp, n)``: the component of each fingerprint so far -> ``(comp,
+    root)`` for components that five-word shingles link to others."""
+    first = rows.groupBy("digest").agg(F.min("id").alias("id"), F.min("fp").alias("fp"))
+    texts = rows.filter("size(keys) > 0").join(first, ["digest", "id", "fp"], "left_semi").dropDuplicates(["digest", "id"])
+    texts = materialise(lookup(materialise(texts, "texts"), comps, "fp", "n", rows.count()).select(F.struct("id", "digest", "comp").alias("who"), "keys", "bits"), "texts")
+    keyed = texts.select(F.explode("keys").alias("key"), F.col("who.comp").alias("comp"))
+    live = materialise(keyed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("key", "n"), "live")
+    met = texts.select("who", "bits", F.explode("keys").alias("key"))
+    few = live.count() <= BROADCAST_ROWS
+    met = materialise(met.join(F.broadcast(live.drop("n")), "key") if few else lookup(met, live, "key", "n", BANDS * texts.count()), "met")
+    state = live.sparkSession.createDataFrame([], "comp bigint, root bigint")
+    tested, done = None, 0
+    while True:
+        now = F.coalesce("root", "who.comp")
+        at = materialise(met.join(small(state), F.col("who.comp") == F.col("comp"), "left").select("key", F.struct("who.id", "who.digest", now.alias("comp")).alias("who"), "bits"), "at")
+        open_keys = at.groupBy("key").agg(F.min("who.comp").alias("lo"), F.max("who.comp").alias("hi"), F.count("*").alias("n"), F.min(F.struct("who", "bits")).alias("least")).filter("lo < hi")
+        open_keys = materialise(open_keys.select("key", "n", F.ceil(F.col("n") / CENTRES).alias("parts"), "least"), "open")
+        most = open_keys.agg(F.max("parts")).first()[0] or 0
+        if not most or done > most:
+            return state
+        if not done:
+            centres = open_keys.select("key", "n", F.array("least").alias("centres"))
+        else:
+            member = at.join(small(open_keys.select("key", "parts")), "key").filter(F.pmod(F.xxhash64("who.id", "who.digest"), F.col("parts")) == done - 1)
+            centres = member.groupBy("key").agg(F.collect_list(F.struct("who", "bits")).alias("centres")).join(open_keys.select("key", "n"), "key")
+        total = at.count()
+        near = lookup(at, materialise(centres, "centres"), "key", "n", total)
+        hit = F.filter("centres", lambda c: (c["who"]["comp"] != F.col("who.comp")) & (_apart(c["bits"], F.col("bits")) <= DIFFER))
+        pairs = near.select("who", "bits", F.explode(hit).alias("c")).select(F.least("who", "c.who").alias("u"), F.greatest("who", "c.who").alias("v"), "who", _apart(F.col("c.bits"), F.col("bits")).alias("apart"))
+        if done:
+            pairs = pairs.select("u", "v").distinct()
+        else:  # of its buckets' centres each text meets the nearest
+            pairs = pairs.groupBy("who").agg(F.min(F.struct("apart", "u", "v")).alias("b")).select("b.u", "b.v").distinct()
+        names = lambda x: F.struct(F.col(f"{x}.id").alias("id"), F.col(f"{x}.digest").alias("digest"))
+        if tested is not None:
+            pairs = pairs.withColumn("k", F.struct(names("u"), names("v"))).join(tested, "k", "left_anti").drop("k")
+        pairs = materialise(pairs, "pairs")
+        done += 1
+        if not pairs.count():
+            continue
+        links = materialise(_verified(pairs, docs, id_col, text_col), "links")
+        seen = pairs.select(F.struct(names("u"), names("v")).alias("k"))
+        tested = materialise(seen if tested is None else tested.unionByName(seen), "tested")
+        joined = components(links.toDF("u", "v")).toDF("comp", "to")
+        # Every component so far, carried on to its new root.
+        moved = state.join(joined.withColumnsRenamed({"comp": "root"}), "root", "left").select("comp", F.coalesce("to", "root").alias("root"))
+        fresh = joined.join(state.select("comp"), "comp", "left_anti").select("comp", F.col("to").alias("root"))
+        state = materialise(moved.unionByName(fresh), "state")
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose id is the least of its component, each such id once; all columns are kept.
-    Documents are linked by SimHash as in ``simhash.near_duplicates`` and by five-word shingles of
-    similarity 0.8 or more. Rows without an id are kept."""
-    own = near_duplicates(docs, id_col, text_col).filter("id is not null").select("id", F.col("component_id").alias("comp")).distinct()
-    own = linked(materialise(own, "own"), docs, id_col, text_col)
-    # A repeated id may stand in several components: it stays if it names each of them.
-    keep = own.groupBy("id").agg(F.min("comp").alias("comp")).filter("id = comp").select(F.col("id").alias("__keep"))
-    found = docs.join(keep, F.col(id_col) == F.col("__keep"), "left_semi").dropDuplicates([id_col])
-    return found.unionByName(docs.filter(F.col(id_col).isNull()))
+    """Of each group of near copies the row with the least id; all columns are kept.
+
+    Texts are linked by fingerprints within 4 bits (``simhash``) and by five-word shingles of similarity
+    0.8 or more. Rows are told apart by id and words, so of an id that stands at several texts each text
+    has its own fate; equal rows become one. Rows without an id are kept and link nothing. Null texts and
+    texts without words are copies of each other; an empty table stays empty."""
+    rows = materialise(sketches(docs.filter(F.col(id_col).isNotNull()), id_col, text_col), "sketches")
+    found = rooted(rows.select("id", "fp"))
+    comps = found.select("fp", F.col("root").alias("comp"), "n")
+    joined = completed(rows, comps, docs, id_col, text_col)
+    last = comps.join(small(joined), "comp", "left").select("fp", "n", F.coalesce("root", "comp").alias("comp"))
+    own = materialise(lookup(rows.select("id", "digest", "fp"), materialise(last, "last"), "fp", "n", rows.count()).select("id", "digest", "comp"), "own")
+    stay = own.groupBy("comp").agg(F.min(F.struct("id", "digest")).alias("k")).select("k.id", "k.digest")
+    own = own.select("id", "digest").distinct()
+    # An id of one row is settled by the id; texts of repeated ids are named once more.
+    again_id, gone_id, its_id, its_name = (free(docs, x) for x in ("__again", "__gone", "__id", "__name"))
+    again = materialise(rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias(again_id)), "again")
+    gone = materialise(own.join(stay, ["id", "digest"], "left_anti").select(F.col("id").alias(gone_id)).distinct(), "gone")
+    key = F.col(id_col)
+    once = docs.filter(key.isNotNull()).join(small(again), key == F.col(again_id), "left_anti").join(small(gone), key == F.col(gone_id), "left_anti")
+
+    def named(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: digest(words_of(t)))
+
+    made = free(docs, "__digest")
+    twice = docs.join(small(again), key == F.col(again_id), "left_semi").withColumn(made, F.pandas_udf(named, "bigint")(F.coalesce(F.col(text_col), F.lit(""))))
+    kept = stay.select(F.col("id").alias(its_id), F.col("digest").alias(its_name))
+    twice = twice.join(kept, (key == F.col(its_id)) & (F.col(made) == F.col(its_name)), "left_semi").dropDuplicates([id_col, made]).select(*docs.columns)
+    return once.unionByName(twice).unionByName(docs.filter(key.isNull()))

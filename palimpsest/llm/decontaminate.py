@@ -16,12 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import free, materialise, small
 
 SHINGLE = 5
 PERCENT = 80
-#: A table with a few longs and one shingle a row is broadcast up to so many rows (well below 64 MB).
-BROADCAST_ROWS = 250_000
 
 
 def words(text: Column) -> Column:
@@ -46,11 +44,6 @@ def _spelled() -> Column:
     return F.concat_ws(" ", *[F.col(f"g.w{i}") for i in range(SHINGLE)])
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast a written table only when its counted rows are few; otherwise let it be shuffled."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def sketches(items: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """``items(item_id, text)`` -> (all distinct shingles ``(item_id, n, need, s)``, sketch ``(h, item_id, need)``).
 
@@ -81,20 +74,21 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     split = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w")).filter("doc_id is not null")
     sized = split.withColumn("size", F.greatest(F.lit(1), F.size("w") - SHINGLE + 1))
     probes = shingled(sized, ["doc_id"], "w").select("doc_id", _hash().alias("h"))
-    hits = probes.join(_small(sketch), "h").select("doc_id", "item_id").distinct()
+    hits = probes.join(small(sketch), "h").select("doc_id", "item_id").distinct()
     candidates = materialise(hits, "candidates")
     ids = materialise(candidates.select("doc_id").distinct(), "candidate-ids")
-    texts = split.join(_small(ids), "doc_id", "left_semi")
+    texts = split.join(small(ids), "doc_id", "left_semi")
     exact = shingled(texts, ["doc_id"], "w").select("doc_id", _spelled().alias("s"))
-    shared = exact.join(_small(grams), "s").join(candidates, ["doc_id", "item_id"], "left_semi")
+    shared = exact.join(small(grams), "s").join(candidates, ["doc_id", "item_id"], "left_semi")
     counted = shared.groupBy("doc_id", "item_id", "n", "need").agg(F.count_distinct("s").alias("n_shared"))
     return counted.filter("n_shared >= need").select("doc_id", "item_id", F.col("n").alias("n_item"), "n_shared", (F.col("n_shared") / F.col("n")).alias("containment"))
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that hold no item; all columns are kept, and rows without an id too."""
-    bad = materialise(contained(docs, items, id_col, text_col, percent).select(F.col("doc_id").alias("__bad")).distinct(), "leaks")
-    return docs.join(_small(bad), F.col(id_col) == F.col("__bad"), "left_anti")
+    name = free(docs, "__bad")
+    bad = materialise(contained(docs, items, id_col, text_col, percent).select(F.col("doc_id").alias(name)).distinct(), "leaks")
+    return docs.join(small(bad), F.col(id_col) == F.col(name), "left_anti")
 
 
 def op7_sql(percent: int = PERCENT) -> str:

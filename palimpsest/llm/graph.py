@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import HOT_ROWS, lookup, materialise, remove
 
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """One step over a written table of ``total`` edges; nodes of very many edges are not dealt to one task."""
     if large:
         near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        return near.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("m", "u").alias("m"), "n")
+        return lookup(near, least, "u", "n", 2 * total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = lookup(down, least, "u", "n", total).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
@@ -27,14 +28,21 @@ def components(edges: DataFrame) -> DataFrame:
     """``edges(u, v)`` -> ``(node, root)`` for every node on an edge; root is the least node of its component.
 
     Self-loops and repeated edges are ignored; an empty table gives an empty table. Each round is
-    written to the shared folder, so a lost executor costs at most one round. Only two numbers a
-    round reach the driver.
+    written to the shared folder, so a lost executor costs at most one round; finished rounds are
+    deleted. Only two numbers a round reach the driver.
     """
     now = materialise(edges.select("u", "v").filter("u <> v").distinct(), "edges")
     mark = _mark(now)
     while mark[0]:
-        now = materialise(_star(_star(now, True), False), "edges")
-        was, mark = mark, _mark(now)
+        if mark[0] <= HOT_ROWS // 4:  # no node can have too many edges
+            made = materialise(_star(_star(now, True, 0), False, 0), "edges")
+        else:
+            half = materialise(_star(now, True, mark[0]), "edges")
+            made = materialise(_star(half, False, half.count()), "edges")
+            remove(half)
+        was, mark = mark, _mark(made)
+        remove(now)
+        now = made
         if was == mark:
             break
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))

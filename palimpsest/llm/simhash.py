@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import lookup, materialise
 from .graph import components
 
 SHINGLE = 4
@@ -33,21 +33,25 @@ LEAF = 32
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: str | None) -> int:
-    """SimHash of a whole text; 0 when it has no words (or is null)."""
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+
+
+def shingle_hashes(words: list[bytes]) -> np.ndarray:
+    """Hashes of the four-word shingles in order; of fewer words, of the whole sequence; none of none."""
     import xxhash
 
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    n = len(words)
-    if not n:
-        return 0
-    x = xxhash.xxh64_intdigest
+    x, n = xxhash.xxh64_intdigest, len(words)
     if n <= SHINGLE:
-        return x(b" ".join(words), SEED)
+        return np.array([x(b" ".join(words), SEED)] if n else [], np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
     starts = np.concatenate(([0], ends[: n - SHINGLE]))
-    hashes = np.fromiter((x(joined[s:e], SEED) for s, e in zip(starts.tolist(), (ends[SHINGLE - 1 :] - 1).tolist())), np.uint64, n - SHINGLE + 1)
+    return np.fromiter((x(joined[s:e], SEED) for s, e in zip(starts.tolist(), (ends[SHINGLE - 1 :] - 1).tolist())), np.uint64, n - SHINGLE + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 8192):
         part = hashes[at : at + 8192]
@@ -55,6 +59,11 @@ def fingerprint(text: str | None) -> int:
     return int(sum(1 << i for i in np.flatnonzero(2 * ones > len(hashes)).tolist()))
 
 
+def fingerprint(text: str | None) -> int:
+    """SimHash of a whole text; 0 when it has no words (or is null)."""
+    return majority(shingle_hashes(words_of(text)))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, fp)``: one row for each row of ``docs``; fp holds the 64 bits as a signed long."""
 
@@ -209,8 +218,8 @@ def forest(distinct: DataFrame, n: int, bits: int = MAX_BITS, tile: int = TILE,
     """
     blocks, same = scheme(n, bits, bucket)
     keyed = distinct.select("fp", F.explode(_keys(F.col("fp"), blocks, same)).alias("k")).select("fp", F.col("k.set").alias("set"), F.col("k.bits").alias("bits"))
-    size = keyed.groupBy("set", "bits").agg(F.count("*").alias("size")).filter("size > 1")
-    keyed = keyed.join(size, ["set", "bits"])
+    size = keyed.groupBy("set", "bits").agg(F.count("*").alias("size")).filter("size > 1").withColumn("n", F.col("size"))
+    keyed = lookup(keyed, size, ["set", "bits"], "n", n * len(list(combinations(range(blocks), same))))
     small = keyed.filter(F.col("size") <= tile).select("set", "bits", F.lit(0).alias("t1"), F.lit(0).alias("t2"), "fp")
     rank = F.col("fp")
     for s in (1, 2, 4, 8, 16, 32):
@@ -218,6 +227,7 @@ def forest(distinct: DataFrame, n: int, bits: int = MAX_BITS, tile: int = TILE,
     big = keyed.filter(F.col("size") > tile).withColumn("rank", rank.bitwiseXOR(F.lit(-(1 << 63)).cast("bigint")))
     cuts = big.groupBy("set", "bits", "size").agg(F.percentile_approx("rank", [i / 65 for i in range(1, 65)], 1000).alias("grid")).select("set", "bits", (F.ceil(F.col("size") / tile)).cast("int").alias("parts"), "grid")
     # At most 64 cuts at a time: each tile of a far larger bucket is cut again by the word's low hash.
+    # One row for each bucket above the tile size, with 64 numbers.
     tiled = big.join(cuts, ["set", "bits"]).select(
         "set", "bits", "fp",
         (F.size(F.filter("grid", lambda c: c < F.col("rank"))) * F.greatest(F.lit(1), F.ceil(F.col("parts") / 65).cast("int")) + F.pmod(F.xxhash64("fp"), F.greatest(F.lit(1), F.ceil(F.col("parts") / 65).cast("int"))).cast("int")).alias("t"),
@@ -242,21 +252,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     An empty table gives an empty table. Columns other than the two named ones are ignored.
     """
     fps = materialise(fingerprints(docs, id_col, text_col), "fps")
-    least = materialise(fps.groupBy("fp").agg(F.min("id").alias("least")), "least")
-    roots = materialise(components(forest(least.select("fp"), least.count(), bits, tile, bucket)).withColumnsRenamed({"node": "fp"}), "roots")
-    named = roots.join(least, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = roots.join(named, "root").select("fp", "component_id")
-    names = least.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(names, "fp").select("id", "fp", "component_id")
+    found = rooted(fps, bits, tile, bucket)
+    named = materialise(found.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size")), "named")
+    names = materialise(lookup(found, named, "root", "size", found.count()).select("fp", "n", "component_id"), "names")
+    return lookup(fps, names, "fp", "n", fps.count()).select("id", "fp", "component_id")
 
 
-def hex_of(fp: Column) -> Column:
-    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+def rooted(fps: DataFrame, bits: int = MAX_BITS, tile: int = TILE, bucket: int = BUCKET) -> DataFrame:
+    """``fps(id, fp)`` -> ``(fp, least, n, root)`` for each distinct fingerprint: the least id and the number
+    of its rows, and the least fingerprint that it is linked to."""
+    least = materialise(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "least")
+    roots = components(forest(least.select("fp"), least.count(), bits, tile, bucket)).withColumnRenamed("node", "fp")
+    return materialise(least.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "rooted")
 
 
-def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose id names their component, each such id once; all columns are kept.
-    Rows without an id are kept."""
-    keep = near_duplicates(docs, id_col, text_col).filter("id = component_id").select(F.col("id").alias("__keep")).distinct()
-    found = docs.join(keep, F.col(id_col) == F.col("__keep"), "left_semi").dropDuplicates([id_col])
-    return found.unionByName(docs.filter(F.col(id_col).isNull()))
+def hex_of(fp: Column) -> Column:
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))

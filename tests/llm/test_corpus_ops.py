@@ -90,7 +90,7 @@ def test_near_duplicate_tables(spark):
     got = {(r["id"], r["fp"] == 0): r["component_id"] for r in simhash.near_duplicates(docs).collect()}
     assert got[1, True] == 1 and got[2, True] == 1
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
-    kept = simhash.first_of_each(docs)
+    kept = copies.first_of_each(docs)
     assert kept.columns == docs.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3, 4, 5]
 
 
@@ -140,7 +140,7 @@ def test_leaks_at_the_threshold(spark):
 
 
 def test_leak_tables(spark):
-    docs = edge_table(spark, "item_id int, w string, h string")
+    docs = edge_table(spark, "item_id int, w string, h string, __bad int")
     items = spark.createDataFrame([(1, "aa bb cc dd ee ff gg hh ii jj kk ll"), (2, "word")], "item_id bigint, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contained(docs, items).collect()} == {(4, 1), (3, 2)}
     clean = decontaminate.clean(docs, items)
@@ -329,7 +329,7 @@ def test_pipeline_by_brute_force(spark, sf_dir):
 
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()]
     docs = [(i, t) for i, t in docs if not any(rule.rejects(Measures(t)) for rule in RULES)]
-    up = components_by_hand([fingerprint_by_hand(t) for _, t in docs])
+    up = near_copies_by_hand([t for _, t in docs])
     docs = [d for k, d in enumerate(docs) if up[k] == k]
     import re
 
@@ -346,6 +346,18 @@ def shingles_by_hand(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)} - {()}
 
 
+def near_copies_by_hand(texts):
+    """The least position of each text's group: fingerprints within 4 bits, or five-word shingles alike by 0.8."""
+    sets, fps = [shingles_by_hand(t) for t in texts], [fingerprint_by_hand(t) for t in texts]
+    up = simhash._Sets(len(texts))
+    for i in range(len(texts)):
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            if (fps[i] ^ fps[j]).bit_count() <= 4 or 5 * same >= 4 * (len(sets[i]) + len(sets[j]) - same) > 0:
+                up.join(i, j)
+    return [up.find(i) for i in range(len(texts))]
+
+
 def test_near_dedup_finds_every_pair(spark, sf_dir):
     random.seed(6)
     texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(60).collect()]
@@ -355,20 +367,35 @@ def test_near_dedup_finds_every_pair(spark, sf_dir):
         for _ in range(random.randrange(1, max(2, len(words) // 30))):
             words[random.randrange(len(words))] = f"new{random.randrange(10**6)}"
         texts.append(" ".join(words))
-    sets = [shingles_by_hand(t) for t in texts]
-    fps = [fingerprint_by_hand(t) for t in texts]
-    up = simhash._Sets(len(texts))
-    beyond = 0
-    for i in range(len(texts)):
-        for j in range(i):
-            same = len(sets[i] & sets[j])
-            near, alike = (fps[i] ^ fps[j]).bit_count() <= 4, 5 * same >= 4 * (len(sets[i]) + len(sets[j]) - same) > 0
-            beyond += alike and not near
-            if near or alike:
-                up.join(i, j)
+    up = near_copies_by_hand(texts)
+    assert up != components_by_hand([fingerprint_by_hand(t) for t in texts])
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()
-    assert sorted(r["doc_id"] for r in got) == [i for i in range(len(texts)) if up.find(i) == i] and beyond
+    assert sorted(r["doc_id"] for r in got) == [i for i in range(len(texts)) if up[i] == i]
+
+
+def test_near_dedup_of_a_large_group(spark, sf_dir):
+    """A bucket far larger than one round's centres: texts that share most of their words, many not enough."""
+    random.seed(12)
+    common = [f"c{i}" for i in range(80)]
+    texts = []
+    for k in range(300):
+        words = list(common)
+        for _ in range(random.choice((0, 1, 2, 3, 5))):
+            words[random.randrange(80)] = f"x{k}y{random.randrange(10**6)}"
+        texts.append(" ".join(words + [f"t{k}w{i}" for i in range(random.randrange(0, 14))]))
+    up = near_copies_by_hand(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = sorted(r["doc_id"] for r in copies.first_of_each(docs).collect())
+    assert got == [i for i in range(len(texts)) if up[i] == i] and 2 < len(got) < 290
+
+
+def test_near_dedup_of_repeated_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    for rows in ([(1, b), (5, b), (5, a)], [(5, a), (5, b), (1, b)], [(1, b), (5, a), (5, b), (5, a)]):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("__gone", F.lit(1))
+        kept = copies.first_of_each(docs)
+        assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(1, b), (5, a)] and kept.columns == docs.columns
 
 
 def test_stages_keep_the_columns(spark, sf_dir):
