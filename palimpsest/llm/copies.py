@@ -8,7 +8,7 @@ decided on the shingles themselves.
 
 Bands: 32 of 4 hashes; two texts at 0.8 share none with probability (1 - 0.8 ** 4) ** 32 = 5e-8, above
 0.8 with less. Inside a band's bucket nothing is paired with everything: first each text meets one
-centre of its bucket, and only where texts are still in different groups do further centres follow, 64
+centre of its bucket, and only where texts are still in different groups do further centres follow, 512
 at a time, until every member has been one. Sketches put aside pairs far from 0.8 before their texts
 are fetched.
 """
@@ -32,10 +32,10 @@ SHINGLE = 5
 OVER, UNDER = 4, 5
 BANDS, ROWS = 32, 4
 #: Sketches hold 4 bits of each hash. At 0.8 two of them differ in 51 bits on average, deviation 10.4; at
-#: more than this (six deviations, similarity 0.56 on average) a pair is put aside.
-DIFFER = 114
+#: more than this (five deviations, similarity 0.6 on average) a pair is put aside.
+DIFFER = 103
 #: Members of a bucket that are centres in one round.
-CENTRES = 64
+CENTRES = 512
 
 _RNG = np.random.default_rng(20_11)
 _TIMES = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
@@ -140,13 +140,14 @@ def completed(rows: DataFrame, comps: DataFrame, docs: DataFrame, id_col: str, t
     few = live.count() <= BROADCAST_ROWS
     met = materialise(met.join(F.broadcast(live.drop("n")), "key") if few else lookup(met, live, "key", "n", BANDS * texts.count()), "met")
     state = live.sparkSession.createDataFrame([], "comp bigint, root bigint")
-    tested, done = None, 0
+    tested, done, changed = None, 0, True
     while True:
-        now = F.coalesce("root", "who.comp")
-        at = materialise(met.join(small(state), F.col("who.comp") == F.col("comp"), "left").select("key", F.struct("who.id", "who.digest", now.alias("comp")).alias("who"), "bits"), "at")
-        open_keys = at.groupBy("key").agg(F.min("who.comp").alias("lo"), F.max("who.comp").alias("hi"), F.count("*").alias("n"), F.min(F.struct("who", "bits")).alias("least")).filter("lo < hi")
-        open_keys = materialise(open_keys.select("key", "n", F.ceil(F.col("n") / CENTRES).alias("parts"), "least"), "open")
-        most = open_keys.agg(F.max("parts")).first()[0] or 0
+        if changed:
+            now = F.coalesce("root", "who.comp")
+            at = materialise(met.join(small(state), F.col("who.comp") == F.col("comp"), "left").select("key", F.struct("who.id", "who.digest", now.alias("comp")).alias("who"), "bits"), "at")
+            open_keys = at.groupBy("key").agg(F.min("who.comp").alias("lo"), F.max("who.comp").alias("hi"), F.count("*").alias("n"), F.min(F.struct("who", "bits")).alias("least")).filter("lo < hi")
+            open_keys = materialise(open_keys.select("key", "n", F.ceil(F.col("n") / CENTRES).alias("parts"), "least"), "open")
+            most, total, changed = open_keys.agg(F.max("parts")).first()[0] or 0, at.count(), False
         if not most or done > most:
             return state
         if not done:
@@ -154,7 +155,6 @@ def completed(rows: DataFrame, comps: DataFrame, docs: DataFrame, id_col: str, t
         else:
             member = at.join(small(open_keys.select("key", "parts")), "key").filter(F.pmod(F.xxhash64("who.id", "who.digest"), F.col("parts")) == done - 1)
             centres = member.groupBy("key").agg(F.collect_list(F.struct("who", "bits")).alias("centres")).join(open_keys.select("key", "n"), "key")
-        total = at.count()
         near = lookup(at, materialise(centres, "centres"), "key", "n", total)
         hit = F.filter("centres", lambda c: (c["who"]["comp"] != F.col("who.comp")) & (_apart(c["bits"], F.col("bits")) <= DIFFER))
         pairs = near.select("who", "bits", F.explode(hit).alias("c")).select(F.least("who", "c.who").alias("u"), F.greatest("who", "c.who").alias("v"), "who", _apart(F.col("c.bits"), F.col("bits")).alias("apart"))
@@ -171,7 +171,10 @@ def completed(rows: DataFrame, comps: DataFrame, docs: DataFrame, id_col: str, t
             continue
         links = materialise(_verified(pairs, docs, id_col, text_col), "links")
         seen = pairs.select(F.struct(names("u"), names("v")).alias("k"))
-        tested = materialise(seen if tested is None else tested.unionByName(seen), "tested")
+        tested = seen if tested is None else tested.unionByName(seen)
+        if not links.count():
+            continue
+        changed = True
         joined = components(links.toDF("u", "v")).toDF("comp", "to")
         # Every component so far, carried on to its new root.
         moved = state.join(joined.withColumnsRenamed({"comp": "root"}), "root", "left").select("comp", F.coalesce("to", "root").alias("root"))

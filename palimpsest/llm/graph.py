@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import HOT_ROWS, lookup, materialise, remove
 
+#: A table of at most so many edges is finished by one task.
+FEW_EDGES = 200_000
+
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -24,16 +30,40 @@ def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) by union-find over the edges of one task."""
+    up: dict = {}
+
+    def find(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    kind = None
+    for b in batches:
+        kind = b.schema.field(0).type
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            up.setdefault(u, u)
+            up.setdefault(v, v)
+            u, v = find(u), find(v)
+            up[max(u, v)] = min(u, v)
+    nodes = list(up)
+    for at in range(0, len(nodes), 10_000):
+        part = nodes[at : at + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, kind), pa.array([find(x) for x in part], kind)], names=["node", "root"])
+
+
+def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """``edges(u, v)`` -> ``(node, root)`` for every node on an edge; root is the least node of its component.
 
-    Self-loops and repeated edges are ignored; an empty table gives an empty table. Each round is
+    Self-loops and repeated edges are ignored; an empty table gives an empty table. Rounds of joins are
     written to the shared folder, so a lost executor costs at most one round; finished rounds are
-    deleted. Only two numbers a round reach the driver.
-    """
+    deleted. A table of at most ``few`` edges is finished by one task, in bounded memory. Only two
+    numbers a round reach the driver."""
     now = materialise(edges.select("u", "v").filter("u <> v").distinct(), "edges")
     mark = _mark(now)
-    while mark[0]:
+    while mark[0] > few:
         if mark[0] <= HOT_ROWS // 4:  # no node can have too many edges
             made = materialise(_star(_star(now, True, 0), False, 0), "edges")
         else:
@@ -44,6 +74,7 @@ def components(edges: DataFrame) -> DataFrame:
         remove(now)
         now = made
         if was == mark:
-            break
-    roots = now.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots).groupBy("node").agg(F.min("root").alias("root"))
+            roots = now.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots).groupBy("node").agg(F.min("root").alias("root"))
+    kind = now.schema["u"].dataType.simpleString()
+    return materialise(now.coalesce(1).mapInArrow(_joined, f"node {kind}, root {kind}"), "joined")
