@@ -265,6 +265,70 @@ def test_permutation(n):
         assert (out == np.arange(n)).mean() < 0.05 and not np.array_equal(out, order.permute(np.arange(n), n, key=5))
 
 
+def permuted_by_hand(x, n, key=order.KEY):
+    """Feistel rounds on plain integers, walked on until the value lies in 0..n-1."""
+    full = (1 << 64) - 1
+
+    def mix(v, k):
+        v = v + k & full
+        v = (v ^ v >> 30) * 0xBF58476D1CE4E5B9 & full
+        v = (v ^ v >> 27) * 0x94D049BB133111EB & full
+        return v ^ v >> 31
+
+    half = 1
+    while 4**half < max(2, n):
+        half += 1
+    while True:
+        left, right = x >> half, x & (1 << half) - 1
+        for r in range(order.ROUNDS):
+            left, right = right, left ^ mix(right, mix(key + 0x9E3779B97F4A7C15 * (r + 1) & full, 0)) & (1 << half) - 1
+        x = left << half | right
+        if x < n:
+            return x
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 17, 1000, 5000])
+def test_permutation_by_hand(n):
+    assert order.permute(np.arange(n), n).tolist() == [permuted_by_hand(x, n) for x in range(n)]
+
+
+def test_order_of_any_input(spark, sf_dir, tmp_path):
+    """Shuffled, joined, united, filtered, sampled and limited inputs are written whole."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    keys = docs.select("doc_id").filter("doc_id % 2 = 0")
+    for k, some in enumerate([docs.repartition(4), docs.unionByName(docs), docs.dropDuplicates(["text"]).repartition(3), docs.join(keys, "doc_id"), docs.filter("doc_id % 3 = 1"), docs.orderBy("text").limit(50), docs.filter(F.rand(3) < 0.5).cache()]):
+        path = f"file://{tmp_path}/any{k}"
+        order.write(some, path, length=64)
+        rows = order.read(spark, path).collect()
+        assert sorted(r["slot"] for r in rows) == list(range(len(rows))) and all(r["sound"] for r in rows)
+        assert all(r["slot"] == permuted_by_hand(r["sequence"], len(rows)) for r in rows[:200])
+        assert sorted(t.decode() for t in restored(rows)) == sorted(r["text"] for r in some.collect())
+
+
+@pytest.mark.parametrize("width", [2, 4])
+def test_order_of_token_ids(spark, tmp_path, width):
+    random.seed(width)
+    top = (1 << 8 * width) - 1
+    lists = [[random.randrange(1, min(top, 1 << 31)) for _ in range(random.randrange(0, 90))] for _ in range(60)] + [None, []]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "doc_id bigint, ids array<bigint>")
+    path = f"file://{tmp_path}/ids"
+    m = order.write(docs, path, ids_col="ids", width=width, length=32, shard_rows=7, end=top, pad=0)
+    rows = sorted(order.read(spark, path).collect(), key=lambda r: r["sequence"])
+    assert all(r["sound"] for r in rows) and m["stride"] == order.HEAD_SIZE + 32 * width + 1 and len(rows) == m["sequences"]
+    flat = np.frombuffer(b"".join(bytes(r["ids"]) for r in rows), f"<u{width}").tolist()
+    got, now = [], []
+    for x in flat:
+        if x == top:
+            got.append(now)
+            now = []
+        else:
+            now.append(x)
+    assert sorted(got) == sorted(x or [] for x in lists) and not now
+    assert sorted(r["slot"] for r in order.read(spark, path, 9).collect()) == list(range(9, len(rows)))
+    with pytest.raises(Exception, match="does not fit"):
+        order.write(docs.select(F.array(F.lit(1 << 40)).alias("ids")), f"file://{tmp_path}/bad", ids_col="ids", width=width)
+
+
 def restored(rows):
     data = b"".join(bytes(r["ids"]) for r in sorted(rows, key=lambda r: r["sequence"]))
     return data.split(bytes([order.END]))[:-1]
