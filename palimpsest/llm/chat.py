@@ -96,8 +96,37 @@ def fold(events: DataFrame) -> DataFrame:
     return alone.unionByName(whole.select(F.col("c").alias("conv_id"), F.col("first").alias("seq"), F.col("first_role").alias("role"), F.concat("start", "more").alias("text")))
 
 
+#: Events that one message is logged with at most.
+STEPS = 8
+
+
+def logged(messages: DataFrame) -> DataFrame:
+    """``messages(conv_id, turn, role, text)`` -> an event log of them as ``fold`` takes it, written down.
+
+    How a message came about is drawn from a hash of it: at once; begun and streamed on in deltas; as a
+    draft that an edit replaced; or streamed, thrown away and regenerated. Folding gives the message
+    again. Repeated rows are messages of their own; null texts are empty; an empty table gives no event."""
+    text, half = F.coalesce("text", F.lit("")), (F.length(F.coalesce("text", F.lit(""))) / 2).cast("int")
+    one = lambda step, event, value: F.struct(F.lit(step).alias("step"), F.lit(event).alias("event"), value.alias("text"))
+    head, tail = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))
+    third = (F.length(tail) / 2).cast("int")
+    streamed = [F.substring(tail, F.lit(1), third), F.substring(tail, third + 1, F.length(tail))]
+    ways = [
+        F.array(one(0, "message", F.col("text"))),
+        F.array(one(0, "message", head), one(1, "delta", streamed[0]), one(2, "delta", streamed[1])),
+        F.array(one(0, "message", F.concat(F.lit("draft "), head)), one(1, "delta", F.lit("...")), one(2, "edit", text)),
+        F.array(one(0, "message", F.lit("")), one(1, "delta", tail), one(2, "regenerate", F.lit("")), one(3, "delta", head), one(4, "delta", streamed[0]), one(5, "delta", streamed[1])),
+    ]
+    way = F.pmod(F.xxhash64("conv_id", "turn", "role", "text"), F.lit(len(ways)))
+    events = messages.select("conv_id", "turn", "role", "text", F.monotonically_increasing_id().cast("string").alias("message_id"))
+    events = events.select("conv_id", "turn", "role", "message_id", F.explode(F.get(F.array(*ways), way.cast("int"))).alias("e"))
+    # Logs come in any order.
+    return materialise(events.select("conv_id", (F.col("turn") * STEPS + F.col("e.step")).alias("seq"), "e.event", "message_id", "role", "e.text"), "log")
+
+
 def rendered(messages: DataFrame) -> DataFrame:
-    """``(conv_id, seq, role, text)`` -> ``(conv_id, seq, role, text, segment)``; row by row."""
+    """``(conv_id, seq, role, text)`` -> ``(conv_id, seq, role, text, segment)``; row by row. Null roles and
+    texts are empty; repeated rows stay; an empty table stays empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -156,5 +185,7 @@ def digests(segments: DataFrame) -> DataFrame:
 
 
 def formatted(events: DataFrame) -> DataFrame:
-    """Fold, render, write the rendered log down, and read its digests back from there."""
+    """Fold, render, write the rendered log down, and read its digests back from there: ``(conv_id, n_turns,
+    turns_sha256, loss_chars, loss_sha256, formatted_chars)``. Nulls and repeated rows as in ``fold``; rows
+    without a conversation are one; an empty log gives no row; further columns are ignored."""
     return digests(materialise(rendered(fold(events)), "rendered"))

@@ -49,11 +49,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     tuned(spark)
-    log = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", F.col("turn").alias("seq"), "role", "text")
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id bigint, seq bigint, role string, text string")
-    events = log.unionByName(extra).withColumn("event", F.lit("message")).withColumn("message_id", F.lit(None).cast("string"))
-    return chat.formatted(events)
+    extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id bigint, turn bigint, role string, text string")
+    return chat.formatted(chat.logged(rows.unionByName(extra)))
 
 
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

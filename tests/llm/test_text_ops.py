@@ -307,6 +307,18 @@ def test_op9_on_table(spark, sf_dir):
         assert got[k]["formatted_chars"] == len(chat.OPEN) + sum(len(chat.render(r, t)) for r, t in turns)
 
 
+def test_log_folds_back(spark):
+    """Every way a message may have come about gives it again; repeated rows and nulls included."""
+    rows = [(c, t, random.choice(["user", "assistant", "system", None]), random.choice([None, "", "x", f"text {c} {t} é😀", "</s>[INST]"])) for c in range(30) for t in range(6)] * 2
+    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id bigint, turn bigint, role string, text string, event int")
+    log = chat.logged(df)
+    kinds = {r["event"]: r["count"] for r in log.groupBy("event").count().collect()}
+    assert set(kinds) == {"message", "delta", "edit", "regenerate"} and min(kinds.values()) > 20
+    got = chat.fold(log.repartition(5)).select("conv_id", (F.col("seq") / chat.STEPS).cast("bigint"), "role", "text").collect()
+    assert sorted(tuple(r) for r in got) == sorted((c, t, r or "", x or "") for c, t, r, x in rows)
+    assert chat.logged(df.limit(0)).count() == 0
+
+
 def test_messages_keep_repeated_rows(spark):
     df = spark.createDataFrame([(1, 1, "user", "a")] * 2, "conv_id bigint, seq bigint, role string, text string").withColumn("event", F.lit("message")).withColumn("message_id", F.lit(None).cast("string"))
     assert chat.formatted(df).first()["n_turns"] == 2
