@@ -13,6 +13,7 @@ import hashlib
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -145,16 +146,18 @@ _SPELLED = {
 }
 _WORD = "(?:" + "|".join(sorted(_SPELLED, key=len, reverse=True)) + ")"
 _DOT_WORD = "(?:dot|punkt|point|punto)"
-#: Digit words and digits, joined by blanks, dashes or "dot"; at least four digit words in a row.
-_SPELLED_RUN = re.compile(rf"(?i)(?<!\w)(?:(?:plus|\+)[ -]{{0,3}})?(?:{_WORD}|[0-9]{{1,4}})(?:(?:[ -]{{1,3}}|[ ]{{0,2}}[.,][ ]?|[ ]{{1,2}}{_DOT_WORD}[ ]{{1,2}})(?:{_WORD}|[0-9]{{1,4}})){{3,}}(?!\w)")
-_TOKEN = re.compile(rf"(?i){_WORD}|[0-9]+|{_DOT_WORD}|plus|\+|[ ,.-]+")
+#: Digit words and digits, joined by blanks, dashes or "dot".
+_SPELLED_RUN = re.compile(rf"(?i)(?<!\w)(?:(?:plus|\+)[ -]*+)?(?:{_WORD}|[0-9]++)(?!\w)(?:(?:[ -]++(?!{_DOT_WORD}\b)|[ ]?[.][ ]?|[ ]++{_DOT_WORD}[ ]++)(?:{_WORD}|[0-9]++)(?!\w))++")
+_TOKEN = re.compile(rf"(?i){_WORD}|[0-9]+|{_DOT_WORD}|plus|\+|[ .-]+")
+#: Digit words that a run needs, and how many when a plus sign opens it.
+LEAST_WORDS, LEAST_AFTER_PLUS = 4, 2
 _AT = r"(?:[ ]?[\[\(\{<][ ]?(?:at|@|arroba|arobase|ät)[ ]?[\]\)\}>][ ]?|[ ]@[ ]|[ ](?:at|arroba|arobase)[ ]|@)"
 _DOT = r"(?:[ ]?[\[\(\{<][ ]?(?:dot|\.|punkt|point|punto)[ ]?[\]\)\}>][ ]?|[ ](?:dot|punkt|punto|point)[ ]|\.)"
-_HIDDEN = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{{1,64}}(?:{_DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,4}}?{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,4}}")
 _BRACKETED = re.compile(r"[\[({<] ?(?:at|@|arroba|arobase|ät|dot|\.|punkt|point|punto) ?[\])}>]")
 _LOOSE = (" dot ", " punkt ", " punto ", " point ", " @ ")
 _AT_1, _DOT_1 = re.compile("(?i)" + _AT), re.compile("(?i)" + _DOT)
-_HIDDEN_IP = re.compile(rf"(?i)(?<![0-9.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])")
+_HIDDEN_IP = re.compile(rf"(?i)(?<![0-9.])[0-9]++(?:{_DOT}[0-9]++){{3}}")
+_NAME, _LABEL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-"), re.compile("[A-Za-z0-9-]+")
 
 
 def _alike(m: Mapped) -> Mapped:
@@ -171,18 +174,20 @@ def _alike(m: Mapped) -> Mapped:
 
 
 def _spelled(low: str) -> bool:
-    """Four digit words stand close together (needed for a run)."""
-    at = [i for i, w in enumerate(low.replace("-", " ").replace(",", " ").replace(".", " ").split()) if w in _SPELLED]
-    return any(b - a <= 64 for a, b in zip(at, at[3:]))
+    """Digit words stand close enough together for a run, or after a plus sign."""
+    at = [i for i, w in enumerate(low.replace("-", " ").replace(".", " ").replace("+", " ").split()) if w in _SPELLED]
+    return any(b - a <= 64 for a, b in zip(at, at[LEAST_WORDS - 1 :])) or len(at) >= LEAST_AFTER_PLUS and ("+" in low or "plus" in low)
 
 
 def _digits(m: Mapped, low: str) -> Mapped:
+    """Runs of one digit word over and over, as lists of nulls are, stay."""
     if not _spelled(low):
         return m
     edits = []
     for run in _SPELLED_RUN.finditer(m.text):
         tokens = [(t.start() + run.start(), t.end() + run.start(), t[0].lower()) for t in _TOKEN.finditer(run[0])]
-        if sum(t in _SPELLED for _, _, t in tokens) < 4:
+        words = [t for _, _, t in tokens if t in _SPELLED]
+        if len(words) < (LEAST_AFTER_PLUS if tokens[0][2] in ("plus", "+") else LEAST_WORDS) or len(set(words)) < 2:
             continue
         for k, (lo, hi, t) in enumerate(tokens):
             if t in _SPELLED:
@@ -199,25 +204,49 @@ def _digits(m: Mapped, low: str) -> Mapped:
 
 
 def _signs(m: Mapped, low: str) -> Mapped:
+    """Around each sign that may stand for "at", the names that disguised or plain dots string together."""
     if not any(x in low for x in _LOOSE) and not _BRACKETED.search(low):
         return m
-    spans = []
-    for x in _HIDDEN.finditer(m.text):
-        ats = [(a.start() + x.start(), a.end() + x.start(), "@") for a in _AT_1.finditer(x[0])]
-        dots = [(d.start() + x.start(), d.end() + x.start(), ".") for d in _DOT_1.finditer(x[0])]
-        # Plain words around a bare "at" are an address only with a disguised dot or bracketed sign.
-        if len(ats) == 1 and any(m.text[a:b] not in ("@", ".") for a, b, _ in ats + dots):
-            bare = m.text[ats[0][0] : ats[0][1]].strip().isalpha()
-            if not bare or all(m.text[a:b] != "." for a, b, _ in dots if a >= ats[0][1]):
-                spans.append((x.start(), x.end(), sorted(ats + [d for d in dots if d[0] >= ats[0][1] or d[1] <= ats[0][0]])))
-    for x in _HIDDEN_IP.finditer(m.text):
-        dots = [(d.start() + x.start(), d.end() + x.start(), ".") for d in _DOT_1.finditer(x[0])]
-        if any(m.text[a:b] != "." for a, b, _ in dots):
-            spans.append((x.start(), x.end(), dots))
+    text = m.text
+    dots = [(d.start(), d.end()) for d in _DOT_1.finditer(text)]
+    before, after = {e: s for s, e in dots}, dict(dots)
+    found, floor = [], 0
+    for at in _AT_1.finditer(text):
+        own, lo, hi = [], at.start(), at.end()
+        while True:  # to the left, not into the address before
+            run = lo
+            while run > floor and text[run - 1] in _NAME:
+                run -= 1
+            if run == lo:
+                lo = own.pop()[1] if own else None
+                break
+            lo = run
+            if lo not in before or before[lo] < floor:
+                break
+            own.append((before[lo], lo))
+            lo = before[lo]
+        label, domain = _LABEL.match(text, hi), []
+        while label:
+            hi = label.end()
+            dot = (hi, after[hi]) if hi in after else None
+            label = _LABEL.match(text, dot[1]) if dot else None
+            if label:
+                domain.append(dot)
+        if lo is None or not domain:
+            continue
+        # Plain words around a bare "at" are an address only with all dots of the domain in disguise.
+        signs = [at.span(), *own, *domain]
+        if any(text[a:b] not in ("@", ".") for a, b in signs) and (not at[0].strip().isalpha() or all(text[a:b] != "." for a, b in domain)):
+            found.append((lo, hi, sorted((a, b, "@" if a == at.start() else ".") for a, b in signs)))
+            floor = hi
+    for x in _HIDDEN_IP.finditer(text):
+        own = [(d.start() + x.start(), d.end() + x.start(), ".") for d in _DOT_1.finditer(x[0])]
+        if any(text[a:b] != "." for a, b, _ in own):
+            found.append((x.start(), x.end(), own))
     edits, end = [], -1
-    for lo, hi, own in sorted(spans, key=lambda s: s[:2]):
+    for lo, hi, own in sorted(found, key=lambda s: s[:2]):
         if lo >= end:
-            edits += [e for e in own if m.text[e[0] : e[1]] != e[2]]
+            edits += [e for e in own if text[e[0] : e[1]] != e[2]]
             end = hi
     return m.rewrite(edits)
 
@@ -232,12 +261,16 @@ def spans(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int,
     m = _signs(_digits(m, low), low)
     if m.text is text or len(m.at) == 1 and m.plain[0]:
         return base, base
-    taken, added = sorted((s, e) for s, e, _ in base), []
+    added, end, k = [], 0, 0
+    taken = sorted((s, e) for s, e, _ in base)
+    reach = list(accumulate((e for _, e in taken), max))  # furthest end of the base spans so far
     for s, e, kind in base_spans(m.text):
         lo, hi = m.source(s, e)
-        if all(hi <= a or lo >= b for a, b in taken):
+        while k < len(taken) and taken[k][0] < hi:
+            k += 1
+        if lo >= end and (not k or reach[k - 1] <= lo):
             added.append((lo, hi, kind))
-            taken.append((lo, hi))
+            end = hi
     return base, sorted(base + added, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
