@@ -1,8 +1,7 @@
 """Quality classifier: naive Bayes support vectors.
 
 Features are n-gram indicators: words and pairs of words, their shapes (letter case, digits,
-signs) and pairs of shapes, and back-references (how often a word equals the one p places
-before). Each is scaled by its log-count ratio between the classes; a linear hinge-loss model is
+signs) and pairs of shapes. Each is scaled by its log-count ratio between the classes; a linear hinge-loss model is
 then fitted by dual coordinate descent, and its margin mapped to a probability on scores from
 held-out halves of the training rows.
 """
@@ -28,8 +27,6 @@ SMOOTH, COST, EPOCHS = 1.0, 1.0, 12
 CUT = 0.3
 
 _SHAPE = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else 32 if c in (9, 10, 11, 12, 13, 32) else c for c in range(256))
-_PERIODS = (1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 20)
-_LEVELS = (0.05, 0.1, 0.2, 0.35, 0.5, 0.75, 0.95)
 
 
 def _squeeze(shape: bytes) -> bytes:
@@ -56,12 +53,6 @@ def features(text: str | None) -> np.ndarray:
     g = np.fromiter(map(crc32, shapes), np.uint64, len(shapes))
     k = np.uint64(1 << 32)
     parts = [h + k, g + k * np.uint64(2), h[:-1] * np.uint64(31) + h[1:] + k * np.uint64(64), g[:-1] * np.uint64(31) + g[1:] + k * np.uint64(128)]
-    refs = [np.uint64(1000 + min(n, 40) // 5)]
-    for p in _PERIODS:
-        if n > p:
-            share = float((h[p:] == h[:-p]).mean())
-            refs += [np.uint64(2000 + 100 * p + i) for i, level in enumerate(_LEVELS) if share >= level]
-    parts.append(np.array(refs, np.uint64))
     return np.unique(_mix(np.concatenate(parts))).astype(np.int32)
 
 
@@ -160,7 +151,8 @@ def held_out(id_col: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Model:
     """Fit on at most ``rows`` labelled documents that are not held out. Null labels and ids are skipped;
-    of several labels of one id the least counts."""
+    of several labels of one id the least counts, of several texts of one id the one with the least
+    features. Empty tables give a constant model. Further columns are ignored."""
     given = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).filter(~held_out(F.col(id_col)))
     given = given.groupBy(F.col(id_col).alias("id")).agg(F.min(F.col(label_col).cast("int")).alias("y"))
     # Bounded: at most ``rows`` pairs of numbers.
@@ -172,7 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(pick, "id").select("id", "y", "text")
     kind = docs.schema[id_col].dataType.simpleString()
-    got = sorted(((r["id"], r["y"], bytes(r["f"])) for r in texts.mapInArrow(run, f"id {kind}, y int, f binary").toLocalIterator()), key=lambda r: (r[0], r[2]))
+    made = texts.mapInArrow(run, f"id {kind}, y int, f binary").groupBy("id", "y").agg(F.min("f").alias("f"))
+    got = sorted(((r["id"], r["y"], bytes(r["f"])) for r in materialise(made, "features").collect()), key=lambda r: r[0])  # at most ``rows``
     return fit([np.frombuffer(f, np.int32) for _, _, f in got], [y for _, y, _ in got])
 
 
@@ -194,4 +187,5 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(doc_id, held_out, score, predicted)`` by a model of ``labels``; rows as in ``scored``, labels as in ``train``."""
     return scored(docs, train(docs, labels))

@@ -367,6 +367,34 @@ def test_op8_held_out_accuracy(spark, sf_dir):
     assert sum(y == p for y, _, p in judged) >= 0.85 * len(judged)
 
 
+def test_ratios_and_descent_by_hand():
+    """Log-count ratios from plain counts; the dual's optimum holds the conditions that define it."""
+    random.seed(31)
+    rows = [np.unique([random.randrange(40) for _ in range(8)] + [50 + (i % 3 > 0)] * (i % 7 > 0)).astype(np.int32) for i in range(120)]
+    y = np.array([int(i % 3 > 0) for i in range(120)])
+    r = quality.ratios(rows, y)
+    for f in range(60):
+        p, q = (sum(f in row for row, t in zip(rows, y) if t == k) + 1 for k in (1, 0))
+        sums = [sum(len(row) for row, t in zip(rows, y) if t == k) + (1 << quality.BITS) for k in (1, 0)]
+        assert abs(r[f] - np.log(p / sums[0] / (q / sums[1]))) < 1e-9
+    w, b = quality.descend(rows, y, r, epochs=400)
+    x = np.zeros((120, 61))
+    for i, row in enumerate(rows):
+        x[i, row] = r[row] / np.sqrt((r[row] ** 2).sum())
+    x[:, 60] = 1
+    sign = np.where(y > 0, 1.0, -1.0)
+    top = 120 / (2 * np.where(y > 0, (y == 1).sum(), (y == 0).sum()))
+    alpha = np.zeros(120)  # projected gradient on the same dual
+    gram = (x * sign[:, None]) @ (x * sign[:, None]).T
+    step = 1 / np.linalg.eigvalsh(gram).max()
+    for _ in range(60_000):
+        alpha = np.clip(alpha - step * (gram @ alpha - 1), 0, top)
+    v = (alpha * sign) @ x
+    primal = lambda v: 0.5 * v @ v + (top * np.maximum(0, 1 - sign * (x @ v))).sum()
+    mine = np.append(w[:60], b)
+    assert primal(mine) <= primal(v) * 1.002 + 1e-6 and np.abs(mine - v).max() < 0.05
+
+
 def test_held_out_rows_are_never_seen(spark):
     docs = spark.createDataFrame([(i, f"good words {i} here" if i % 2 else f"BAD!! {i} ***") for i in range(300)], "doc_id bigint, text string")
     honest = spark.createDataFrame([(i, i % 2, 0) for i in range(300)], "doc_id bigint, quality int, toxic int")
