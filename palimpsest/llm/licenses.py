@@ -1,6 +1,7 @@
 """License scan: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Units of a text are its lines (headers and notices) and the whole text (licence files). A unit's
+Units of a text are its lines and its paragraphs (headers and notices, also wrapped over lines of a
+comment; a line without letters and digits ends a paragraph) and the whole text (licence files). A unit's
 vector has a term for every distinct token, weighted by its count and by the token's inverse
 document frequency among the templates; tokens of no template get the largest such weight. The
 cosine with each template is a join on tokens, so only tokens that a template has meet anything.
@@ -23,12 +24,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, small
 
 THRESHOLD = 0.7
 #: Template words that a unit must have, if the template has so many: "mit" alone is German, not a licence.
 HITS = 2
 
+#: Ends a paragraph, in the syntax that both engines share.
+PARAGRAPH = r"\n(?:[^A-Za-z0-9\n]*\n)+"
+
 #: Licence names as notices write them.
 NAMES = {
     "AGPL-3.0": ["GNU Affero General Public License, version 3", "GNU AGPL v3.0"],
@@ -129,7 +133,7 @@ def _tokens(text: Column) -> Column:
 
 
 def _best(units: DataFrame, spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
-    """``units(rid, whole, unit, text)`` -> best template of each row's lines and of its whole text."""
+    """``units(rid, whole, unit, text)`` -> best template of each row's parts and of its whole text."""
     vectors, idf, unknown, _ = model(rows)
     weights = F.broadcast(spark.createDataFrame(vectors, "template int, license string, token string, weight double, need int"))  # fixed size
     idfs = F.broadcast(spark.createDataFrame(sorted(idf.items()), "token string, idf double"))  # fixed size
@@ -149,7 +153,7 @@ def parent(path: Column) -> Column:
 def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, path, license, score, origin, license_dir)`` for each row of ``docs``.
 
-    ``origin``: ``file`` when the whole text is a licence, ``header`` when one of its lines is a notice,
+    ``origin``: ``file`` when the whole text is a licence, ``header`` when one of its lines or paragraphs is a notice,
     ``inherited`` from the licence file in the nearest directory above, else null. Of several licences
     the best cosine wins, then the greater name; a directory with several licence files likewise.
     Null or empty texts have no licence of their own; null paths inherit nothing; repeated rows each get
@@ -158,17 +162,19 @@ def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     spark, rows = docs.sparkSession, templates()
     anchors = model(rows)[3]
     base = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), F.col(text_col).alias("text"))
-    base = base.select("doc_id", "path", F.rlike(F.lower(F.col("text")), F.lit("(?<![a-z0-9])(?:" + "|".join(anchors) + ")(?![a-z0-9])")).alias("may"), "text")
-    found = base.filter("may").select("doc_id", "path", "text")
-    marked = materialise(found.withColumn("rid", F.monotonically_increasing_id()), "anchored")
+    anchored = lambda c: F.rlike(F.lower(c), F.lit("(?<![a-z0-9])(?:" + "|".join(anchors) + ")(?![a-z0-9])"))
+    # Texts are looked through once; only those with an anchor are written down.
+    seen = base.select("doc_id", "path", F.when(anchored(F.col("text")), F.col("text")).alias("text"))
+    seen = materialise(seen.withColumn("rid", F.monotonically_increasing_id()), "anchored")
+    marked = seen.filter("text is not null")
     lines = marked.select("rid", F.lit(False).alias("whole"), F.posexplode(F.split("text", "\n")).alias("unit", "text"))
-    lines = lines.filter(F.rlike(F.lower("text"), F.lit("(?<![a-z0-9])(?:" + "|".join(anchors) + ")(?![a-z0-9])")))
-    units = lines.unionByName(marked.select("rid", F.lit(True).alias("whole"), F.lit(0).alias("unit"), "text"))
+    blocks = marked.select("rid", F.lit(False).alias("whole"), F.posexplode(F.split("text", PARAGRAPH)).alias("unit", "text")).withColumn("unit", -1 - F.col("unit"))
+    parts = lines.unionByName(blocks.filter(F.contains("text", F.lit("\n")))).filter(anchored(F.col("text")))
+    units = parts.unionByName(marked.select("rid", F.lit(True).alias("whole"), F.lit(0).alias("unit"), "text"))
     best = materialise(_best(units, spark, rows), "licensed")
     own = best.groupBy("rid").agg(F.max(F.struct("whole", "score", "license")).alias("b"))
-    with_own = marked.join(own, "rid", "left").select("doc_id", "path", F.col("b.license").alias("license"), F.col("b.score").alias("score"), F.when(F.col("b.whole"), "file").when(F.col("b.license").isNotNull(), "header").alias("origin"))
-    none = base.filter("not coalesce(may, false)").select("doc_id", "path", F.lit(None).cast("string").alias("license"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("origin"))
-    every = materialise(with_own.unionByName(none), "owned").withColumn("dir", parent(F.col("path")))
+    every = seen.drop("text").join(own, "rid", "left").select("doc_id", "path", F.col("b.license").alias("license"), F.col("b.score").alias("score"), F.when(F.col("b.whole"), "file").when(F.col("b.license").isNotNull(), "header").alias("origin"))
+    every = materialise(every, "owned").withColumn("dir", parent(F.col("path")))
     return inherit(every)
 
 
@@ -183,7 +189,7 @@ def inherit(files: DataFrame) -> DataFrame:
     near = ups.join(licensed, "up").groupBy("dir").agg(F.max(F.struct(F.length("up").alias("depth"), "up", "from_license", "from_score")).alias("b"))
     near = materialise(near.select("dir", F.col("b.up").alias("up"), F.col("b.from_license").alias("from_license"), F.col("b.from_score").alias("from_score")), "nearest")
     inherited = F.col("license").isNull() & F.col("from_license").isNotNull()
-    return files.join(near, "dir", "left").select(
+    return files.join(small(near), "dir", "left").select(
         "doc_id",
         "path",
         F.coalesce("license", "from_license").alias("license"),
@@ -203,6 +209,7 @@ def op4_sql() -> str:
 WITH v(template, license, token, weight, need) AS (VALUES {vec}), i(token, idf) AS (VALUES {idfs}),
 d AS (SELECT doc_id, concat(source, '/', lang, '/', doc_id) AS path, concat(source, '/', lang) AS dir, coalesce(text, '') AS text FROM documents),
 l AS (SELECT doc_id, false AS whole, unnest(range(len(string_split(text, chr(10))))) AS unit, unnest(string_split(text, chr(10))) AS text FROM d
+  UNION ALL SELECT doc_id, false, -1 - unnest(range(len(p))), unnest(p) FROM (SELECT doc_id, string_split_regex(text, {quote(PARAGRAPH)}) AS p FROM d)
   UNION ALL SELECT doc_id, true, 0, text FROM d),
 t AS (SELECT doc_id, whole, unit, token, count(*) AS n FROM (SELECT doc_id, whole, unit, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM l) WHERE token NOT IN ({", ".join(map(quote, STOP))}) GROUP BY ALL),
 h AS (SELECT t.*, n * coalesce(idf, {unknown!r}::DOUBLE) AS w FROM t LEFT JOIN i USING (token)),

@@ -193,8 +193,10 @@ def test_whole_license_files_are_inherited(spark):
         rows += [(2 * k, f"{name}/LICENSE", head.format(name) + (licenses.TEXTS / f"{name}.txt").read_text()), (2 * k + 1, f"{name}/src/x.py", "print nothing")]
     one = 'x = 1\n# Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License\n' + "filler words here " * 40
     rows.append((100, "z/x.py", one))
+    wrapped = "/*\n * " + licenses._HEADERS[1][1].replace(", ", ",\n * ") + "\n *\n */\n\nint main() { return 0; }\n" + "filler words here\n" * 40
+    rows.append((101, "z/y.c", wrapped))
     got = {r["doc_id"]: (r["license"], r["origin"], r["license_dir"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, path string, text string"), F.col("path")).collect()}
-    want = {100: ("Apache-2.0", "header", None)}
+    want = {100: ("Apache-2.0", "header", None), 101: ("Apache-2.0", "header", None)}
     for k, name in enumerate(names):
         want |= {2 * k: (name, "file", name), 2 * k + 1: (name, "inherited", name)}
     assert got == want
