@@ -31,7 +31,7 @@ BRACKET_LINE: Rules = [(r"([＜〔【≪《][^＞〕】≫》]+[＞〕】≫》]
 BRACKET_NUMBER: Rules = [("^" + BLANK + r"([(\[<（][0-9]+[)\]>）])", "\n" + r"\1" + "\n")]
 NUMBER_LINE: Rules = [("^" + BLANK + r"*([0-9]+)(\.?)" + BLANK + "+", "\n" + r"\1\2" + "\n")]
 PUNCTUATION: Rules = [(r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]""", "")]
-#: Control, format, private-use and unassigned characters, and all beyond the basic plane.
+#: Control, format and private-use characters, and all beyond the basic plane.
 UNPRINTABLE: Rules = [(r"[\p{Cc}\p{Cf}\p{Co}\x{10000}-\x{10FFFF}]", "")]
 MATH: Rules = [(r"[\x{370}-\x{3FF}\x{1F00}-\x{1FFF}\x{2100}-\x{214F}\x{2190}-\x{21FF}\x{2200}-\x{22FF}\x{2300}-\x{23FF}\x{25A0}-\x{25FF}\x{2600}-\x{26FF}\x{2700}-\x{27BF}\x{27C0}-\x{27EF}\x{2980}-\x{29FF}\x{2A00}-\x{2AFF}\x{2B00}-\x{2BFF}]", "")]
 #: The simpler variant of the normaliser breaks lines at other places.

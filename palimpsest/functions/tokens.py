@@ -41,6 +41,11 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
 
 
+def any_token(c: Column) -> Column:
+    """The index form is not empty; no token is cut out for that."""
+    return c.rlike(TOKEN)
+
+
 def split_words(c: Column) -> Column:
     """Words of one class each, joined by single blanks; the index form of a line."""
     t = tokens(c)

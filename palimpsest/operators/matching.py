@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import tokens as T
-from .lines import explode, sentences, with_index
+from .lines import TABLE_LINE, explode, sentences, with_index
 
 #: Prefix rows are broadcast up to so many; beyond, the join on pieces is shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -29,7 +29,8 @@ _EPS = 1e-9
 class SearchParams:
     """rate: least similarity of a matched pair. min_words: index words that a source line needs.
     is_jp: compare index forms instead of lines. rough_lines: block size of the lossy prefilter, 0 off.
-    separators: blanks between pieces count as pieces. accept_zero: a rate of 0 qualifies at level 0."""
+    separators: blanks between pieces count as pieces. accept_zero: at rate 0, pairs that share nothing qualify.
+    exclude_tables: runs of numeric lines take no part."""
 
     rate: float = 0.6
     min_words: int = 10
@@ -38,12 +39,13 @@ class SearchParams:
     separators: bool = False
     accept_zero: bool = False
     exclude_tables: bool = False
-    seed: int = 17
 
 
 def line_table(docs: DataFrame, id_col: str, is_jp: bool = False) -> DataFrame:
-    """``(id, line_no, text, idx, n_idx_words, words)`` of all lines with content."""
-    lines = with_index(explode(docs, id_col, sentences(F.col("text")))).filter((F.col("text") != "") & (F.col("idx") != ""))
+    """``(id, line_no, text, idx, n_idx_words, words)`` of all lines with content. The index form is made only
+    where something reads it."""
+    lines = explode(docs, id_col, sentences(F.col("text")))
+    lines = with_index(lines.filter((F.col("text") != "") & T.any_token(F.col("text"))))
     return lines.withColumn("words", T.pieces(F.col("idx" if is_jp else "text")))
 
 
@@ -60,8 +62,14 @@ def numbered(words: Column) -> Column:
 def candidates(src: DataFrame, tgt: DataFrame, params: SearchParams) -> DataFrame:
     """Pairs ``(src_id, src_line, doc_id, tgt_line, src_words, tgt_words)`` that may reach the rate; all that do are among them."""
     t = params.rate
+    if params.separators and t <= 0.5:
+        raise ValueError("blanks alone can reach a rate of 0.5: nothing could be pruned")
+    if params.exclude_tables:
+        src, tgt = (x.filter(~F.trim("text").rlike(TABLE_LINE)) for x in (src, tgt))
     src = src.select("src_id", F.col("line_no").alias("src_line"), F.col("words").alias("src_words"))
     tgt = tgt.select("doc_id", F.col("line_no").alias("tgt_line"), F.col("words").alias("tgt_words"))
+    if t <= 0 and params.accept_zero:  # the stated source lines meet every target line
+        return tgt.crossJoin(_checked(src))
     # With separators counted a match also earns blanks; a weaker bound on shared pieces stays lossless.
     bound = max(0.0, (t * 1.0 if not params.separators else 2 * t - 1))
     vocabulary = src.select(F.explode("src_words").alias("w")).distinct()
@@ -90,13 +98,13 @@ def _checked(df: DataFrame) -> DataFrame:
 def similarity_join(src: DataFrame, tgt: DataFrame, params: SearchParams, native: bool = False) -> DataFrame:
     """``(src_id, src_line, doc_id, tgt_line, match_words, total_words, rate)`` of all pairs at the rate or above.
 
-    At rate 0 every pair with a common piece qualifies (and, with ``accept_zero``, no pair is pruned)."""
+    At rate 0 every pair with a common piece qualifies, with ``accept_zero`` every pair."""
     pairs = candidates(src, tgt, params)
     a, b = F.col("src_words"), F.col("tgt_words")
     x, y = (S.with_blanks(a), S.with_blanks(b)) if params.separators else (a, b)
     scored = pairs.withColumn("lcs", S.lcs_native(x, y) if native else S.lcs_arrow(x, y))
     match, total, rate = S.word_rate(a, b, F.col("lcs"), params.separators)
-    return scored.select("src_id", "src_line", "doc_id", "tgt_line", match.cast("int").alias("match_words"), total.cast("int").alias("total_words"), rate.alias("rate")).filter((F.col("rate") >= params.rate) & (F.col("rate") > 0))
+    return scored.select("src_id", "src_line", "doc_id", "tgt_line", match.cast("int").alias("match_words"), total.cast("int").alias("total_words"), rate.alias("rate")).filter((F.col("rate") >= params.rate) & ((F.col("rate") > 0) | F.lit(params.accept_zero)))
 
 
 def greedy(pairs: DataFrame) -> DataFrame:
@@ -125,12 +133,15 @@ def totals(src_lines: DataFrame, params: SearchParams) -> DataFrame:
     return eligible(src_lines, params).groupBy("src_id").agg(F.count("*").cast("int").alias("total"))
 
 
-def rank(matches: DataFrame, sources: list, total: DataFrame, targets: DataFrame) -> DataFrame:
-    """``(src_id, doc_id, match_count, total, rate)`` for each source of the stated list and every target.
+def rank(matches: DataFrame, sources: DataFrame, total: DataFrame, targets: DataFrame) -> DataFrame:
+    """``(src_id, doc_id, match_count, total, rate)`` for each of the stated ``sources(src_id)`` and every target.
 
-    Pairs without a match, and targets without text, get a zero row."""
+    Pairs without a match, and targets without text, get a zero row. The sources are a query set: their
+    ids go to the targets as one array, so no target is moved to make the rows."""
     counted = matches.groupBy("src_id", "doc_id").agg(F.count("*").cast("int").alias("match_count"))
-    every = targets.select("doc_id", F.explode(F.array(*map(F.lit, sources))).alias("src_id"))
+    ids = [r[0] for r in sources.select("src_id").distinct().orderBy("src_id").collect()]
+    kind = sources.schema["src_id"].dataType.simpleString()
+    every = targets.select("doc_id", F.explode(F.array(*map(F.lit, ids)).cast(f"array<{kind}>")).alias("src_id"))
     out = every.join(counted, ["src_id", "doc_id"], "left").join(F.broadcast(total), "src_id", "left")  # a row a source
     out = out.select("src_id", "doc_id", F.coalesce("match_count", F.lit(0)).alias("match_count"), F.coalesce("total", F.lit(0)).alias("total"))
     return out.withColumn("rate", F.coalesce(F.try_divide(F.col("match_count").cast("double"), F.col("total").cast("double")), F.lit(0.0)))

@@ -201,10 +201,10 @@ def cleanup_text(spark, sf_dir):
 _CODES_SQL = "(SELECT page_id, upper(printf('%x', 61472 + page_id % 120)) AS code FROM pages)"
 
 
-@query(f"SELECT page_id, code, CASE WHEN page_id % 120 < {len(Y.PRIVATE_TO)} THEN substr({N.quote(Y.PRIVATE_TO)}, (page_id % 120 + 1)::INT, 1) ELSE ' ' END AS shown, translate(substr(html, 1, 40) || '∆', {N.quote(Y.SYMBOL_FONT + '∆')}, {N.quote(Y.SYMBOL_FONT_TO + 'Δ')}) AS greek FROM {_CODES_SQL} JOIN pages USING (page_id)")
+@query(f"SELECT page_id, code, CASE WHEN page_id % 120 < {len(Y.PRIVATE_TO)} THEN substr({N.quote(Y.PRIVATE_TO)}, (page_id % 120 + 1)::INT, 1) ELSE ' ' END AS shown, translate(html || '∆', {N.quote(Y.SYMBOL_FONT + '∆')}, {N.quote(Y.SYMBOL_FONT_TO + 'Δ')}) AS greek FROM {_CODES_SQL} JOIN pages USING (page_id)")
 def symbol_chars(spark, sf_dir):
     code = F.hex(F.lit(0xF020) + F.col("page_id") % 120)
-    return table(spark, sf_dir, "pages").select("page_id", code.alias("code"), Y.from_symbol_code(code).alias("shown"), Y.from_symbol_font(F.concat(F.substring("html", 1, 40), F.lit("∆"))).alias("greek"))
+    return table(spark, sf_dir, "pages").select("page_id", code.alias("code"), Y.from_symbol_code(code).alias("shown"), Y.from_symbol_font(F.concat("html", F.lit("∆"))).alias("greek"))
 
 
 # ---- tokens -------------------------------------------------------------------------------
@@ -390,14 +390,13 @@ def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.matched_rank(matched(spark, sf_dir), M.totals(M.line_table(bench(spark, sf_dir), "src_id"), PARAMS))
 
 
-@query(f"{_M} SELECT i AS src_id, d.doc_id, coalesce(match_count, 0) AS match_count, coalesce(totals.total, 0) AS total, coalesce(ranked.rate, 0.0) AS rate FROM documents d, (SELECT unnest([0, 1, 2, 3, 4]) AS i) LEFT JOIN ranked ON ranked.src_id = i AND ranked.doc_id = d.doc_id LEFT JOIN totals ON totals.src_id = i")
+@query(f"{_M} SELECT i.item_id AS src_id, d.doc_id, coalesce(match_count, 0) AS match_count, coalesce(totals.total, 0) AS total, coalesce(ranked.rate, 0.0) AS rate FROM documents d CROSS JOIN benchmark i LEFT JOIN ranked ON ranked.src_id = i.item_id AND ranked.doc_id = d.doc_id LEFT JOIN totals ON totals.src_id = i.item_id")
 def doc_rank(spark, sf_dir):
-    """Five stated sources against all documents, with the zero rows."""
-    five = bench(spark, sf_dir).filter(F.col("src_id").isin(0, 1, 2, 3, 4))
-    src, docs = M.line_table(five, "src_id"), table(spark, sf_dir, "documents")
+    """The whole stated set of sources against all documents, with the zero rows."""
+    sources, docs = bench(spark, sf_dir), table(spark, sf_dir, "documents")
+    src = M.line_table(sources, "src_id")
     found = M.greedy(M.similarity_join(M.eligible(src, PARAMS), M.line_table(docs, "doc_id"), PARAMS))
-    out = M.rank(found, [0, 1, 2, 3, 4], M.totals(src, PARAMS), docs)
-    return out
+    return M.rank(found, sources.select("src_id"), M.totals(src, PARAMS), docs)
 
 
 @query(f"{_M} SELECT * FROM ranked")
@@ -507,24 +506,31 @@ def rough_search(spark, sf_dir):
 # ---- locating -----------------------------------------------------------------------------
 
 
-@query(f"""{_M} SELECT m.src_id, m.doc_id, m.src_line, (strpos(d.text, l.text) > 0) AS found FROM matches m JOIN {_DOC} l ON l.doc_id = m.doc_id AND l.line_no = m.tgt_line JOIN documents d ON d.doc_id = m.doc_id
-WHERE NOT (length(l.text) < {P.LEAST_CHARS} AND len(string_split(l.text, ' ')) < {P.LEAST_WORDS}) AND NOT regexp_matches(l.text, '^[0-9]')""")
+_BODY = "regexp_replace(l.text, '^[0-9]+\\.?[\\t-\\r\\x85\\p{Z}]+', '')"
+
+
+@query(f"""{_M} SELECT m.src_id, m.doc_id, m.src_line, strpos(d.text, {_BODY}) > 0 AS found, (strpos(d.text, trim({_BODY})) - 1)::INT AS "begin", (strpos(d.text, trim({_BODY})) + length(trim({_BODY})) - 2)::INT AS "end"
+FROM matches m JOIN {_DOC} l ON l.doc_id = m.doc_id AND l.line_no = m.tgt_line JOIN documents d ON d.doc_id = m.doc_id
+WHERE NOT (length(l.text) < {P.LEAST_CHARS} AND len(string_split({_BODY}, ' ')) < {P.LEAST_WORDS})""")
 def pattern_spans(spark, sf_dir):
-    """Matched target lines looked up in their documents: each must be found again."""
+    """Matched target lines looked up in their documents: each must be found again, at its first place."""
     lines = doc_lines_of(spark, sf_dir).select("doc_id", F.col("line_no").alias("tgt_line"), F.col("text").alias("line"))
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
-    hit = matched(spark, sf_dir).join(lines, ["doc_id", "tgt_line"]).filter(~F.col("line").rlike("^[0-9]")).join(texts, "doc_id")
+    hit = matched(spark, sf_dir).join(lines, ["doc_id", "tgt_line"]).join(texts, "doc_id")
     hit = hit.withColumn("search", P.prepared(F.col("line"))).filter("search is not null").withColumn("spans", P.spans_arrow("search", "text"))
-    return hit.select("src_id", "doc_id", "src_line", (F.size("spans") > 0).alias("found"))
+    first = F.get("spans", F.lit(0))
+    return hit.select("src_id", "doc_id", "src_line", (F.size("spans") > 0).alias("found"), first["begin"].alias("begin"), first["end"].alias("end"))
 
 
 _OFF = f"(SELECT doc_id, line_no, text, (sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) - length(text) - 1)::INT AS start, (sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) - 2)::INT AS \"end\" FROM {_DOC})"
-_SPANS = "(SELECT doc_id, unnest(range(5))::INT AS span_no, unnest(list_transform(range(5), lambda i: (i * 97)::INT)) AS \"begin\", unnest(list_transform(range(5), lambda i: (i * 97 + 150)::INT)) AS stop FROM documents)"
+_SPANS = "(SELECT doc_id, n::INT AS span_no, (n * 97)::INT AS \"begin\", (n * 97 + 150)::INT AS stop FROM (SELECT doc_id, unnest(range((length(text) + 96) // 97)) AS n FROM documents))"
 
 
 def _spans(spark, sf_dir) -> DataFrame:
-    """Five spans of 151 characters for every document."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("span_no")).select("doc_id", "span_no", (F.col("span_no") * 97).alias("begin"), (F.col("span_no") * 97 + 150).alias("end"))
+    """Spans of 151 characters over the whole of every document, one at every 97th character."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n")).filter("n > 0")
+    docs = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 97).cast("int"))).alias("span_no"))
+    return docs.select("doc_id", "span_no", (F.col("span_no") * 97).alias("begin"), (F.col("span_no") * 97 + 150).alias("end"))
 
 
 @query(f'SELECT doc_id, line_no, start, "end" FROM {_OFF}')

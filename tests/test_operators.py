@@ -69,6 +69,22 @@ def test_separators_are_lossless_too(spark):
     assert [(r["src_line"], r["tgt_line"], r["match_words"], r["total_words"]) for r in found.collect()] == [(0, 0, 6, 7)]
 
 
+def test_zero_rate_tables_and_bounds(spark):
+    import pytest
+
+    a = spark.createDataFrame([(1, "a b c\n1 2 3\nx y z")], "src_id int, text string")
+    b = spark.createDataFrame([(2, "a b d\n1 2 3")], "doc_id int, text string")
+    src, tgt = M.line_table(a, "src_id"), M.line_table(b, "doc_id")
+    pairs = lambda **k: sorted((r["src_line"], r["tgt_line"], round(r["rate"], 2)) for r in M.similarity_join(src, tgt, M.SearchParams(min_words=1, **k)).collect())
+    assert pairs(rate=0.0) == [(0, 0, 0.67), (1, 1, 1.0)]
+    assert pairs(rate=0.0, accept_zero=True) == [(0, 0, 0.67), (0, 1, 0.0), (1, 0, 0.0), (1, 1, 1.0), (2, 0, 0.0), (2, 1, 0.0)]
+    assert pairs(rate=0.6, exclude_tables=True) == [(0, 0, 0.67)]
+    with pytest.raises(ValueError):
+        pairs(rate=0.4, separators=True)
+    ranked = M.rank(M.greedy(M.similarity_join(src, tgt, M.SearchParams(min_words=1))), a, M.totals(src, M.SearchParams(min_words=1)), b).collect()
+    assert [(r["src_id"], r["doc_id"], r["match_count"], r["total"]) for r in ranked] == [(1, 2, 2, 3)]
+
+
 def test_search_with_rough_filter_counts_rejected_lines(spark):
     text = "\n".join(f"word{i} alpha{i} beta{i} gamma{i} delta{i} eps{i}" for i in range(12))
     a = spark.createDataFrame([(1, text + "\nshort one")], "src_id int, text string")
