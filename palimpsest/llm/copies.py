@@ -4,13 +4,13 @@ One pass over the texts gives each its SimHash fingerprint and a MinHash sketch
 shingles. Fingerprints are linked by the Gray-order index of ``simhash``, at its radius of 4 bits; most
 texts that agree to 0.8 stand further apart than any such index can reach (9.7 bits on average at 0.8),
 so texts that share a band of their sketches are looked at as well. Whether two are alike is then
-decided on the shingles themselves.
+decided on their sets of shingles (as 64-bit hashes).
 
 Bands: 32 of 4 hashes; two texts at 0.8 share none with probability (1 - 0.8 ** 4) ** 32 = 5e-8, above
-0.8 with less. Inside a band's bucket nothing is paired with everything: first each text meets one
-centre of its bucket, and only where texts are still in different groups do further centres follow, 512
-at a time, until every member has been one. Sketches put aside pairs far from 0.8 before their texts
-are fetched.
+0.8 with less. Buckets in which all texts are linked already are put aside. The others go to tasks with
+the shingle sets of their members, large ones in tiles; a task skips pairs that are linked already and
+pairs whose sketches are far apart, compares the sets of the rest, and gives back links that span what
+it found, never the pairs.
 """
 
 from __future__ import annotations
@@ -20,22 +20,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, free, lookup, materialise, small
 from .graph import components
 from .simhash import majority, rooted, shingle_hashes, words_of
 
-SHINGLE = 5
 #: Least similarity, as a fraction.
 OVER, UNDER = 4, 5
 BANDS, ROWS = 32, 4
 #: Sketches hold 4 bits of each hash. At 0.8 two of them differ in 51 bits on average, deviation 10.4; at
 #: more than this (five deviations, similarity 0.6 on average) a pair is put aside.
 DIFFER = 103
-#: Members of a bucket that are centres in one round.
-CENTRES = 512
+#: Members of a bucket that one task compares; a larger one is cut into tiles that meet in pairs.
+TILE = 1_024
 
 _RNG = np.random.default_rng(20_11)
 _TIMES = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
@@ -43,27 +42,21 @@ _PLUS = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
 _BAND = _RNG.integers(0, 1 << 63, BANDS, np.uint64)
 
 
-def shingles(text: str | None) -> set[bytes]:
-    """Runs of five words; a shorter text is one run."""
-    words = words_of(text)
-    return {b" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)} or ({b" ".join(words)} if words else set())
-
-
-def alike(a: set[bytes], b: set[bytes]) -> bool:
-    return (OVER + UNDER) * len(a & b) >= OVER * (len(a) + len(b)) > 0
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
+def five_words(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of the five-word shingles from those of the four-word shingles in order: two that follow one
+    another make one. Of a text under five words, of the whole sequence."""
+    return _mix(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + _mix(hashes[1:])) if len(hashes) > 1 else _mix(hashes)
+
+
 def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the bands and 512 bits of the MinHashes, from the hashes of the four-word shingles in order:
-    two that follow one another make one of five words."""
-    pairs = _mix(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + _mix(hashes[1:])) if len(hashes) > 1 else _mix(hashes)
-    short = (pairs >> np.uint64(32)).astype(np.uint32)
+    """Keys of the bands and 512 bits of the MinHashes, from the hashes of the five-word shingles."""
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
     least = np.full(BANDS * ROWS, 0xFFFF_FFFF, np.uint32)
     for at in range(0, len(short), 2048):
         np.minimum(least, (short[at : at + 2048, None] * _TIMES + _PLUS).min(axis=0), out=least)
@@ -92,7 +85,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 fps.append(majority(hashes))
                 names.append(digest(words))
                 if words:
-                    k, v = sketch(hashes)
+                    k, v = sketch(five_words(hashes))
                     keys.append(k)
                     bits.append(v)
                 sizes.append(len(keys))
@@ -104,28 +97,75 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint, digest bigint, keys array<bigint>, bits array<bigint>")
 
 
-def _apart(a: Column, b: Column) -> Column:
-    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, 8)), F.bit_count(a[0].bitwiseXOR(b[0])))
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``pairs(u, v)``, structs of id, digest and comp -> ``(cu, cv)`` of those whose texts are alike.
-    The pairs go to the texts while they are few; else both are shuffled."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    with_id = small(pairs.select(F.col("u.id").alias("id"), "u", "v").withColumn("side", F.lit(0)).unionByName(pairs.select(F.col("v.id").alias("id"), "u", "v", F.lit(1).alias("side"))))
-    sides = texts.join(with_id, "id").select("u", "v", "side", "text")
-    a, b = (sides.filter(F.col("side") == k).select("u", "v", F.col("text").alias(f"t{k}")) for k in (0, 1))
+def _sets(docs: DataFrame, who: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, digest, shingles)`` of the texts that ``who(id, digest)`` names: their sorted distinct hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def good(du: int, dv: int, x: str, y: str) -> bool:
-            return digest(words_of(x)) == du and digest(words_of(y)) == dv and alike(shingles(x), shingles(y))
-
         for b in batches:
-            cols = [b.column(i).to_pylist() for i in (0, 1, 4, 5)]
-            yield b.select(["cu", "cv"]).filter(pa.array([good(*x) for x in zip(*cols)], pa.bool_()))
-
-    both = a.join(b, ["u", "v"]).select(F.col("u.digest").alias("du"), F.col("v.digest").alias("dv"), F.col("u.comp").alias("cu"), F.col("v.comp").alias("cv"), "t0", "t1")
-    return both.mapInArrow(run, "cu bigint, cv bigint")
+            words = [words_of(t) for t in b.column(2).to_pylist()]
+            same = [digest(w) == d for w, d in zip(words, b.column(1).to_pylist())]
+            made = [np.unique(five_words(shingle_hashes(w))).tobytes() if k else None for w, k in zip(words, same)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], names=["id", "digest", "shingles"]).filter(pa.array(same, pa.bool_()))
+
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(small(who), "id").select("id", "digest", "text")
+    kind = who.schema["id"].dataType.simpleString()
+    return texts.mapInArrow(run, f"id {kind}, digest bigint, shingles binary").dropDuplicates(["id", "digest"])
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Two sorted sets of hashes, at 0.8 or more."""
+    most = min(len(a), len(b))
+    if (OVER + UNDER) * most < OVER * (len(a) + len(b)):
+        return False
+    both = np.concatenate((a, b))
+    both.sort()
+    return (OVER + UNDER) * int((both[1:] == both[:-1]).sum()) >= OVER * (len(a) + len(b)) > 0
+
+
+def spanning(comps: list[int], bits: np.ndarray, sets: list[np.ndarray], split: int | None = None) -> list[tuple[int, int]]:
+    """Links between components such that members alike end up together. With ``split``, members before it
+    meet only those behind it."""
+    up = {c: c for c in comps}
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out = []
+    for i in range(len(comps) if split is None else split):
+        first = i + 1 if split is None else split
+        near = np.flatnonzero(np.bitwise_count(bits[first:] ^ bits[i]).sum(axis=1) <= DIFFER)
+        for j in (near + first).tolist():
+            u, v = find(comps[i]), find(comps[j])
+            if u != v and alike(sets[i], sets[j]):
+                up[max(u, v)] = min(u, v)
+                out.append((comps[i], comps[j]))
+    return out
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tiles arrive sorted by (key, t1, t2, t); each is worked on when its last row has come."""
+    held_key, held = None, []
+
+    def flush() -> pa.RecordBatch:
+        sides, comps = [r[0] for r in held], [r[1] for r in held]
+        bits, sets = np.array([r[2] for r in held], np.uint64), [np.frombuffer(r[3], np.uint64) for r in held]
+        links = spanning(comps, bits, sets, sides.index(held_key[2]) if held_key[1] != held_key[2] and held_key[2] in sides else None)
+        return pa.RecordBatch.from_arrays([pa.array([u for u, _ in links], pa.int64()), pa.array([v for _, v in links], pa.int64())], names=["u", "v"])
+
+    for b in batches:
+        cols = [b.column(i).to_pylist() for i in range(7)]
+        bits = b.column(5).values.to_numpy().view(np.uint64).reshape(-1, 8) if b.num_rows else []
+        for n, (key, t1, t2, t, comp, _, data) in enumerate(zip(*cols)):
+            if (key, t1, t2) != held_key:
+                if len(held) > 1:
+                    yield flush()
+                held_key, held = (key, t1, t2), []
+            held.append((t, comp, bits[n], data))
+    if len(held) > 1:
+        yield flush()
 
 
 def completed(rows: DataFrame, comps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -133,53 +173,21 @@ def completed(rows: DataFrame, comps: DataFrame, docs: DataFrame, id_col: str, t
     root)`` for components that five-word shingles link to others."""
     first = rows.groupBy("digest").agg(F.min("id").alias("id"), F.min("fp").alias("fp"))
     texts = rows.filter("size(keys) > 0").join(first, ["digest", "id", "fp"], "left_semi").dropDuplicates(["digest", "id"])
-    texts = materialise(lookup(materialise(texts, "texts"), comps, "fp", "n", rows.count()).select(F.struct("id", "digest", "comp").alias("who"), "keys", "bits"), "texts")
-    keyed = texts.select(F.explode("keys").alias("key"), F.col("who.comp").alias("comp"))
-    live = materialise(keyed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("key", "n"), "live")
-    met = texts.select("who", "bits", F.explode("keys").alias("key"))
+    texts = materialise(lookup(materialise(texts, "texts"), comps, "fp", "n", rows.count()).select("id", "digest", "comp", "keys", "bits"), "texts")
+    keyed = texts.select(F.explode("keys").alias("key"), "comp")
+    live = keyed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+    live = materialise(live.select("key", F.ceil(F.col("n") / TILE).cast("int").alias("parts"), "n"), "live")
+    met = texts.select("id", "digest", "comp", "bits", F.explode("keys").alias("key"))
     few = live.count() <= BROADCAST_ROWS
     met = materialise(met.join(F.broadcast(live.drop("n")), "key") if few else lookup(met, live, "key", "n", BANDS * texts.count()), "met")
-    state = live.sparkSession.createDataFrame([], "comp bigint, root bigint")
-    tested, done, changed = None, 0, True
-    while True:
-        if changed:
-            now = F.coalesce("root", "who.comp")
-            at = materialise(met.join(small(state), F.col("who.comp") == F.col("comp"), "left").select("key", F.struct("who.id", "who.digest", now.alias("comp")).alias("who"), "bits"), "at")
-            open_keys = at.groupBy("key").agg(F.min("who.comp").alias("lo"), F.max("who.comp").alias("hi"), F.count("*").alias("n"), F.min(F.struct("who", "bits")).alias("least")).filter("lo < hi")
-            open_keys = materialise(open_keys.select("key", "n", F.ceil(F.col("n") / CENTRES).alias("parts"), "least"), "open")
-            most, total, changed = open_keys.agg(F.max("parts")).first()[0] or 0, at.count(), False
-        if not most or done > most:
-            return state
-        if not done:
-            centres = open_keys.select("key", "n", F.array("least").alias("centres"))
-        else:
-            member = at.join(small(open_keys.select("key", "parts")), "key").filter(F.pmod(F.xxhash64("who.id", "who.digest"), F.col("parts")) == done - 1)
-            centres = member.groupBy("key").agg(F.collect_list(F.struct("who", "bits")).alias("centres")).join(open_keys.select("key", "n"), "key")
-        near = lookup(at, materialise(centres, "centres"), "key", "n", total)
-        hit = F.filter("centres", lambda c: (c["who"]["comp"] != F.col("who.comp")) & (_apart(c["bits"], F.col("bits")) <= DIFFER))
-        pairs = near.select("who", "bits", F.explode(hit).alias("c")).select(F.least("who", "c.who").alias("u"), F.greatest("who", "c.who").alias("v"), "who", _apart(F.col("c.bits"), F.col("bits")).alias("apart"))
-        if done:
-            pairs = pairs.select("u", "v").distinct()
-        else:  # of its buckets' centres each text meets the nearest
-            pairs = pairs.groupBy("who").agg(F.min(F.struct("apart", "u", "v")).alias("b")).select("b.u", "b.v").distinct()
-        names = lambda x: F.struct(F.col(f"{x}.id").alias("id"), F.col(f"{x}.digest").alias("digest"))
-        if tested is not None:
-            pairs = pairs.withColumn("k", F.struct(names("u"), names("v"))).join(tested, "k", "left_anti").drop("k")
-        pairs = materialise(pairs, "pairs")
-        done += 1
-        if not pairs.count():
-            continue
-        links = materialise(_verified(pairs, docs, id_col, text_col), "links")
-        seen = pairs.select(F.struct(names("u"), names("v")).alias("k"))
-        tested = seen if tested is None else tested.unionByName(seen)
-        if not links.count():
-            continue
-        changed = True
-        joined = components(links.toDF("u", "v")).toDF("comp", "to")
-        # Every component so far, carried on to its new root.
-        moved = state.join(joined.withColumnsRenamed({"comp": "root"}), "root", "left").select("comp", F.coalesce("to", "root").alias("root"))
-        fresh = joined.join(state.select("comp"), "comp", "left_anti").select("comp", F.col("to").alias("root"))
-        state = materialise(moved.unionByName(fresh), "state")
+    who = materialise(met.select("id", "digest").distinct(), "who")
+    sets = materialise(_sets(docs, who, id_col, text_col), "sets")
+    tile = F.pmod(F.xxhash64("id", "digest"), F.col("parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    met = met.select("id", "digest", "comp", "bits", "key", tile.alias("t"), other.alias("o")).join(sets, ["id", "digest"])
+    tiles = met.select("key", F.least("t", "o").alias("t1"), F.greatest("t", "o").alias("t2"), "t", "comp", "bits", "shingles")
+    dealt = tiles.withColumn("h", F.hash("key", "t1", "t2")).repartition("h").sortWithinPartitions("key", "t1", "t2", "t").drop("h")
+    return components(dealt.mapInArrow(_linked, "u bigint, v bigint")).toDF("comp", "root")
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -470,7 +470,7 @@ def test_near_dedup_finds_every_pair(spark, sf_dir):
 
 
 def test_near_dedup_of_a_large_group(spark, sf_dir, monkeypatch):
-    """A bucket far larger than one round's centres: texts that share most of their words, many not enough."""
+    """Buckets far larger than a tile: texts that share most of their words, many not enough."""
     random.seed(12)
     common = [f"c{i}" for i in range(80)]
     texts = []
@@ -479,7 +479,7 @@ def test_near_dedup_of_a_large_group(spark, sf_dir, monkeypatch):
         for _ in range(random.choice((0, 1, 2, 3, 5))):
             words[random.randrange(80)] = f"x{k}y{random.randrange(10**6)}"
         texts.append(" ".join(words + [f"t{k}w{i}" for i in range(random.randrange(0, 14))]))
-    monkeypatch.setattr(copies, "CENTRES", 50)
+    monkeypatch.setattr(copies, "TILE", 40)
     up = near_copies_by_hand(texts)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = sorted(r["doc_id"] for r in copies.first_of_each(docs).collect())
