@@ -10,18 +10,20 @@ are sent around. The length filter and the exact score follow on the survivors.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import tokens as T
-from .lines import TABLE_LINE, explode, sentences, with_index
+from .lines import TABLE_LINE, explode, rows, segment_full, segment_plain, sentences, with_index
 
-#: Prefix rows are broadcast up to so many; beyond, the join on pieces is shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Source rows are broadcast up to so many, and up to so many bytes; beyond, the joins are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 256 << 20
 _EPS = 1e-9
 
 
@@ -30,7 +32,8 @@ class SearchParams:
     """rate: least similarity of a matched pair. min_words: index words that a source line needs.
     is_jp: compare index forms instead of lines. rough_lines: block size of the lossy prefilter, 0 off.
     separators: blanks between pieces count as pieces. accept_zero: at rate 0, pairs that share nothing qualify.
-    exclude_tables: runs of numeric lines take no part."""
+    exclude_tables: runs of numeric lines take no part. segmenter: "plain" or "full" cuts the texts into lines
+    first, none takes sentences as they stand."""
 
     rate: float = 0.6
     min_words: int = 10
@@ -39,12 +42,13 @@ class SearchParams:
     separators: bool = False
     accept_zero: bool = False
     exclude_tables: bool = False
+    segmenter: str | None = None
 
 
-def line_table(docs: DataFrame, id_col: str, is_jp: bool = False) -> DataFrame:
+def line_table(docs: DataFrame, id_col: str, is_jp: bool = False, segmented: bool = False) -> DataFrame:
     """``(id, line_no, text, idx, n_idx_words, words)`` of all lines with content. The index form is made only
-    where something reads it."""
-    lines = explode(docs, id_col, sentences(F.col("text")))
+    where something reads it. A ``segmented`` text has its lines at line feeds."""
+    lines = explode(docs, id_col, (rows if segmented else sentences)(F.col("text")))
     lines = with_index(lines.filter((F.col("text") != "") & T.any_token(F.col("text"))))
     return lines.withColumn("words", T.pieces(F.col("idx" if is_jp else "text")))
 
@@ -59,8 +63,12 @@ def numbered(words: Column) -> Column:
     return F.transform(words, lambda w, i: F.struct(w.alias("w"), F.size(F.filter(F.slice(words, 1, i), lambda x: x == w)).alias("k")))
 
 
-def candidates(src: DataFrame, tgt: DataFrame, params: SearchParams) -> DataFrame:
-    """Pairs ``(src_id, src_line, doc_id, tgt_line, src_words, tgt_words)`` that may reach the rate; all that do are among them."""
+def candidates(src: DataFrame, tgt: DataFrame, params: SearchParams, allowed: DataFrame | None = None) -> DataFrame:
+    """Pairs ``(src_id, src_line, doc_id, tgt_line, src_words, tgt_words)`` that may reach the rate; all that do
+    are among them, each once. ``allowed`` names the pairs of documents (and source lines) that count.
+
+    A pair is made at the first piece of the source's prefix that the target line holds, so nothing has to be
+    made distinct: while the source side can be broadcast, no row of the target side is moved."""
     t = params.rate
     if params.separators and t <= 0.5:
         raise ValueError("blanks alone can reach a rate of 0.5: nothing could be pruned")
@@ -69,7 +77,7 @@ def candidates(src: DataFrame, tgt: DataFrame, params: SearchParams) -> DataFram
     src = src.select("src_id", F.col("line_no").alias("src_line"), F.col("words").alias("src_words"))
     tgt = tgt.select("doc_id", F.col("line_no").alias("tgt_line"), F.col("words").alias("tgt_words"))
     if t <= 0 and params.accept_zero:  # the stated source lines meet every target line
-        return tgt.crossJoin(_checked(src))
+        return _only(tgt.crossJoin(_checked(src)), allowed)
     # With separators counted a match also earns blanks; a weaker bound on shared pieces stays lossless.
     bound = max(0.0, (t * 1.0 if not params.separators else 2 * t - 1))
     vocabulary = src.select(F.explode("src_words").alias("w")).distinct()
@@ -80,26 +88,55 @@ def candidates(src: DataFrame, tgt: DataFrame, params: SearchParams) -> DataFram
     n = F.size("src_words")
     need = F.ceil(F.lit(bound) * n - _EPS)
     prefix = ranked.withColumn("at", F.row_number().over(order)).filter((F.col("at") <= n - need + 1) & (F.col("df") > 0))
-    prefix = prefix.select(F.col("p.w").alias("w"), F.col("p.k").alias("k"), "src_id", "src_line", "src_words")
-    probes = tgt.filter(F.size("tgt_words") > 0).withColumn("n", F.size("tgt_words")).select("doc_id", "tgt_line", "tgt_words", F.explode(F.array_distinct("tgt_words")).alias("w"))
-    fits = F.lit(True) if params.separators else F.least(F.size("src_words"), F.size("tgt_words")) >= F.lit(t) * F.greatest(F.size("src_words"), F.size("tgt_words")) - _EPS
-    # A numbered piece (w, k) is in the target when w stands there more than k times.
-    often = F.size(F.filter("tgt_words", lambda x: x == F.col("w"))) > F.col("k")
-    return probes.join(_checked(prefix), "w").filter(fits & often).drop("w", "k").dropDuplicates(["src_id", "src_line", "doc_id", "tgt_line"])
+    piece = F.struct("at", F.col("p.w").alias("w"), F.col("p.k").alias("k"))
+    lines = prefix.groupBy("src_id", "src_line").agg(F.first("src_words").alias("src_words"), F.sort_array(F.collect_list(piece)).alias("prefix"))
+    lines = _checked(lines)
+    keys = lines.select("src_id", "src_line", F.size("src_words").alias("n"), F.inline("prefix"))
+    probes = tgt.filter(F.size("tgt_words") > 0).select("doc_id", "tgt_line", "tgt_words", F.explode(F.array_distinct("tgt_words")).alias("w"))
+
+    def held(w: Column, k: Column) -> Column:
+        """A numbered piece is in the target when it stands there more than k times."""
+        return F.size(F.filter("tgt_words", lambda x: x == w)) > k
+
+    m = F.size("tgt_words")
+    fits = F.lit(True) if params.separators else F.least("n", m) >= F.lit(t) * F.greatest("n", m) - _EPS
+    met = probes.join(_checked(keys), "w").filter(fits & held(F.col("w"), F.col("k"))).drop("w", "k", "n")
+    met = _only(met, allowed).join(lines, ["src_id", "src_line"])
+    first = ~F.exists("prefix", lambda x: (x["at"] < F.col("at")) & held(x["w"], x["k"]))
+    return met.filter(first).select("src_id", "src_line", "doc_id", "tgt_line", "src_words", "tgt_words")
+
+
+def _only(pairs: DataFrame, allowed: DataFrame | None) -> DataFrame:
+    if allowed is None:
+        return pairs
+    return pairs.join(allowed, [c for c in ("src_id", "doc_id", "src_line") if c in allowed.columns], "left_semi")
+
+
+#: What ``_checked`` keeps until ``release``.
+_KEPT: list[DataFrame] = []
 
 
 def _checked(df: DataFrame) -> DataFrame:
-    """Broadcast after counting; a large side is left to a shuffled join. The counted rows are kept, as the
-    join would make them again."""
+    """Broadcast after its rows and bytes are measured; a large side is left to a shuffled join. The measured
+    rows are kept, as the join would make them again."""
     df = df.persist()
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    _KEPT.append(df)
+    rows = df.count()
+    size = int(str(df.select("*")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
-def similarity_join(src: DataFrame, tgt: DataFrame, params: SearchParams, native: bool = False) -> DataFrame:
+def release() -> None:
+    """Free the kept rows of all searches whose results have been written."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
+
+
+def similarity_join(src: DataFrame, tgt: DataFrame, params: SearchParams, native: bool = False, allowed: DataFrame | None = None) -> DataFrame:
     """``(src_id, src_line, doc_id, tgt_line, match_words, total_words, rate)`` of all pairs at the rate or above.
 
     At rate 0 every pair with a common piece qualifies, with ``accept_zero`` every pair."""
-    pairs = candidates(src, tgt, params)
+    pairs = candidates(src, tgt, params, allowed)
     a, b = F.col("src_words"), F.col("tgt_words")
     x, y = (S.with_blanks(a), S.with_blanks(b)) if params.separators else (a, b)
     scored = pairs.withColumn("lcs", S.lcs_native(x, y) if native else S.lcs_arrow(x, y))
@@ -111,21 +148,27 @@ def greedy(pairs: DataFrame) -> DataFrame:
     """First fit: source lines in order, each with the lowest free target line. The same as walking all
     pairs by (source, target) and taking a pair when both its ends are free.
 
-    A source line can be kept from its first partners only by earlier source lines, so its first S
-    partners suffice, S being the number of source lines with any; a group holds at most S * S pairs."""
+    One shuffle by pair of documents and one external sort; a task then streams its rows and holds only the
+    taken lines of the pair of documents it is at, so a pair with any number of matches fits."""
     key = ["src_id", "doc_id"]
-    many = pairs.groupBy(*key).agg(F.count_distinct("src_line").alias("s"))
-    place = W.partitionBy("src_id", "doc_id", "src_line").orderBy("tgt_line")
-    few = pairs.withColumn("place", F.row_number().over(place)).join(many, key).filter("place <= s")
-    item = F.struct("src_line", "tgt_line", "match_words", "total_words", "rate")
-    group = few.groupBy(*key).agg(F.sort_array(F.collect_list(item)).alias("all"))
-    kind = "array<struct<src_line:int,tgt_line:int,match_words:int,total_words:int,rate:double>>"
-
-    def step(taken: Column, x: Column) -> Column:
-        busy = F.exists(taken, lambda y: (y["src_line"] == x["src_line"]) | (y["tgt_line"] == x["tgt_line"]))
-        return F.when(busy, taken).otherwise(F.array_append(taken, x))
-
-    return group.select(*key, F.inline(F.aggregate("all", F.array().cast(kind), step)))
+    rows = pairs.select(*key, "src_line", "tgt_line", "match_words", "total_words", "rate")
+    walked = rows.repartition(*key).sortWithinPartitions(*key, "src_line", "tgt_line")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last, taken = None, None, set()
+        for b in batches:
+            keep = []
+            for src, doc, line, other in zip(*(b.column(c).to_pylist() for c in ("src_id", "doc_id", "src_line", "tgt_line"))):
+                if (src, doc) != at:
+                    at, last, taken = (src, doc), None, set()
+                free = line != last and other not in taken
+                if free:
+                    last = line
+                    taken.add(other)
+                keep.append(free)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return walked.mapInArrow(walk, walked.schema)
 
 
 def totals(src_lines: DataFrame, params: SearchParams) -> DataFrame:
@@ -153,17 +196,27 @@ def matched_rank(matches: DataFrame, total: DataFrame) -> DataFrame:
     return counted.join(F.broadcast(total), "src_id").withColumn("rate", F.col("match_count") / F.col("total").cast("double"))
 
 
-def search(sources: DataFrame, targets: DataFrame, params: SearchParams = SearchParams()) -> tuple[DataFrame, DataFrame]:
-    """``sources(src_id, text)`` against ``targets(doc_id, text)`` -> (matched lines, ranked documents)."""
-    src, tgt = line_table(sources, "src_id", params.is_jp), line_table(targets, "doc_id", params.is_jp)
+def search(sources: DataFrame, targets: DataFrame, params: SearchParams = SearchParams(), requests: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``sources(src_id, text)`` against ``targets(doc_id, text)`` -> (matched lines, ranked documents).
+
+    ``requests(src_id, doc_id)``, if given, is the queue of pairs to look at; a repeated request counts once."""
+    if params.segmenter:
+        sources, targets = segmented(sources, "src_id", params), segmented(targets, "doc_id", params)
+    src, tgt = line_table(sources, "src_id", params.is_jp, bool(params.segmenter)), line_table(targets, "doc_id", params.is_jp, bool(params.segmenter))
+    if requests is not None:
+        requests = requests.select("src_id", "doc_id").distinct()
+        tgt = tgt.join(requests, "doc_id", "left_semi")
     if not params.rough_lines:
-        matches = greedy(similarity_join(eligible(src, params), tgt, params))
+        matches = greedy(similarity_join(eligible(src, params), tgt, params, allowed=requests))
         return matches, matched_rank(matches, totals(src, params))
     from .rough import rough_lines
 
-    marked = rough_lines(numbered_lines(sources, "src_id"), numbered_lines(targets, "doc_id"), params.rough_lines)
-    pairs = similarity_join(eligible(src, params), tgt, params)
-    matches = greedy(pairs.join(marked.withColumnRenamed("line_no", "src_line"), ["src_id", "doc_id", "src_line"], "left_semi"))
+    every = bool(params.segmenter)
+    marked = rough_lines(numbered_lines(sources, "src_id", every), numbered_lines(targets, "doc_id", every), params.rough_lines)
+    if requests is not None:
+        marked = marked.join(requests, ["src_id", "doc_id"], "left_semi")
+    allowed = marked.withColumnRenamed("line_no", "src_line")
+    matches = greedy(similarity_join(eligible(src, params), tgt, params, allowed=allowed))
     # Lines that the rough filter turns away count in the total whatever their length.
     short = src.filter(F.col("n_idx_words") < params.min_words).join(marked, ["src_id", "line_no"]).groupBy("src_id", "doc_id").agg(F.count("*").alias("short"))
     lines = src.groupBy("src_id").agg(F.count("*").alias("lines"))
@@ -173,9 +226,18 @@ def search(sources: DataFrame, targets: DataFrame, params: SearchParams = Search
     return matches, ranked.withColumn("rate", F.try_divide(F.col("match_count").cast("double"), F.col("total").cast("double")))
 
 
-def numbered_lines(docs: DataFrame, id_col: str) -> DataFrame:
+def segmented(docs: DataFrame, id_col: str, params: SearchParams) -> DataFrame:
+    """``(id, text)`` cut into lines by the chosen segmenter."""
+    if params.segmenter == "full":
+        return segment_full(docs, id_col, exclude_tables=params.exclude_tables)
+    if params.segmenter != "plain":
+        raise ValueError(f"no segmenter {params.segmenter!r}")
+    return docs.select(id_col, segment_plain(F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def numbered_lines(docs: DataFrame, id_col: str, segmented: bool = False) -> DataFrame:
     """All lines, empty ones too, with their index form."""
-    return with_index(explode(docs, id_col, sentences(F.col("text"))))
+    return with_index(explode(docs, id_col, (rows if segmented else sentences)(F.col("text"))))
 
 
 def ordered(ranked: DataFrame) -> DataFrame:

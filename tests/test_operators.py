@@ -151,3 +151,26 @@ def test_places_in_order():
     assert P.forward_paragraphs(["one two.", "three four", "five", "zzz", "again."], paragraphs) == [0, 0, 1, 1, 2]
     assert P.forward_paragraphs(["five six", "one two."], paragraphs) == [1, 0]
     assert P.forward_lines(["one two", "three four", "five six", "nothing"], ["one two. three four.", "five six"]) == [0, 0, 1, -1]
+
+
+def test_requests_segmenters_and_release(spark):
+    line = "Alpha beta gamma delta epsilon zeta."
+    src = spark.createDataFrame([(1, line), (2, line)], "src_id int, text string")
+    tgt = spark.createDataFrame([(7, f"{line}\n{line}"), (8, line), (9, None)], "doc_id int, text string")
+    asked = spark.createDataFrame([(1, 8), (1, 8), (2, 7)], "src_id int, doc_id int")
+    params = M.SearchParams(min_words=3)
+    for p in (params, replace(params, segmenter="plain"), replace(params, segmenter="full"), replace(params, rough_lines=5)):
+        matches, ranked = M.search(src, tgt, p, asked)
+        assert sorted((r["src_id"], r["doc_id"]) for r in ranked.collect()) == [(1, 8), (2, 7)]
+        assert sorted((r["src_id"], r["doc_id"], r["rate"]) for r in matches.collect()) == [(1, 8, 1.0), (2, 7, 1.0)]
+    M.release()
+    assert not M._KEPT
+
+
+def test_pairs_are_made_once(spark):
+    src = spark.createDataFrame([(1, "a a b c d e"), (2, "a b"), (3, "")], "src_id int, text string")
+    tgt = spark.createDataFrame([(5, "a a b c d e"), (6, "e d c b a a"), (7, "a b c"), (8, "")], "doc_id int, text string")
+    for rate in (0.1, 0.5, 0.9):
+        got = M.candidates(M.line_table(src, "src_id"), M.line_table(tgt, "doc_id"), M.SearchParams(rate=rate, min_words=1)).collect()
+        pairs = [(r["src_id"], r["src_line"], r["doc_id"], r["tgt_line"]) for r in got]
+        assert len(pairs) == len(set(pairs)) > 0
