@@ -33,7 +33,7 @@ LOT_WORDS = 1024
 _UNSPOKEN = "\ufdd0"
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Encoded words that a worker keeps from lot to lot, before it starts anew.
-KNOWN = 400_000
+KNOWN = 800_000
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -153,7 +153,7 @@ class Codec:
         self.model, self.threads = parse(data), threads
         self.fast = build(self.model)
         self.plain, self.words = type(self.fast)(self.fast.model), type(self.fast)(self.fast.model)  # for text that is normalised already
-        self.words.pre_tokenizer = pre_tokenizers.Split(MARK, "merged_with_next")
+        self.words.normalizer, self.words.pre_tokenizer = self.fast.normalizer, pre_tokenizers.Split(MARK, "merged_with_next")
         self.check = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.is_byte = np.array([k == BYTE for _, _, k in self.model.pieces])
         # Where no piece has a mark after another character, a text falls apart before every run of marks.
@@ -166,10 +166,11 @@ class Codec:
         self.chunks: dict[str, bytes] = {}  # ids of other chunks
 
     def learn(self, words: list[str]) -> None:
-        """Encode new words, many in one input and many inputs at once. Each stands behind a mark, and no
-        piece has a mark but at its beginning, so a word's ids begin where a piece with a mark stands."""
+        """Normalise and encode new words, many in one input and many inputs at once. The normaliser sets a mark
+        before each, and no piece has a mark but at its beginning, so a word's ids begin where a piece with a
+        mark stands."""
         lots = [words[at : at + LOT_WORDS] for at in range(0, len(words), LOT_WORDS)]
-        for lot, got in zip(lots, self.words.encode_batch_fast([MARK + MARK.join(lot) for lot in lots], add_special_tokens=False)):
+        for lot, got in zip(lots, self.words.encode_batch_fast([" ".join(lot) for lot in lots], add_special_tokens=False)):
             ids = np.array(got.ids, np.int32)
             cuts = np.flatnonzero(self.opens[ids]).tolist()
             if len(cuts) == len(lot) and cuts[0] == 0:
@@ -182,10 +183,13 @@ class Codec:
         return np.array(self.plain.encode_batch([normal], add_special_tokens=False)[0].ids, np.int32).tobytes()
 
     def _strung(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text from those of its chunks; a text falls apart before every run of marks."""
-        normal = [self.fast.normalizer.normalize_str(t) if t else "" for t in texts]
-        plain = [n.startswith(MARK) and MARK + MARK not in n for n in normal]
-        split = [n[1:].split(MARK) if p else _CHUNK.findall(n) for n, p in zip(normal, plain)]
+        """Ids of each text from those of its chunks; a text falls apart before every run of marks.
+
+        Here the normaliser only turns blanks into marks and sets one in front (see ``apart``). So a text with
+        single blanks and no marks of its own falls into the words between its blanks, which are normalised
+        once each in ``learn``; other texts are normalised whole."""
+        plain = [bool(t) and t[0] != " " and "  " not in t and MARK not in t for t in texts]
+        split = [t.split(" ") if p else _CHUNK.findall(self.fast.normalizer.normalize_str(t)) if t else [] for t, p in zip(texts, plain)]
         if len(self.known) > KNOWN:
             self.known, self.chunks = {}, {}
         known, chunks = self.known, self.chunks
@@ -261,9 +265,10 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
                 back += c.decode(got)
                 same += ok
                 for x in got:
-                    counts.append(len(x))
-                    n_bytes.append(int(c.is_byte[x].sum()) if x else 0)
-                    flat.extend(x)
+                    one = array("i", x)
+                    counts.append(len(one))
+                    n_bytes.append(int(c.is_byte[np.frombuffer(one, np.int32)].sum()) if one else 0)
+                    flat.extend(one)
             offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
             ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(flat, np.int32)))
             yield pa.RecordBatch.from_arrays(
