@@ -77,3 +77,32 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out/doc_matches")).collect()
     assert [(r["doc_id"], r["rate"]) for r in got] == [(5, 1.0)]
+
+
+def test_highlighted_parts_split_runs(spark, tmp_path):
+    mc = "http://schemas.openxmlformats.org/markup-compatibility/2006"
+    body = f"""<w:document xmlns:w="{W}" xmlns:m="{MATH}" xmlns:mc="{mc}" xmlns:w14="urn:w14" xmlns:ns1="urn:other" mc:Ignorable="w14 ns1"><w:body>
+<w:p><w:r><w:rPr><w:b/><w:shd w:fill="000000"/><w:lang w:val="en"/></w:rPr><w:t>one two</w:t><w:tab/><w:t>three</w:t></w:r><w:r><w:t xml:space="preserve"> four &lt;5&gt;</w:t></w:r></w:p>
+<w:p><w:r><w:fldChar w:fldCharType="begin"/></w:r><w:r><w:instrText>SEQ x</w:instrText></w:r><w:r><w:fldChar w:fldCharType="begin"/></w:r><w:r><w:t>in</w:t></w:r><w:r><w:fldChar w:fldCharType="separate"/></w:r><w:r><w:t>ner</w:t></w:r><w:r><w:fldChar w:fldCharType="end"/></w:r><w:r><w:fldChar w:fldCharType="separate"/></w:r><w:r><w:t>7</w:t></w:r><w:r><w:fldChar w:fldCharType="end"/></w:r><w:fldSimple w:instr="PAGE"><w:r><w:t>8</w:t></w:r></w:fldSimple></w:p>
+</w:body></w:document>"""
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", body)
+    content = (tmp_path / "a.docx").read_bytes()
+    assert [t for t, _ in docx.paragraphs(content)] == ["one two three four <5>", "78"]
+    part = (0, 4, 16, "Yellow")
+    made = docx.highlighted(content, {1: "Cyan"}, [part])
+    assert [t for t, _ in docx.paragraphs(made)] == ["one two three four <5>", "78"]
+    assert docx.shaded(made) == [[None] * 4 + ["FFFF00"] * 13 + [None] * 5, ["00FFFF"] * 2]
+    assert docx.agrees(content, made, part) and not docx.agrees(content, made, (0, 0, 6, "Yellow"))
+    (tmp_path / "b.zip").write_bytes(made)
+    with zipfile.ZipFile(tmp_path / "b.zip") as z:
+        xml = z.read("word/document.xml").decode()
+    assert all(f"xmlns:{p}=" in xml for p in ("w", "m", "mc", "w14", "ns1")) and 'mc:Ignorable="w14 ns1"' in xml
+    assert "fldChar" not in xml and "SEQ" not in xml and "fldSimple" not in xml and "000000" not in xml
+    files = corpus.scan(spark, str(tmp_path)).filter("path like '%.docx'")
+    runs = docx.run_table(docx.read(files)).filter("line_no = 0").orderBy("run_no").collect()
+    assert [(r["tx_start"], r["tx_len"]) for r in runs] == [(0, 7), (7, 1), (8, 5), (13, 9)]
+    path = files.first()["path"]
+    parts = spark.createDataFrame([(path, *part)], "path string, line_no int, `from` int, `to` int, colour string")
+    row = docx.copies(files, parts).first()
+    assert (row["n_parts"], row["n_agree"], row["error"]) == (1, 1, None) and bytes(row["content"]) == docx.highlighted(content, {}, [part])
