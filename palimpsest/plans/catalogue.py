@@ -91,6 +91,11 @@ def src_totals(spark, sf_dir):
     return R.source_totals(L.explode(bench(spark, sf_dir), "src_id", L.sentences(F.col("text"))), "src_id")
 
 
+@query(f"SELECT doc_id, count(*) AS line_count, sum(length(text))::BIGINT AS char_count FROM {_DOC} WHERE text <> '' GROUP BY doc_id")
+def doc_totals(spark, sf_dir):
+    return R.source_totals(doc_lines_of(spark, sf_dir), "doc_id")
+
+
 @query("SELECT page_id, array_to_string(list_filter(string_split(html, chr(10)), lambda x: x <> ''), chr(10)) AS text FROM pages")
 def join_paragraphs(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", C.join_paragraphs(F.split("html", "\n")).alias("text"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lines import segment_full
+
 EXTENSIONS = ("txt", "doc", "docx", "pdf")
 
 
@@ -35,8 +37,12 @@ def read_texts(spark: SparkSession, folder: str) -> DataFrame:
     return files.filter(F.lower("path").endswith(".txt")).select(F.xxhash64("path").alias("doc_id"), "path", "text")
 
 
-def read_pages(pages: DataFrame) -> DataFrame:
-    """Text extracted page by page ``(doc_id, page_no, text)`` as one text a document, in page order."""
+def read_pages(pages: DataFrame, segment: bool = False) -> DataFrame:
+    """Text extracted page by page ``(doc_id, page_no, text)`` as one text a document, in page order. With
+    ``segment`` each page is cut into lines by itself, so a numeric run ends with its page."""
+    if segment:
+        key = F.struct("doc_id", "page_no").alias("key")
+        pages = segment_full(pages.select(key, "text"), "key").select("key.doc_id", "key.page_no", "text")
     ordered = F.sort_array(F.collect_list(F.struct("page_no", "text")))
     return pages.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"))
 
@@ -55,15 +61,17 @@ def queue(requests: DataFrame) -> DataFrame:
     return requests.dropDuplicates(["src", "target"])
 
 
-def write_results(matches: DataFrame, ranked: DataFrame, run: DataFrame, path: str) -> None:
-    """A run's result log: matched lines, documents and one row about the run, each a table."""
-    matches.write.mode("overwrite").partitionBy("src_id").parquet(f"{path}/match_lines")
-    ranked.write.mode("overwrite").parquet(f"{path}/doc_matches")
-    run.write.mode("overwrite").parquet(f"{path}/runs")
+def write_results(matches: DataFrame, ranked: DataFrame, run: DataFrame, path: str, name: str = "last") -> None:
+    """A run's result log: matched lines, documents and one row about the run, each a table in a folder of the
+    run's name. A run of the same name is replaced, others stay."""
+    matches.write.mode("overwrite").parquet(f"{path}/match_lines/run={name}")
+    ranked.write.mode("overwrite").parquet(f"{path}/doc_matches/run={name}")
+    run.write.mode("overwrite").parquet(f"{path}/runs/run={name}")
 
 
-def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tuple(spark.read.parquet(f"{path}/{t}") for t in ("match_lines", "doc_matches", "runs"))
+def read_results(spark: SparkSession, path: str, name: str = "last") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables of the named run."""
+    return tuple(spark.read.parquet(f"{path}/{t}/run={name}") for t in ("match_lines", "doc_matches", "runs"))
 
 
 def write_csv(results: DataFrame, path: str) -> None:

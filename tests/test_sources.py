@@ -4,6 +4,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from palimpsest.operators import lines
 from palimpsest.operators.matching import SearchParams
 from palimpsest.sources import corpus, docx, settings
 from palimpsest.streaming import ingest
@@ -48,7 +49,9 @@ def test_csv_and_results_round_trip(spark, tmp_path):
     corpus.write_csv(df, str(tmp_path / "csv"))
     assert corpus.read_csv(spark, str(tmp_path / "csv"), "src_id int, path string, rate double").collect() == df.collect()
     corpus.write_results(df, df, df, str(tmp_path / "log"))
+    corpus.write_results(df.limit(0), df, df, str(tmp_path / "log"), "other")
     assert [t.count() for t in corpus.read_results(spark, str(tmp_path / "log"))] == [1, 1, 1]
+    assert [t.count() for t in corpus.read_results(spark, str(tmp_path / "log"), "other")] == [0, 1, 1]
 
 
 def test_texts_pages_and_queue(spark, tmp_path):
@@ -57,6 +60,9 @@ def test_texts_pages_and_queue(spark, tmp_path):
     assert corpus.read_texts(spark, str(tmp_path / "t")).select("text").first()[0] == "a\nb"
     pages = spark.createDataFrame([(1, 2, "b"), (1, 1, "a")], "doc_id int, page_no int, text string")
     assert corpus.read_pages(pages).first()["text"] == "a\nb"
+    pages = spark.createDataFrame([(1, 1, "Head.\n1 2\n3 4"), (1, 2, "Tail line.\nMore text.")], "doc_id int, page_no int, text string")
+    by_page = lines.FullSegmenter()("Head.\n1 2\n3 4") + "\n" + lines.FullSegmenter()("Tail line.\nMore text.")
+    assert corpus.read_pages(pages, segment=True).first()["text"] == by_page
     asked = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "x")], "src string, target string")
     assert corpus.queue(asked).count() == 2
 
