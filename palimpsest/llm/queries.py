@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, order, pieces, pii, quality, rules, shards, simhash
+from . import chat, decontaminate, divergence, licenses, order, pieces, pii, quality, rules, shards, simhash
 from .common import documents, tuned
 
 
@@ -60,6 +60,10 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -73,7 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_classifier,
         op9_chat_format,
         op10_simhash_components,
+        op11_source_divergence,
     )
 }
 
-ORACLES: dict[str, str] = {"op4_license_scan": licenses.op4_sql(), "op5_quality_rules": rules.op5_sql(), "op7_benchmark_leaks": decontaminate.op7_sql()}
+ORACLES: dict[str, str] = {"op4_license_scan": licenses.op4_sql(), "op5_quality_rules": rules.op5_sql(), "op7_benchmark_leaks": decontaminate.op7_sql(), "op11_source_divergence": divergence.op11_sql()}
