@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, divergence, licenses, order, pieces, pii, quality, rules, shards, simhash
+from . import chat, decontaminate, divergence, licenses, order, passages, pieces, pii, quality, rules, shards, simhash, turns
 from .common import documents, tuned
 
 
@@ -64,6 +64,18 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir))
 
 
+def op12_turn_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark)
+    events = turns.replayed(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    said = F.when(F.col("event") == "close", F.col("waiting")).otherwise(F.concat("role", F.lit("|"), "text"))
+    return events.select("event", F.sha2(said.cast("binary"), 256).alias("sha256"), "conv_id", "turn", "batch", "n_missing", "n_breaks")
+
+
+def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = passages.cleaned(documents(spark, sf_dir))
+    return cut.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -78,7 +90,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_chat_format,
         op10_simhash_components,
         op11_source_divergence,
+        op12_turn_reassembly,
+        op13_repeated_passages,
     )
 }
 
-ORACLES: dict[str, str] = {"op4_license_scan": licenses.op4_sql(), "op5_quality_rules": rules.op5_sql(), "op7_benchmark_leaks": decontaminate.op7_sql(), "op11_source_divergence": divergence.op11_sql()}
+ORACLES: dict[str, str] = {
+    "op4_license_scan": licenses.op4_sql(),
+    "op5_quality_rules": rules.op5_sql(),
+    "op7_benchmark_leaks": decontaminate.op7_sql(),
+    "op11_source_divergence": divergence.op11_sql(),
+    "op12_turn_reassembly": turns.op12_sql(),
+    "op13_repeated_passages": passages.op13_sql(),
+}
