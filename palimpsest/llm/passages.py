@@ -11,9 +11,10 @@ compressed block. Spark sorts the unpacked rows by bucket, on disk if need be.
 A bucket that holds more than a fair share of all super-k-mers (a passage that very many documents
 share) would go to one task. Such buckets are found first, by counts that every task sends only of
 what is frequent in its own part: of a bucket with the share s of all, parts in which its share is
-below s/2 hold less than half, so none is missed, and there are few. Their windows are
-aggregated one by one, before they are shuffled, and looked up again; the same is done with a bucket
-that is too large for a task to hold. Both ways give the same windows.
+below s/2 hold less than half, so none is missed, and there are few. Their super-k-mers are
+aggregated as strings before they are shuffled, so copies count once; the windows of the distinct
+strings find their owners, and the strings take them back to the documents. The same is done with a
+bucket that is too large for a task to hold. Both ways give the same windows.
 """
 
 from __future__ import annotations
@@ -196,18 +197,17 @@ def repeated(ids: list[int], strings: list[bytes]) -> Iterator[tuple[int, int, i
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket -> ``(id, place, last, window)``: a span of repeated words, or, of a bucket
-    that is too large to hold, a window to be looked up."""
+    """Rows come sorted by bucket -> ``(id, place, last, string)``: a span of repeated words, or, of a bucket
+    that is too large to hold, a super-k-mer to be looked up."""
     held: pa.Table | None = None
     beyond: int | None = None
 
     def told(ids: list, places: list, lasts: list, names: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(lasts, pa.int32()), pa.array(names, pa.binary())], names=["id", "place", "last", "window"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(lasts, pa.int32()), pa.array(names, pa.binary())], names=["id", "place", "last", "string"])
 
     def put_off(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        for b in table.to_batches(max_chunksize=1_000):
-            rows = [(i, p + k, None, w) for i, p, s in zip(*(b.column(c).to_pylist() for c in (1, 2, 3))) for k, w in enumerate(windows(s))]
-            yield told(*zip(*rows))
+        for b in table.to_batches(max_chunksize=10_000):
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.nulls(b.num_rows, pa.int32()), b.column(3)], names=["id", "place", "last", "string"])
 
     def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
         bucket, ids = table.column(0).to_numpy(), table.column(1).to_numpy()
@@ -247,8 +247,8 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from settle(held)
 
 
-def _windows_of(rows: DataFrame, hot: list[int]) -> DataFrame:
-    """``(id, place, window)`` of all windows in hot buckets."""
+def _strings_of(rows: DataFrame, hot: list[int]) -> DataFrame:
+    """``(id, place, string)`` of all super-k-mers in hot buckets."""
     wanted = np.array(sorted(hot), np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,13 +259,41 @@ def _windows_of(rows: DataFrame, hot: list[int]) -> DataFrame:
                 own = np.isin(bucket, wanted)
                 if own.any():
                     joined, at = _packed(words)
-                    starts = np.concatenate([np.arange(s, e + 1) for s, e in zip(first[own], last[own])])
-                    names = [joined[s:e] for s, e in zip(at[starts].tolist(), (at[starts + WINDOW] - 1).tolist())]
-                    for i in range(0, len(names), 5_000):
-                        part = slice(i, i + 5_000)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names[part]), key, np.int64)), pa.array(starts[part] + tag), pa.array(names[part], pa.binary())], names=["id", "place", "window"])
+                    names = [joined[s:e] for s, e in zip(at[first[own]].tolist(), (at[last[own] + WINDOW] - 1).tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), key, np.int64)), pa.array(first[own] + tag), pa.array(names, pa.binary())], names=["id", "place", "string"])
 
-    return rows.mapInArrow(run, "id bigint, place bigint, window binary")
+    return rows.mapInArrow(run, "id bigint, place bigint, string binary")
+
+
+def _taken_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, 500):
+            part = b.slice(at, 500)
+            rows = [(s, k, w, i) for s, i in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for k, w in enumerate(windows(s))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int32(), pa.binary(), pa.int64()))], names=["string", "k", "window", "id"])
+
+
+def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of the windows of each row that a smaller id owns; those that follow one another make one."""
+    for b in batches:
+        out = []
+        for i, place, owners in zip(*(b.column(c).to_pylist() for c in range(3))):
+            gone = np.concatenate(([0], np.fromiter((o < i for o in owners), np.int8, len(owners)), [0]))
+            edge = np.flatnonzero(np.diff(gone))
+            out += [(i, place + s, e - 1 - s + WINDOW) for s, e in zip(edge[::2].tolist(), edge[1::2].tolist())]
+        columns = zip(*out) if out else ((),) * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()))], names=["id", "place", "last"])
+
+
+def _looked_up(apart: DataFrame) -> DataFrame:
+    """``apart(id, place, string)`` as a written table -> ``(id, place, last)``: spans of repeated words."""
+    strings = materialise(apart.groupBy("string").agg(F.min("id").alias("id"), F.count("*").alias("n")), "strings")
+    each = materialise(strings.select("string", "id").mapInArrow(_taken_apart, "string binary, k int, window binary, id bigint"), "each")
+    owner = materialise(each.groupBy("window").agg(F.min("id").alias("owner"), F.count("*").alias("n")), "owner")
+    known = lookup(each.select("string", "k", "window"), owner, "window", "n", each.count())
+    listed = known.groupBy("string").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "owner"))), lambda x: x["owner"]).alias("owners"))
+    table = materialise(listed.join(strings.select("string", "n"), "string"), "owned")
+    return lookup(apart, table, "string", "n", apart.count()).select("id", "place", "owners").mapInArrow(_owned, "id bigint, place bigint, last int")
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,15 +318,11 @@ def cuts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     hot = frequent(rows, parts)
     blocks = dealt(rows, parts, hot).repartitionById(parts, F.col("part"))
     strings = blocks.mapInArrow(_unpacked, "bucket int, id bigint, place bigint, string binary").sortWithinPartitions("bucket")
-    found = materialise(strings.mapInArrow(_found, "id bigint, place bigint, last int, window binary"), "found")
-    spans = found.filter("window IS NULL").select("id", "place", "last")
-    apart = found.filter("window IS NOT NULL").select("id", "place", "window")
+    found = materialise(strings.mapInArrow(_found, "id bigint, place bigint, last int, string binary"), "found")
+    spans = found.filter("string IS NULL").select("id", "place", "last")
+    apart = found.filter("string IS NOT NULL").select("id", "place", "string")
     if hot or apart.limit(1).count():
-        apart = materialise(apart.unionByName(_windows_of(rows, hot)) if hot else apart, "apart")
-        owner = apart.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n"))
-        owner = materialise(owner.filter("least < most").drop("most"), "owner")
-        again = lookup(apart, owner, "window", "n", apart.count()).filter("least < id")
-        spans = spans.unionByName(again.select("id", "place", F.lit(WINDOW).alias("last")))
+        spans = spans.unionByName(_looked_up(materialise(apart.unionByName(_strings_of(rows, hot)) if hot else apart, "apart")))
     low = F.col("place").bitwiseAND(F.lit((1 << 32) - 1))
     span = F.struct(low.alias("begin"), (low + F.col("last")).alias("end"))
     listed = spans.groupBy("id", (F.col("place") - low).alias("tag")).agg(F.collect_list(span).alias("spans"))
