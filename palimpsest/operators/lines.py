@@ -1,15 +1,13 @@
 """From documents to lines: splitting, segmentation, numeric tables, paragraph groups.
 
-All but the stateful segmenter work inside a row on arrays, so documents are neither shuffled
-nor sorted; line numbers are array positions.
+All work inside a row on arrays, so documents are neither shuffled nor sorted; line numbers are array
+positions.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -85,86 +83,126 @@ def segment_plain_sql(e: str) -> str:
     return f"(SELECT array_to_string(list_transform(range(1, len(p) + 1), lambda i: {line} || CASE WHEN {nxt} OR suffix({end}, '.') OR suffix({end}, '。') THEN chr(10) ELSE ' ' END), '') FROM (SELECT string_split({e}, chr(10)) AS p))"
 
 
-def _python(rules: N.Rules) -> list[tuple[re.Pattern, str]]:
-    """The same rules for Python's engine."""
-
-    def pattern(p: str) -> str:
-        p = re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), p)
-        return p.replace(r"\p{Z}", " \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000").replace("[[", r"[\[")
-
-    return [(re.compile(pattern(p)), r) for p, r in rules]
-
-
-class FullSegmenter:
-    """The full segmenter over one document, with its state: once a run of numeric lines was met, table
-    treatment stays on; a run's length counts blank-separated pieces, not lines."""
-
-    def __init__(self, exclude_tables: bool = False):
-        self.first, self.last = _python(N.FIRST), _python(N.LAST)
-        self.widths = str.maketrans(N.WIDE + N.HALF_KANA, N.NARROW + N.FULL_KANA)
-        self.table = re.compile(r"[ 0-9+-]+")
-        self.alone, self.page = re.compile(NUMERIC_LINE), re.compile(NUMERIC_PAGE_LINE)
-        self.capital = re.compile(r"\s*[A-Z][^.]")
-        self.exclude = exclude_tables
-
-    def normalise(self, line: str) -> str:
-        for p, r in self.first:
-            line = p.sub(r, line)
-        line = line.translate(self.widths)
-        for p, r in self.last:
-            line = p.sub(r, line)
-        return line
-
-    def opens(self, line: str) -> bool:
-        return bool(self.page.search(line.strip()) or self.capital.match(line))
-
-    def run(self, lines: list[str], i: int) -> int:
-        """Pieces of the numeric run that begins at line i; none at the first line."""
-        if i == 0 or not self.table.fullmatch(lines[i].strip()):
-            return 0
-        pieces = 0
-        for raw in lines[i:]:
-            row = raw.strip()
-            if row and not self.table.fullmatch(row):
-                break
-            pieces += row.count(" ") + 1
-        return pieces
-
-    def __call__(self, text: str) -> str:
-        lines, out, until, in_table = text.split("\n"), [], 0, False
-        for i, raw in enumerate(lines):
-            if until <= i and (pieces := self.run(lines, i)):
-                until, in_table = i + pieces, True
-            ends = 0 < i == until - 1
-            line = self.normalise(raw.rstrip())
-            if in_table and self.table.fullmatch(line):
-                line = ("\n" if ends else "") if self.exclude else line + "\n" * ends
-            head, *rest = line.split(".")
-            made = head.strip()
-            for part in rest:
-                made += (".\n" if self.opens(part) else ". ") + part.strip()
-            out.append(made)
-            body = line.strip()
-            if body.endswith(".") and not made.strip().endswith("."):
-                out.append(". ")
-            after = lines[i + 1] if i + 1 < len(lines) else ""
-            if self.opens(after) or self.alone.search(body) or line.rstrip().endswith((".", "。")):
-                out.append("\n")
-            elif body:
-                out.append(" ")
-        return "".join(out)
+#: The blanks of ``N.BLANK`` one by one, for trimming without a pattern.
+SPACE = "\t\n\x0b\x0c\r\x85 \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: A text with a line of digits, signs and blanks.
+_SOME_TABLE = r"(?:^|\n)[\t-\r\x85\p{Z}+\-0-9]*[+\-0-9][\t-\r\x85\p{Z}+\-0-9]*(?:\n|\z)"
 
 
-def segment_full(docs: DataFrame, id_col: str, text_col: str = "text", exclude_tables: bool = False) -> DataFrame:
-    """``(id, text)`` with segmented texts, one document after another in Arrow batches."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def _strip(c: Column) -> Column:
+    return F.trim(c, F.lit(SPACE))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _run_ends(body: Column) -> Column:
+    """``(since, ends)`` of the numeric runs of a text's trimmed lines: the first line that is in one, and the
+    last line of each.
+
+    Islands are stretches of numeric or empty lines. A run begins at an island's first numeric line that is
+    neither the text's first line nor covered by the run before, and is as many lines long as the island
+    has blank-separated pieces from there on, so it may reach beyond the island."""
+    numeric = lambda x: x.rlike(TABLE_LINE)
+
+    def of(v: Column) -> Column:
+        body, inside, n = v["body"], v["inside"], F.size(v["body"])
+        every = F.sequence(F.lit(0), n - 1)
+        first = F.filter(every, lambda i: F.get(inside, i) & ~F.coalesce(F.get(inside, i - 1), F.lit(False)))
+        last = F.filter(every, lambda i: F.get(inside, i) & ~F.coalesce(F.get(inside, i + 1), F.lit(False)))
+        islands = F.zip_with(first, last, lambda a, b: F.struct(a.alias("first"), b.alias("last")))
+
+        def step(acc: Column, island: Column) -> Column:
+            at = F.greatest(acc["upto"], island["first"], F.lit(1))
+            begin = F.when(at <= island["last"], F.get(F.filter(F.sequence(at, island["last"]), lambda i: numeric(F.get(body, i))), F.lit(0)))
+
+            def run(i: Column) -> Column:
+                rest = F.slice(body, i + 1, island["last"] - i + 1)
+                upto = F.aggregate(rest, i, lambda k, x: (k + F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("int"))
+                return _let(upto, lambda u: F.struct(u.alias("upto"), F.coalesce(acc["since"], i).alias("since"), F.array_append(acc["ends"], u - 1).alias("ends")))
+
+            return _let(begin, lambda i: F.when(i.isNull(), acc).otherwise(run(i)))
+
+        none = F.struct(F.lit(0).alias("upto"), F.lit(None).cast("int").alias("since"), F.array().cast("array<int>").alias("ends"))
+        return F.aggregate(islands, none, step, lambda acc: F.struct(acc["since"], acc["ends"]))
+
+    return _let(F.struct(body.alias("body"), F.transform(body, lambda x: (x == "") | numeric(x)).alias("inside")), of)
+
+
+def _flags(ends: Column) -> Column:
+    """One flag a line up to the last run's end: a run ends here."""
+    before = F.concat(F.array(F.lit(-1)), F.slice(ends, 1, F.greatest(F.size(ends) - 1, F.lit(0))))
+    return F.flatten(F.zip_with(ends, before, lambda e, p: F.when(e.isNotNull(), F.concat(F.array_repeat(F.lit(False), e - p - 1), F.array(F.lit(True)))).otherwise(F.array().cast("array<boolean>"))))
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment = FullSegmenter(exclude_tables)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([segment(t or "") for t in b.column(1).to_pylist()], pa.string())], names=[id_col, "text"])
+def _opens(line: Column) -> Column:
+    return _strip(line).rlike(NUMERIC_PAGE_LINE) | line.rlike(CAPITAL)
 
-    return docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(run, f"{id_col} {kind}, text string")
+
+def _broken(line: Column) -> Column:
+    """A line cut behind full stops: a new line where what follows opens one, else a blank."""
+    parts = F.split(line, r"\.")
+    joined = F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, _strip(p)).otherwise(F.concat(F.when(_opens(p), ".\n").otherwise(". "), _strip(p)))), "")
+    return F.when(F.contains(line, F.lit(".")), joined).otherwise(_strip(line))
+
+
+def segment(text: Column, exclude_tables: bool = False) -> Column:
+    """The full segmenter: normalised lines, broken behind full stops, and closed by a line feed or a blank.
+
+    From the first numeric run on, numeric lines are a table: they are kept as they are (or left out), and
+    the last line of a run is closed. Everything happens on arrays inside the row."""
+
+    def closed(lines: Column, runs: Column) -> Column:
+        since, flags = runs["since"], runs["flags"]
+
+        def one(raw: Column, i: Column) -> Column:
+            end = F.when(F.coalesce(F.get(flags, i), F.lit(False)), F.lit("\n")).otherwise(F.lit(""))
+            table = F.coalesce(i >= since, F.lit(False))
+            made = _let(N.line(F.rtrim(raw, F.lit(SPACE))), lambda x: F.when(table & x.rlike(TABLE_LINE), end if exclude_tables else F.concat(x, end)).otherwise(x))
+            after = F.coalesce(F.get(lines, i + 1), F.lit(""))
+
+            def tail(v: Column) -> Column:
+                body, out = v["body"], v["out"]
+                stop = F.when(body.endswith(".") & ~_strip(out).endswith("."), ". ").otherwise("")
+                feed = _opens(after) | body.rlike(NUMERIC_LINE) | body.endswith(".") | body.endswith("。")
+                return F.concat(out, stop, F.when(feed, "\n").when(body != "", " ").otherwise(""))
+
+            return _let(made, lambda x: _let(F.struct(_strip(x).alias("body"), _broken(x).alias("out")), tail))
+
+        return F.array_join(F.transform(lines, one), "")
+
+    def of(lines: Column) -> Column:
+        none = F.struct(F.lit(None).cast("int").alias("since"), F.array().cast("array<boolean>").alias("flags"))
+        runs = _let(_run_ends(F.transform(lines, _strip)), lambda r: F.struct(r["since"].alias("since"), _flags(r["ends"]).alias("flags")))
+        some = F.array_join(lines, "\n").rlike(_SOME_TABLE)
+        return _let(F.when(some, runs).otherwise(none), lambda r: closed(lines, r))
+
+    return _let(F.split(F.coalesce(text, F.lit("")), "\n"), of)
+
+
+def segment_full(docs: DataFrame, id_col: str, text_col: str = "text", exclude_tables: bool = False) -> DataFrame:
+    """``(id, text)`` with segmented texts; a null text gives an empty one."""
+    return docs.select(id_col, segment(F.col(text_col), exclude_tables).alias("text"))
+
+
+def segment_full_sql(source: str, key: str, exclude_tables: bool = False) -> str:
+    """DuckDB, line by line: runs by a fold over all numeric lines."""
+    space, table = N.quote(SPACE), N.quote(TABLE_LINE)
+    opens = lambda e: f"(regexp_matches(trim({e}, {space}), {N.quote(NUMERIC_PAGE_LINE)}) OR regexp_matches({e}, {N.quote(CAPITAL)}))"
+    end = "CASE WHEN stops THEN chr(10) ELSE '' END"
+    return f"""WITH p AS (SELECT {key}, string_split(coalesce(text, ''), chr(10)) AS p FROM {source}),
+l AS (SELECT {key}, unnest(range(len(p)))::INT AS i, unnest(p) AS raw, unnest(list_append(p[2:], '')) AS after FROM p),
+t AS (SELECT *, trim(raw, {space}) AS t FROM l),
+f AS (SELECT *, regexp_matches(t, {table}) AS num, sum(CASE WHEN t = '' OR regexp_matches(t, {table}) THEN 0 ELSE 1 END) OVER (PARTITION BY {key} ORDER BY i) AS island FROM t),
+g AS (SELECT *, sum(CASE WHEN t = '' OR num THEN len(string_split(t, ' ')) ELSE 0 END) OVER (PARTITION BY {key}, island ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS pieces FROM f),
+r AS (SELECT {key}, min(i) AS since, list_reduce(list({{'i': i, 'upto': (i + pieces)::INT}} ORDER BY i), lambda a, x: CASE WHEN a.upto <= x.i THEN {{'upto': x.upto, 'ends': list_append(a.ends, x.upto - 1)}} ELSE a END, {{'upto': 0, 'ends': CAST([] AS INT[])}}).ends AS ends FROM g WHERE num AND i > 0 GROUP BY {key}),
+b AS (SELECT l.*, {N.line_sql(f"rtrim(raw, {space})")} AS x, coalesce(i >= since, false) AS inside, coalesce(list_contains(ends, i), false) AS stops FROM l LEFT JOIN r USING ({key})),
+c AS (SELECT *, CASE WHEN inside AND regexp_matches(x, {table}) THEN {end if exclude_tables else f"x || {end}"} ELSE x END AS y FROM b),
+o AS (SELECT *, trim(y, {space}) AS body, CASE WHEN contains(y, '.') THEN array_to_string(list_transform(string_split(y, '.'), lambda s, j: CASE WHEN j = 1 THEN '' WHEN {opens('s')} THEN '.' || chr(10) ELSE '. ' END || trim(s, {space})), '') ELSE trim(y, {space}) END AS out FROM c)
+SELECT {key}, string_agg(out || CASE WHEN suffix(body, '.') AND NOT suffix(trim(out, {space}), '.') THEN '. ' ELSE '' END
+  || CASE WHEN {opens('after')} OR regexp_matches(body, {N.quote(NUMERIC_LINE)}) OR suffix(body, '.') OR suffix(body, '。') THEN chr(10) WHEN body <> '' THEN ' ' ELSE '' END, '' ORDER BY i) AS text FROM o GROUP BY {key}"""
 
 
 def numeric_runs(lines: DataFrame, id_col: str) -> DataFrame:

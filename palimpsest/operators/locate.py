@@ -8,6 +8,7 @@ functions give text, not positions). Paragraph and run positions both count norm
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -138,38 +139,60 @@ def located(patterns: DataFrame, texts: DataFrame) -> DataFrame:
 HEAD = 120
 
 
+def occurrences(heads: list[str], texts: list[str]) -> dict[str, tuple[list[int], list[int]]]:
+    """``head -> (numbers of texts, offsets)`` of all its places, in order. One pass of an automaton over the
+    texts finds all heads at once, so a head that is nowhere costs nothing."""
+    import ahocorasick
+
+    wanted = {h for h in heads if h}
+    found: dict[str, tuple[list[int], list[int]]] = {h: ([], []) for h in wanted}
+    if not wanted:
+        return found
+    automaton = ahocorasick.Automaton()
+    for h in wanted:
+        automaton.add_word(h, h)
+    automaton.make_automaton()
+    for number, text in enumerate(texts):
+        for last, h in automaton.iter(text):
+            numbers, offsets = found[h]
+            numbers.append(number)
+            offsets.append(last - len(h) + 1)
+    return found
+
+
 def forward_paragraphs(pieces: list[str], paragraphs: list[str]) -> list[int]:
-    """For each piece in turn, the first paragraph at or after the cursor that holds its head (-1 before
-    any is found; a piece that is not found stays where the last one was). A piece that ends in a full
-    stop moves the cursor behind its paragraph."""
-    out, place, cursor = [], -1, 0
-    for piece in pieces:
-        head = piece.strip()[:HEAD]
-        hit = next((i for i in range(cursor, len(paragraphs)) if head in paragraphs[i]), None) if head else None
-        if hit is not None:
-            place = hit
-            if piece.rstrip().endswith("."):
-                cursor = hit + 1
-        out.append(place)
+    """The paragraph of each piece, found by the piece's head in the order of the text (-1 before any is found; a
+    piece that is not found stays with the one before). Behind a piece that ends a sentence, the search goes
+    on in the next paragraph."""
+    heads = [p.strip()[:HEAD] for p in pieces]
+    where = occurrences(heads, paragraphs)
+    out, least = [], 0
+    for piece, head in zip(pieces, heads):
+        numbers = where[head][0] if head else []
+        k = bisect_left(numbers, least)
+        out.append(numbers[k] if k < len(numbers) else out[-1] if out else -1)
+        if k < len(numbers) and piece.rstrip().endswith("."):
+            least = numbers[k] + 1
     return out
 
 
 def forward_lines(pieces: list[str], lines: list[str]) -> list[int]:
-    """For each piece in turn, the line that holds its head behind the last hit (-1: none). A hit that
-    reaches the end of a line moves on to the next."""
-    out, line, at = [], 0, 0
-    for piece in pieces:
-        head = piece.strip().strip(".")[:HEAD]
-        hit, k, start = -1, line, at
-        while head and k < len(lines):
-            text = lines[k].strip().strip(".")
-            found = text.find(head, min(start, max(0, len(text) - 1)))
-            if text and found >= 0:
-                hit, end = k, found + len(piece)
-                line, at = (k + 1, 0) if end >= len(text) else (k, end)
-                break
-            k, start = k + 1, 0
-        out.append(hit)
+    """The line of each piece: its head's first place behind the piece found last (-1: none). What is left of
+    a line that a piece reaches to its end is not looked at again."""
+    bare = [x.strip().strip(".") for x in lines]
+    heads = [p.strip().strip(".")[:HEAD] for p in pieces]
+    where = {h: list(zip(*w)) for h, w in occurrences(heads, bare).items()}
+    out, least = [], (0, 0)
+    for piece, head in zip(pieces, heads):
+        places = where.get(head, [])
+        k = bisect_left(places, least)
+        if k == len(places):
+            out.append(-1)
+            continue
+        line, at = places[k]
+        out.append(line)
+        behind = at + len(piece)
+        least = (line, behind) if behind < len(bare[line]) else (line + 1, 0)
     return out
 
 

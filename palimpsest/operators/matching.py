@@ -4,14 +4,15 @@ Plainly, every source line is compared with every target line. Here a pair is sc
 can qualify. At threshold t a source line of n pieces must share at least ceil(t * n)
 of them (as a multiset) with its partner, so the partner holds one of any n - ceil(t * n) + 1
 numbered pieces of the source line; the rarest ones are taken. That turns the theta join into an
-equi-join on pieces that probes the large side once, without moving it: only source prefixes
-are sent around. The length filter and the exact score follow on the survivors.
+equi-join on pieces. Only ids, lengths and single pieces go through it, so a line of any length
+costs as much as it has pieces; whole lines are fetched for the pairs that are left, then scored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,10 @@ from .lines import TABLE_LINE, explode, rows, segment_full, segment_plain, sente
 
 #: Source rows are broadcast up to so many, and up to so many bytes; beyond, the joins are shuffled.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 256 << 20
+#: Bytes of an Arrow batch of line pairs.
+BATCH_BYTES = 32 << 20
+#: Source ids of one block in ``rank``.
+BLOCK = 1_000
 _EPS = 1e-9
 
 
@@ -31,9 +36,9 @@ _EPS = 1e-9
 class SearchParams:
     """rate: least similarity of a matched pair. min_words: index words that a source line needs.
     is_jp: compare index forms instead of lines. rough_lines: block size of the lossy prefilter, 0 off.
-    separators: blanks between pieces count as pieces. accept_zero: at rate 0, pairs that share nothing qualify.
-    exclude_tables: runs of numeric lines take no part. segmenter: "plain" or "full" cuts the texts into lines
-    first, none takes sentences as they stand."""
+    separators: blanks between pieces count as pieces. accept_zero: at rate 0, pairs that share nothing qualify;
+    such a pair takes its lines, but is no match. exclude_tables: numeric lines take no part and do not count.
+    segmenter: "plain" or "full" cuts the texts into lines first, none takes sentences as they stand."""
 
     rate: float = 0.6
     min_words: int = 10
@@ -45,103 +50,193 @@ class SearchParams:
     segmenter: str | None = None
 
 
+@dataclass
+class Kept:
+    """Rows of one search that were measured and are kept until its result has been written."""
+
+    frames: list[DataFrame] = field(default_factory=list)
+
+    def checked(self, df: DataFrame) -> DataFrame:
+        """Broadcast after its rows and bytes are measured; a large side is left to a shuffled join. The
+        measured rows are kept, as the join would make them again."""
+        df = df.persist()
+        self.frames.append(df)
+        rows = df.count()
+        size = int(str(df.select("*")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
+
+    def release(self) -> None:
+        while self.frames:
+            self.frames.pop().unpersist()
+
+
+@dataclass
+class Found:
+    """Result of one search: ``matches`` and ``ranked``, also as a pair. Leaving its ``with`` block, or
+    ``release``, frees the rows that this search keeps, and no other's."""
+
+    matches: DataFrame
+    ranked: DataFrame
+    kept: Kept
+
+    def __iter__(self):
+        return iter((self.matches, self.ranked))
+
+    def __getitem__(self, i: int) -> DataFrame:
+        return (self.matches, self.ranked)[i]
+
+    def __enter__(self) -> Found:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()
+
+    def release(self) -> None:
+        self.kept.release()
+
+
+def words(is_jp: bool = False) -> Column:
+    """The pieces that are compared, of a line's text or of its index form."""
+    return T.pieces(T.split_words(F.col("text")) if is_jp else F.col("text"))
+
+
 def line_table(docs: DataFrame, id_col: str, is_jp: bool = False, segmented: bool = False) -> DataFrame:
     """``(id, line_no, text, idx, n_idx_words, words)`` of all lines with content. The index form is made only
     where something reads it. A ``segmented`` text has its lines at line feeds."""
     lines = explode(docs, id_col, (rows if segmented else sentences)(F.col("text")))
     lines = with_index(lines.filter((F.col("text") != "") & T.any_token(F.col("text"))))
-    return lines.withColumn("words", T.pieces(F.col("idx" if is_jp else "text")))
+    return lines.withColumn("words", words(is_jp))
+
+
+def in_table(lines: DataFrame) -> Column:
+    """Numeric lines are left out as tables, but for the line that a text begins with."""
+    return (F.col("line_no") > 0) & F.trim("text").rlike(TABLE_LINE)
 
 
 def eligible(lines: DataFrame, params: SearchParams) -> DataFrame:
-    """Source lines long enough to take part."""
-    return lines.filter(F.col("n_idx_words") >= params.min_words)
+    """Source lines that take part: long enough, and no table line if those are excluded."""
+    lines = lines.filter(F.col("n_idx_words") >= (F.col("min_words") if "min_words" in lines.columns else params.min_words))
+    return lines.filter(~in_table(lines)) if params.exclude_tables else lines
 
 
-def numbered(words: Column) -> Column:
-    """Pieces with the number of their repetition, so that sets of them meet like multisets."""
-    return F.transform(words, lambda w, i: F.struct(w.alias("w"), F.size(F.filter(F.slice(words, 1, i), lambda x: x == w)).alias("k")))
+def _rate(src: DataFrame, params: SearchParams) -> Column:
+    return F.col("rate") if "rate" in src.columns else F.lit(float(params.rate))
 
 
-def candidates(src: DataFrame, tgt: DataFrame, params: SearchParams, allowed: DataFrame | None = None) -> DataFrame:
-    """Pairs ``(src_id, src_line, doc_id, tgt_line, src_words, tgt_words)`` that may reach the rate; all that do
-    are among them, each once. ``allowed`` names the pairs of documents (and source lines) that count.
+def prefixes(src: DataFrame, seen: DataFrame, params: SearchParams) -> DataFrame:
+    """``(src_id, src_line, n, t, w, k)``: of each source line the rarest numbered pieces of which a partner
+    must hold one. ``seen(w, df)`` counts the target lines of a piece. A piece's repetitions are numbered by
+    its count, so the work is linear in the line."""
+    t = _rate(src, params)
+    # With separators counted a match also earns blanks; a weaker bound on shared pieces stays lossless.
+    bound = F.greatest(F.lit(0.0), 2 * t - 1 if params.separators else t)
+    scope = [c for c in ("scope",) if c in src.columns]
+    each = src.select("src_id", F.col("line_no").alias("src_line"), *scope, t.alias("t"), bound.alias("bound"), F.size("words").alias("n"), F.explode("words").alias("w"))
+    counts = each.groupBy("src_id", "src_line", *scope, "t", "bound", "n", "w").agg(F.count("*").alias("c"))
+    pieces = counts.join(seen, "w", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    pieces = pieces.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("c") - 1)))
+    at = F.row_number().over(W.partitionBy("src_id", "src_line").orderBy("df", "w", "k"))
+    need = F.ceil(F.col("bound") * F.col("n") - _EPS)
+    return pieces.withColumn("at", at).filter((F.col("at") <= F.col("n") - need + 1) & (F.col("df") > 0)).select("src_id", "src_line", *scope, "n", "t", "w", "k")
+
+
+def postings(tgt: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+    """``(w, doc_id, tgt_line, m, c)``: where a piece stands, in a line of how many pieces, how often; of the
+    pieces in ``vocabulary(w)`` only, if given. No row carries a line."""
+    scope = [c for c in ("scope",) if c in tgt.columns]
+    each = tgt.select("doc_id", F.col("line_no").alias("tgt_line"), *scope, F.size("words").alias("m"), F.explode("words").alias("w"))
+    if vocabulary is not None:
+        each = each.join(vocabulary, "w", "left_semi")
+    return each.groupBy("w", "doc_id", "tgt_line", *scope, "m").agg(F.count("*").alias("c"))
+
+
+def frequencies(tgt: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``(w, df)``: target lines that hold a piece of ``vocabulary(w)``."""
+    return tgt.select(F.explode(F.array_distinct("words")).alias("w")).join(vocabulary, "w", "left_semi").groupBy("w").agg(F.count("*").alias("df"))
+
+
+def _fits(n: Column, m: Column, t: Column, params: SearchParams) -> Column:
+    """Two lines of n and m pieces can reach t at all."""
+    if params.separators:
+        n, m = 2 * n - 1, 2 * m - 1
+    return F.least(n, m) >= t * F.greatest(n, m) - _EPS
 
-    A pair is made at the first piece of the source's prefix that the target line holds, so nothing has to be
-    made distinct: while the source side can be broadcast, no row of the target side is moved."""
+
+def candidate_ids(keys: DataFrame, where: DataFrame, params: SearchParams) -> DataFrame:
+    """``(src_id, src_line, doc_id, tgt_line)``: pairs that may reach the rate, each once, from ``prefixes`` and
+    ``postings``."""
+    met = where.join(keys, [c for c in ("w", "scope") if c in keys.columns])
+    met = met.filter(_fits(F.col("n"), F.col("m"), F.col("t"), params) & (F.col("c") > F.col("k")))
+    return met.select("src_id", "src_line", "doc_id", "tgt_line").distinct()
+
+
+def candidates(src: DataFrame, tgt: DataFrame, params: SearchParams, allowed: DataFrame | None = None, kept: Kept | None = None) -> DataFrame:
+    """Pairs ``(src_id, src_line, doc_id, tgt_line, src_words, tgt_words)`` that may reach the rate; all that do
+    are among them, each once. ``allowed`` names the pairs of documents (and source lines) that count."""
+    kept = kept or Kept()
     t = params.rate
-    if params.separators and t <= 0.5:
-        raise ValueError("blanks alone can reach a rate of 0.5: nothing could be pruned")
     if params.exclude_tables:
-        src, tgt = (x.filter(~F.trim("text").rlike(TABLE_LINE)) for x in (src, tgt))
-    src = src.select("src_id", F.col("line_no").alias("src_line"), F.col("words").alias("src_words"))
-    tgt = tgt.select("doc_id", F.col("line_no").alias("tgt_line"), F.col("words").alias("tgt_words"))
-    if t <= 0 and params.accept_zero:  # the stated source lines meet every target line
-        return _only(tgt.crossJoin(_checked(src)), allowed)
-    # With separators counted a match also earns blanks; a weaker bound on shared pieces stays lossless.
-    bound = max(0.0, (t * 1.0 if not params.separators else 2 * t - 1))
-    vocabulary = src.select(F.explode("src_words").alias("w")).distinct()
-    seen = tgt.select(F.explode(F.array_distinct("tgt_words")).alias("w")).join(_checked(vocabulary), "w", "left_semi").groupBy("w").agg(F.count("*").alias("df"))
-    pieces = src.filter(F.size("src_words") > 0).select("src_id", "src_line", "src_words", F.explode(numbered(F.col("src_words"))).alias("p"))
-    ranked = pieces.join(seen, pieces["p.w"] == seen["w"], "left").select("src_id", "src_line", "src_words", "p", F.coalesce("df", F.lit(0)).alias("df"))
-    order = W.partitionBy("src_id", "src_line").orderBy("df", "p.w", "p.k")
-    n = F.size("src_words")
-    need = F.ceil(F.lit(bound) * n - _EPS)
-    prefix = ranked.withColumn("at", F.row_number().over(order)).filter((F.col("at") <= n - need + 1) & (F.col("df") > 0))
-    piece = F.struct("at", F.col("p.w").alias("w"), F.col("p.k").alias("k"))
-    lines = prefix.groupBy("src_id", "src_line").agg(F.first("src_words").alias("src_words"), F.sort_array(F.collect_list(piece)).alias("prefix"))
-    lines = _checked(lines)
-    keys = lines.select("src_id", "src_line", F.size("src_words").alias("n"), F.inline("prefix"))
-    probes = tgt.filter(F.size("tgt_words") > 0).select("doc_id", "tgt_line", "tgt_words", F.explode(F.array_distinct("tgt_words")).alias("w"))
-
-    def held(w: Column, k: Column) -> Column:
-        """A numbered piece is in the target when it stands there more than k times."""
-        return F.size(F.filter("tgt_words", lambda x: x == w)) > k
-
-    m = F.size("tgt_words")
-    fits = F.lit(True) if params.separators else F.least("n", m) >= F.lit(t) * F.greatest("n", m) - _EPS
-    met = probes.join(_checked(keys), "w").filter(fits & held(F.col("w"), F.col("k"))).drop("w", "k", "n")
-    met = _only(met, allowed).join(lines, ["src_id", "src_line"])
-    first = ~F.exists("prefix", lambda x: (x["at"] < F.col("at")) & held(x["w"], x["k"]))
-    return met.filter(first).select("src_id", "src_line", "doc_id", "tgt_line", "src_words", "tgt_words")
+        src, tgt = (x.filter(~in_table(x)) for x in (src, tgt))
+    if t <= 0 and params.accept_zero:  # by definition the stated source lines meet every target line
+        left = src.select("src_id", F.col("line_no").alias("src_line"), F.col("words").alias("src_words"))
+        return _only(tgt.select("doc_id", F.col("line_no").alias("tgt_line"), F.col("words").alias("tgt_words")).crossJoin(kept.checked(left)), allowed)
+    src = src.filter(F.size("words") > 0)
+    if params.separators and t <= 0.5:
+        return _only(_banded(src, tgt, params, kept), allowed)
+    vocabulary = kept.checked(src.select(F.explode("words").alias("w")).distinct())
+    keys = kept.checked(prefixes(src, frequencies(tgt, vocabulary), params))
+    ids = candidate_ids(keys, postings(tgt, kept.checked(keys.select("w").distinct())), params)
+    return attached(_only(ids, allowed), src, tgt, params, kept)
 
 
-def _only(pairs: DataFrame, allowed: DataFrame | None) -> DataFrame:
-    if allowed is None:
-        return pairs
-    return pairs.join(allowed, [c for c in ("src_id", "doc_id", "src_line") if c in allowed.columns], "left_semi")
+def attached(ids: DataFrame, src: DataFrame, tgt: DataFrame, params: SearchParams, kept: Kept) -> DataFrame:
+    """Pairs with their pieces. The pairs are sent to the lines while they are few, so the target side stays
+    where it is; lines are cut into pieces only where a pair names them."""
+    ids = kept.checked(ids)
+    left = kept.checked(src.select("src_id", F.col("line_no").alias("src_line"), F.col("words").alias("src_words"), *(["rate"] if "rate" in src.columns else [])))
+    stored = "words" if "text" not in tgt.columns else "text"
+    both = tgt.select("doc_id", F.col("line_no").alias("tgt_line"), stored).join(ids, ["doc_id", "tgt_line"])
+    both = both.withColumn("tgt_words", words(params.is_jp) if stored == "text" else F.col("words")).drop(stored)
+    return both.join(left, ["src_id", "src_line"]).select("src_id", "src_line", "doc_id", "tgt_line", "src_words", "tgt_words", *(["rate"] if "rate" in src.columns else []))
 
 
-#: What ``_checked`` keeps until ``release``.
-_KEPT: list[DataFrame] = []
+def _banded(src: DataFrame, tgt: DataFrame, params: SearchParams, kept: Kept) -> DataFrame:
+    """Where blanks alone can reach the rate no piece need be shared, so only lengths prune: lengths are put
+    into bands of a factor 1 / rate, and partners stand in the same band or a neighbouring one."""
+    step = math.log(1 / params.rate) if params.rate > 0 else None
 
+    def band(size: Column) -> Column:
+        return F.floor(F.log(2.0 * size - 1) / step).cast("int") if step else F.lit(0)
 
-def _checked(df: DataFrame) -> DataFrame:
-    """Broadcast after its rows and bytes are measured; a large side is left to a shuffled join. The measured
-    rows are kept, as the join would make them again."""
-    df = df.persist()
-    _KEPT.append(df)
-    rows = df.count()
-    size = int(str(df.select("*")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
+    left = src.select("src_id", F.col("line_no").alias("src_line"), F.col("words").alias("src_words"), F.explode(F.sequence(band(F.size("words")) - 1, band(F.size("words")) + 1)).alias("band"))
+    right = tgt.filter(F.size("words") > 0).select("doc_id", F.col("line_no").alias("tgt_line"), F.col("words").alias("tgt_words"), band(F.size("words")).alias("band"))
+    both = right.join(kept.checked(left), "band")
+    return both.filter(_fits(F.size("src_words"), F.size("tgt_words"), F.lit(params.rate), params)).drop("band")
 
 
-def release() -> None:
-    """Free the kept rows of all searches whose results have been written."""
-    while _KEPT:
-        _KEPT.pop().unpersist()
+def _only(pairs: DataFrame, allowed: DataFrame | None) -> DataFrame:
+    if allowed is None:
+        return pairs
+    return pairs.join(allowed, [c for c in ("src_id", "doc_id", "src_line") if c in allowed.columns], "left_semi")
 
 
-def similarity_join(src: DataFrame, tgt: DataFrame, params: SearchParams, native: bool = False, allowed: DataFrame | None = None) -> DataFrame:
+def similarity_join(src: DataFrame, tgt: DataFrame, params: SearchParams, native: bool = False, allowed: DataFrame | None = None, kept: Kept | None = None) -> DataFrame:
     """``(src_id, src_line, doc_id, tgt_line, match_words, total_words, rate)`` of all pairs at the rate or above.
 
     At rate 0 every pair with a common piece qualifies, with ``accept_zero`` every pair."""
-    pairs = candidates(src, tgt, params, allowed)
+    return scored(candidates(src, tgt, params, allowed, kept), params, native)
+
+
+def scored(pairs: DataFrame, params: SearchParams, native: bool = False) -> DataFrame:
+    """Candidate pairs with their exact similarity, those below the rate left out."""
+    pairs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    least = _rate(pairs, params)
     a, b = F.col("src_words"), F.col("tgt_words")
     x, y = (S.with_blanks(a), S.with_blanks(b)) if params.separators else (a, b)
-    scored = pairs.withColumn("lcs", S.lcs_native(x, y) if native else S.lcs_arrow(x, y))
+    done = pairs.withColumn("least", least).withColumn("lcs", S.lcs_native(x, y) if native else S.lcs_arrow(x, y))
     match, total, rate = S.word_rate(a, b, F.col("lcs"), params.separators)
-    return scored.select("src_id", "src_line", "doc_id", "tgt_line", match.cast("int").alias("match_words"), total.cast("int").alias("total_words"), rate.alias("rate")).filter((F.col("rate") >= params.rate) & ((F.col("rate") > 0) | F.lit(params.accept_zero)))
+    done = done.select("src_id", "src_line", "doc_id", "tgt_line", match.cast("int").alias("match_words"), total.cast("int").alias("total_words"), rate.alias("rate"), "least")
+    return done.filter((F.col("rate") >= F.col("least")) & ((F.col("rate") > 0) | F.lit(params.accept_zero))).drop("least")
 
 
 def greedy(pairs: DataFrame) -> DataFrame:
@@ -179,51 +274,99 @@ def totals(src_lines: DataFrame, params: SearchParams) -> DataFrame:
 def rank(matches: DataFrame, sources: DataFrame, total: DataFrame, targets: DataFrame) -> DataFrame:
     """``(src_id, doc_id, match_count, total, rate)`` for each of the stated ``sources(src_id)`` and every target.
 
-    Pairs without a match, and targets without text, get a zero row. The sources are a query set: their
-    ids go to the targets as one array, so no target is moved to make the rows."""
-    counted = matches.groupBy("src_id", "doc_id").agg(F.count("*").cast("int").alias("match_count"))
-    ids = [r[0] for r in sources.select("src_id").distinct().orderBy("src_id").collect()]
-    kind = sources.schema["src_id"].dataType.simpleString()
-    every = targets.select("doc_id", F.explode(F.array(*map(F.lit, ids)).cast(f"array<{kind}>")).alias("src_id"))
-    out = every.join(counted, ["src_id", "doc_id"], "left").join(F.broadcast(total), "src_id", "left")  # a row a source
+    Pairs without a match, and targets without text, get a zero row. The sources are a query set: they go
+    to the targets in blocks of ids, so no target is moved to make the rows."""
+    counted = _counted(matches)
+    ids = sources.select("src_id").distinct()
+    blocks = -(-ids.count() // BLOCK)
+    listed = ids.groupBy(F.pmod(F.xxhash64("src_id"), F.lit(max(1, blocks))).alias("block")).agg(F.collect_list("src_id").alias("ids"))
+    every = targets.select("doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max(1, blocks) - 1).cast("bigint"))).alias("block")).join(Kept().checked(listed), "block")
+    every = every.select("doc_id", F.explode("ids").alias("src_id"))
+    out = every.join(counted, ["src_id", "doc_id"], "left").join(total, "src_id", "left")
     out = out.select("src_id", "doc_id", F.coalesce("match_count", F.lit(0)).alias("match_count"), F.coalesce("total", F.lit(0)).alias("total"))
     return out.withColumn("rate", F.coalesce(F.try_divide(F.col("match_count").cast("double"), F.col("total").cast("double")), F.lit(0.0)))
 
 
+def _counted(matches: DataFrame) -> DataFrame:
+    """A pair that shares nothing has taken its lines, but is no match."""
+    return matches.filter("rate > 0").groupBy("src_id", "doc_id").agg(F.count("*").cast("int").alias("match_count"))
+
+
 def matched_rank(matches: DataFrame, total: DataFrame) -> DataFrame:
     """Like ``rank`` without the zero rows: what a large corpus wants."""
-    counted = matches.groupBy("src_id", "doc_id").agg(F.count("*").cast("int").alias("match_count"))
-    return counted.join(F.broadcast(total), "src_id").withColumn("rate", F.col("match_count") / F.col("total").cast("double"))
+    return _counted(matches).join(total, "src_id").withColumn("rate", F.col("match_count") / F.col("total").cast("double"))
 
 
-def search(sources: DataFrame, targets: DataFrame, params: SearchParams = SearchParams(), requests: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def first_fit_of_all(src: DataFrame, tgt: DataFrame, params: SearchParams, allowed: DataFrame | None, kept: Kept) -> DataFrame:
+    """First fit where every pair qualifies (rate 0, ``accept_zero``): the k-th source line gets the k-th target
+    line, so nothing is crossed. Pairs that share nothing are gone afterwards."""
+    if params.exclude_tables:
+        src, tgt = (x.filter(~in_table(x)) for x in (src, tgt))
+    left = src.select("src_id", F.col("line_no").alias("src_line"), F.col("words").alias("src_words"), F.row_number().over(W.partitionBy("src_id").orderBy("line_no")).alias("k"))
+    right = tgt.select("doc_id", F.col("line_no").alias("tgt_line"), F.col("words").alias("tgt_words"), F.row_number().over(W.partitionBy("doc_id").orderBy("line_no")).alias("k"))
+    return scored(_only(right.join(kept.checked(left), "k").drop("k"), allowed), params).filter("rate > 0")
+
+
+def search(sources: DataFrame, targets: DataFrame, params: SearchParams = SearchParams(), requests: DataFrame | None = None) -> Found:
     """``sources(src_id, text)`` against ``targets(doc_id, text)`` -> (matched lines, ranked documents).
 
     ``requests(src_id, doc_id)``, if given, is the queue of pairs to look at; a repeated request counts once."""
+    kept = Kept()
     if params.segmenter:
         sources, targets = segmented(sources, "src_id", params), segmented(targets, "doc_id", params)
     src, tgt = line_table(sources, "src_id", params.is_jp, bool(params.segmenter)), line_table(targets, "doc_id", params.is_jp, bool(params.segmenter))
+    if params.exclude_tables:
+        src = src.filter(~in_table(src))
     if requests is not None:
         requests = requests.select("src_id", "doc_id").distinct()
         tgt = tgt.join(requests, "doc_id", "left_semi")
+
+    def matched(allowed: DataFrame | None) -> DataFrame:
+        if params.rate <= 0 and params.accept_zero and (allowed is None or "src_line" not in allowed.columns):
+            return first_fit_of_all(eligible(src, params), tgt, params, allowed, kept)
+        return greedy(similarity_join(eligible(src, params), tgt, params, allowed=allowed, kept=kept)).filter("rate > 0")
+
     if not params.rough_lines:
-        matches = greedy(similarity_join(eligible(src, params), tgt, params, allowed=requests))
-        return matches, matched_rank(matches, totals(src, params))
+        matches = matched(requests)
+        return Found(matches, matched_rank(matches, totals(src, params)), kept)
     from .rough import rough_lines
 
     every = bool(params.segmenter)
     marked = rough_lines(numbered_lines(sources, "src_id", every), numbered_lines(targets, "doc_id", every), params.rough_lines)
     if requests is not None:
         marked = marked.join(requests, ["src_id", "doc_id"], "left_semi")
-    allowed = marked.withColumnRenamed("line_no", "src_line")
-    matches = greedy(similarity_join(eligible(src, params), tgt, params, allowed=allowed))
+    matches = matched(marked.withColumnRenamed("line_no", "src_line"))
     # Lines that the rough filter turns away count in the total whatever their length.
     short = src.filter(F.col("n_idx_words") < params.min_words).join(marked, ["src_id", "line_no"]).groupBy("src_id", "doc_id").agg(F.count("*").alias("short"))
     lines = src.groupBy("src_id").agg(F.count("*").alias("lines"))
-    counted = matches.groupBy("src_id", "doc_id").agg(F.count("*").cast("int").alias("match_count")).join(F.broadcast(lines), "src_id")
+    counted = _counted(matches).join(lines, "src_id")
     total = (F.col("lines") - F.coalesce("short", F.lit(0))).cast("int")
     ranked = counted.join(short, ["src_id", "doc_id"], "left").select("src_id", "doc_id", "match_count", total.alias("total"))
-    return matches, ranked.withColumn("rate", F.try_divide(F.col("match_count").cast("double"), F.col("total").cast("double")))
+    return Found(matches, ranked.withColumn("rate", F.try_divide(F.col("match_count").cast("double"), F.col("total").cast("double"))), kept)
+
+
+def search_queue(sources: DataFrame, targets: DataFrame, queue: DataFrame, params: SearchParams = SearchParams()) -> Found:
+    """A queue of searches in one pass: ``queue(request_id, src_id, scope, is_jp, rate, min_words)``, any of the
+    last three null for that of ``params``, against ``targets(doc_id, text, scope)`` of the request's scope.
+
+    Results are those of a search for each request, with ``request_id`` in the place of the source: the
+    settings are columns that the prefix filter reads, and the scope is a part of its join key."""
+    kept = Kept()
+    default = {"is_jp": params.is_jp, "rate": float(params.rate), "min_words": params.min_words}
+    asked = queue.select("request_id", "src_id", "scope", *(F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in default.items()))
+    parts = []
+    for is_jp in (False, True):
+        mine = asked.filter(F.col("is_jp") == is_jp).drop("is_jp")
+        its = sources.select("src_id", "text").join(mine, "src_id").select(F.struct("request_id", "scope", "rate", "min_words").alias("key"), "text")
+        src = line_table(its, "key", is_jp).select(F.col("key.request_id").alias("src_id"), "key.scope", "key.rate", "key.min_words", "line_no", "text", "n_idx_words", "words")
+        named = targets.select(F.struct("doc_id", "scope").alias("key"), "text")
+        tgt = line_table(named, "key", is_jp).select("key.doc_id", "key.scope", "line_no", "text", "words")
+        own = SearchParams(rate=params.rate, is_jp=is_jp, exclude_tables=params.exclude_tables)
+        pairs = greedy(similarity_join(eligible(src, own), tgt, own, kept=kept))
+        parts.append((pairs, totals(src, own)))
+    matches, total = (a.unionByName(b) for a, b in zip(*parts))
+    name = lambda df: df.withColumnRenamed("src_id", "request_id")
+    return Found(name(matches), name(matched_rank(matches, total)), kept)
 
 
 def segmented(docs: DataFrame, id_col: str, params: SearchParams) -> DataFrame:

@@ -54,11 +54,64 @@ def passes(words: Column, block: Column) -> Column:
     return F.aggregate(words, init, step, lambda s: s["state"] >= 0)
 
 
-def rough_pairs(src: DataFrame, tgt: DataFrame, r: int) -> DataFrame:
-    """``(src_id, first, last, doc_id)`` of passing blocks. The stated source set meets all target blocks."""
-    from .matching import _checked
+#: Stand for a block without any of the words, and for the blocks so short that blank words alone can end the walk.
+_NOWHERE, _SHORT = "\0" * 100, "\0"
+
+
+def _need(words: Column) -> Column:
+    """Words that a block must at least hold to pass: half of the words walked over must be hit, and blank
+    words always are. Blanks before the last word can also end the walk early, behind any word that is hit."""
+    blanks = F.size(F.filter(words, lambda w: w == ""))
+    half = F.ceil((F.size(words) - 1) / 2) - blanks
+    return F.when(_inner(words), F.lit(1)).otherwise(F.greatest(half, F.lit(1))).cast("int")
+
+
+def _inner(words: Column) -> Column:
+    return F.exists(F.slice(words, 1, F.size(words) - 1), lambda w: w == "")
+
 
-    return target_blocks(tgt, r).join(_checked(source_blocks(src, r)), passes(F.col("words"), F.col("block"))).select("src_id", "first", "last", "doc_id").distinct()
+def _holders(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``(token, w)``: tokens of ``vocabulary(token)`` that hold a word of ``words(w)``, by the word's first
+    signs, three at most, among the token's."""
+
+    def cut(size: int) -> Column:
+        n = F.length("token")
+        return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(F.col("token"), i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+    grams = [cut(size) for size in (1, 2, 3)]
+    parts = vocabulary.select("token", F.explode(F.array_distinct(F.concat(*grams))).alias("gram"))
+    return parts.join(words.select("w", F.substring("w", 1, 3).alias("gram")), "gram").filter(F.contains("token", F.col("w"))).select("token", "w")
+
+
+def rough_pairs(src: DataFrame, tgt: DataFrame, r: int) -> DataFrame:
+    """``(src_id, first, last, doc_id)`` of passing blocks.
+
+    Which target blocks hold enough of a source block's words is counted on the words' postings; the walk
+    in order is made on those that do. A word is looked for inside tokens, so postings are those of the tokens
+    that hold it. A source block that passes where none of its words stands passes everywhere."""
+    from .matching import Kept
+
+    kept = Kept()
+    free = passes(F.col("words"), F.lit(_NOWHERE)).alias("free")
+    blocks = kept.checked(source_blocks(src, r).select("*", _need(F.col("words")).alias("need"), free, F.monotonically_increasing_id().alias("block_no")))
+    counted = blocks.filter("not free")
+    short = F.when(_inner(F.col("words")), F.array(F.lit(_SHORT))).otherwise(F.array().cast("array<string>"))
+    wanted = counted.select("block_no", "need", F.explode(F.concat(F.filter("words", lambda w: w != ""), short)).alias("w"))
+    wanted = kept.checked(wanted.groupBy("block_no", "need", "w").agg(F.count("*").alias("times")))  # sampled twice, hit twice
+    parts = target_blocks(tgt, r)
+    token = F.filter(F.array_distinct(F.split("block", " ")), lambda t: t != "")
+    token = F.when(F.length("block") <= WORDS, F.array_append(token, F.lit(_SHORT))).otherwise(token)
+    held = parts.select("doc_id", "start", F.explode(token).alias("token"))
+    holders = kept.checked(_holders(kept.checked(wanted.select("w").distinct()), held.select("token").distinct()))
+    where = held.join(holders, "token").select("doc_id", "start", "w").distinct()
+    enough = where.join(wanted, "w").groupBy("block_no", "doc_id", "start", "need").agg(F.sum("times").alias("hits")).filter("hits >= need")
+    survivors = kept.checked(enough.select("block_no", "doc_id", "start"))
+    walked = parts.join(survivors, ["doc_id", "start"]).join(blocks, "block_no").filter(passes(F.col("words"), F.col("block")))
+    out = walked.select("src_id", "first", "last", "doc_id")
+    everywhere = blocks.filter("free")
+    if everywhere.limit(1).count():
+        out = out.unionByName(tgt.select("doc_id").distinct().join(kept.checked(everywhere), how="cross").select(*out.columns))
+    return out.distinct()
 
 
 def rough_lines(src: DataFrame, tgt: DataFrame, r: int) -> DataFrame:

@@ -248,11 +248,31 @@ def segment_basic(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", L.segment_plain(F.col("text")).alias("text"))
 
 
-@query()
+@query(L.segment_full_sql("documents", "doc_id"))
 def segment_full(spark, sf_dir):
     return L.segment_full(table(spark, sf_dir, "documents"), "doc_id")
 
 
+#: Documents with rows of numbers between their lines, some with more pieces than the run has lines.
+_TABLES_SQL = "(SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1 + doc_id) % 7 IN (2, 3) THEN ' 1  -2 ' || (i - 1) WHEN (i - 1 + doc_id) % 7 = 4 THEN (i - 1)::VARCHAR WHEN (i - 1 + doc_id) % 7 = 5 THEN ' ' ELSE x END), chr(10)) AS text FROM documents)"
+
+
+def _tables(spark, sf_dir) -> DataFrame:
+    k = lambda i: (i + F.col("doc_id")) % 7
+    made = F.transform(F.split("text", "\n"), lambda x, i: F.when(k(i).isin(2, 3), F.concat(F.lit(" 1  -2 "), i.cast("string"))).when(k(i) == 4, i.cast("string")).when(k(i) == 5, F.lit(" ")).otherwise(x))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(made, "\n").alias("text"))
+
+
+@query(L.segment_full_sql(_TABLES_SQL, "doc_id"))
+def segment_tables(spark, sf_dir):
+    return L.segment_full(_tables(spark, sf_dir), "doc_id")
+
+
+@query(L.segment_full_sql(_TABLES_SQL, "doc_id", True))
+def segment_without_tables(spark, sf_dir):
+    return L.segment_full(_tables(spark, sf_dir), "doc_id", exclude_tables=True)
+
+
 _NUM_SQL = "(SELECT conv_id, turn::INT AS line_no, CASE WHEN turn % 4 IN (1, 2) THEN '1 2 ' || turn WHEN turn % 4 = 3 THEN '' ELSE text END AS text FROM conversations)"
 
 
@@ -358,19 +378,20 @@ def matched(spark: SparkSession, sf_dir: str, params: M.SearchParams = PARAMS) -
     return M.greedy(M.similarity_join(M.eligible(src, params), tgt, params))
 
 
-def _match_sql() -> str:
-    """CTEs up to ``matches``: overlap counts of numbered pieces bound the rate; the rest is scored and assigned."""
+def _match_sql(src: str = _SRC, doc: str = _DOC, where: str = "", only: str = "") -> str:
+    """CTEs up to ``matches``: overlap counts of numbered pieces bound the rate; the rest is scored and assigned.
+    ``where`` limits the lines, ``only`` the pairs."""
     t = PARAMS.rate
-    line = lambda src, key: f"SELECT {key}, line_no, idx, w, len(w) AS n FROM (SELECT {key}, line_no, {T.split_words_sql('text')} AS idx, {T.pieces_sql('text')} AS w, text FROM {src}) WHERE text <> '' AND idx <> ''"
+    line = lambda src, key: f"SELECT {key}, line_no, idx, w, len(w) AS n FROM (SELECT {key}, line_no, {T.split_words_sql('text')} AS idx, {T.pieces_sql('text')} AS w, text FROM {src}) WHERE text <> '' AND idx <> ''{where}"
     num = lambda src, key: f"SELECT {key}, line_no, n, p, row_number() OVER (PARTITION BY {key}, line_no, p) AS k FROM (SELECT {key}, line_no, n, unnest(w) AS p FROM {src})"
     fold = "list_reduce(pairs, lambda s, x: CASE WHEN len(list_filter(s, lambda y: y.src_line = x.src_line OR y.tgt_line = x.tgt_line)) > 0 THEN s ELSE list_append(s, x) END, CAST([] AS STRUCT(src_line INT, tgt_line INT, match_words INT, total_words INT, rate DOUBLE)[]))"
-    return f"""sl AS ({line(_SRC, 'src_id')}), el AS (SELECT * FROM sl WHERE len(string_split(idx, ' ')) >= {PARAMS.min_words}), tl AS ({line(_DOC, 'doc_id')}),
+    return f"""sl AS ({line(src, 'src_id')}), el AS (SELECT * FROM sl WHERE len(string_split(idx, ' ')) >= {PARAMS.min_words}), tl AS ({line(doc, 'doc_id')}),
 sn AS ({num('el', 'src_id')}), tn AS ({num('tl', 'doc_id')}),
 ov AS (SELECT src_id, sn.line_no AS src_line, doc_id, tn.line_no AS tgt_line FROM sn JOIN tn USING (p, k)
   WHERE least(sn.n, tn.n) >= {t} * greatest(sn.n, tn.n) - 1e-9 GROUP BY ALL HAVING count(*) >= {t} * greatest(max(sn.n), max(tn.n)) - 1e-9),
 sc AS (SELECT ov.src_id, src_line, ov.doc_id, tgt_line, el.w AS x, tl.w AS y FROM ov JOIN el ON el.src_id = ov.src_id AND el.line_no = src_line JOIN tl ON tl.doc_id = ov.doc_id AND tl.line_no = tgt_line),
 lc AS (SELECT *, {lcs_sql('x', 'y')} AS l, greatest(len(x), len(y)) AS n FROM sc),
-sim AS (SELECT src_id, src_line, doc_id, tgt_line, l::INT AS match_words, n::INT AS total_words, l / n::DOUBLE AS rate FROM lc WHERE l / n::DOUBLE >= {t}),
+sim AS (SELECT src_id, src_line, doc_id, tgt_line, l::INT AS match_words, n::INT AS total_words, l / n::DOUBLE AS rate FROM lc WHERE l / n::DOUBLE >= {t}{only}),
 grp AS (SELECT src_id, doc_id, list(struct_pack(src_line, tgt_line, match_words, total_words, rate) ORDER BY src_line, tgt_line) AS pairs FROM sim GROUP BY ALL),
 matches AS (SELECT src_id, doc_id, m.src_line, m.tgt_line, m.match_words, m.total_words, m.rate FROM (SELECT src_id, doc_id, unnest({fold}) AS m FROM grp)),
 totals AS (SELECT src_id, count(*)::INT AS total FROM el GROUP BY src_id),
@@ -409,6 +430,30 @@ def search_documents(spark, sf_dir):
     return ranked(spark, sf_dir)
 
 
+_ITEM_TABLES_SQL = "(SELECT item_id, '12 34' || chr(10) || text || chr(10) || '1 2 3 4 5 6 7' || chr(10) || item_id || ' +2 -3 4 5 6' AS text FROM benchmark)"
+_NO_TABLE = f" AND NOT (line_no > 0 AND regexp_matches(trim(text), {N.quote(L.TABLE_LINE)}))"
+
+
+@query(f"WITH {_match_sql(_lines_sql(_ITEM_TABLES_SQL, 'item_id', 'src_id'), _lines_sql(_TABLES_SQL, 'doc_id', 'doc_id'), _NO_TABLE)} SELECT * FROM ranked")
+def search_without_tables(spark, sf_dir):
+    """Items with rows of numbers searched in documents with such rows: they neither match nor count."""
+    from dataclasses import replace
+
+    n = F.col("item_id").cast("string")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("src_id"), F.concat(F.lit("12 34\n"), "text", F.lit("\n1 2 3 4 5 6 7\n"), n, F.lit(" +2 -3 4 5 6")).alias("text"))
+    return M.search(items, _tables(spark, sf_dir), replace(PARAMS, exclude_tables=True))[1]
+
+
+@query(f"""WITH {_match_sql().split("sn AS (")[0].rstrip().rstrip(",")}, a AS (SELECT *, row_number() OVER (PARTITION BY src_id ORDER BY line_no) AS k FROM el), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM tl),
+z AS (SELECT src_id, doc_id, a.w AS x, b.w AS y FROM a JOIN b USING (k)), t AS (SELECT src_id, count(*)::INT AS total FROM el GROUP BY src_id)
+SELECT src_id, doc_id, count(*)::INT AS match_count, max(total) AS total, count(*) / max(total)::DOUBLE AS rate FROM z JOIN t USING (src_id) WHERE len(list_intersect(x, y)) > 0 GROUP BY ALL""")
+def search_accepting_zero(spark, sf_dir):
+    """At rate 0 every pair of lines qualifies: lines are taken in order, and those that share a word count."""
+    from dataclasses import replace
+
+    return M.search(bench(spark, sf_dir), table(spark, sf_dir, "documents"), replace(PARAMS, rate=0.0, accept_zero=True))[1]
+
+
 _LEVEL = "least(9, greatest(0, ceil((1 - rate) * 10)::INT))"
 
 
@@ -486,21 +531,27 @@ def rough_blocks(spark, sf_dir):
     return rough.target_blocks(doc_lines_of(spark, sf_dir), ROUGH).select("doc_id", "start", F.length("block").alias("size"))
 
 
-@query(f"""WITH RECURSIVE {_SB}, {_TB},
+_ROUGH_SQL = f"""{_SB}, {_TB},
 walk(src_id, first, last, doc_id, start, block, words, i, pos, hits, state) AS (
   SELECT src_id, first, last, doc_id, start, block, words, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0 FROM sb, tb
   UNION ALL
   SELECT src_id, first, last, doc_id, start, block, words, i + 1, CASE WHEN spot > 0 THEN spot ELSE pos END, hits + (spot > 0)::INT,
     CASE WHEN (i = len(words) - 1 OR i > {rough.WORDS // 2}) AND (hits + (spot > 0)::INT) * 2 < i THEN -1 WHEN length(block) <= CASE WHEN spot > 0 THEN spot ELSE pos END THEN 1 ELSE 0 END
   FROM (SELECT *, CASE WHEN words[i + 1] = '' THEN pos + 1 WHEN strpos(substr(block, pos + 1), words[i + 1]) > 0 THEN pos + strpos(substr(block, pos + 1), words[i + 1]) ELSE 0 END AS spot FROM walk WHERE state = 0 AND i < len(words))),
-hit AS (SELECT DISTINCT src_id, first, last, doc_id FROM walk WHERE state = 1 OR state = 0 AND i = len(words))
-SELECT DISTINCT src_id, doc_id, unnest(range(first, last + 1))::INT AS line_no FROM hit""")
+hit AS (SELECT DISTINCT src_id, first, last, doc_id FROM walk WHERE state = 1 OR state = 0 AND i = len(words)),
+mk AS (SELECT DISTINCT src_id, doc_id, unnest(range(first, last + 1))::INT AS line_no FROM hit)"""
+
+
+@query(f"WITH RECURSIVE {_ROUGH_SQL} SELECT * FROM mk")
 def rough_filter(spark, sf_dir):
     src = L.with_index(L.explode(bench(spark, sf_dir), "src_id", L.sentences(F.col("text"))))
     return rough.rough_lines(src, doc_lines_of(spark, sf_dir), ROUGH)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ROUGH_SQL}, {_match_sql(only=" AND (src_id, doc_id, src_line) IN (SELECT (src_id, doc_id, line_no) FROM mk)")},
+sh AS (SELECT mk.src_id, doc_id, count(*) AS short FROM sl JOIN mk ON mk.src_id = sl.src_id AND mk.line_no = sl.line_no WHERE len(string_split(idx, ' ')) < {PARAMS.min_words} GROUP BY ALL),
+al AS (SELECT src_id, count(*) AS lines FROM sl GROUP BY src_id), mc AS (SELECT src_id, doc_id, count(*)::INT AS match_count FROM matches GROUP BY ALL)
+SELECT src_id, doc_id, match_count, (lines - coalesce(short, 0))::INT AS total, match_count / (lines - coalesce(short, 0))::DOUBLE AS rate FROM mc JOIN al USING (src_id) LEFT JOIN sh USING (src_id, doc_id)""")
 def rough_search(spark, sf_dir):
     """The whole search behind the rough filter, with its own denominators."""
     from dataclasses import replace
@@ -569,11 +620,25 @@ def span_runs(spark, sf_dir):
     return P.runs_of(parts, runs, "doc_id")
 
 
-@query()
+_HEAD_SQL = f"substr(trim({{}}, {N.quote(L.SPACE)}), 1, {P.HEAD})"
+_BARE_LINE = f"trim(trim({{}}, {N.quote(L.SPACE)}), '.')"
+_STEP_P = "list_filter(range(a.least, len(r)), lambda k: contains(r[k + 1], h.head) AND h.head <> '')[1]"
+_STEP_L = "list_filter(range(a.line, len(b)), lambda k: h.bare <> '' AND strpos(substr(b[k + 1], CASE WHEN k = a.line THEN a.at + 1 ELSE 1 END), h.bare) > 0)[1]"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {L.sentences_sql('text')} AS s, {L.rows_sql('text')} AS r FROM documents),
+e AS (SELECT doc_id, r, list_transform(r, lambda x: {_BARE_LINE.format('x')}) AS b, list_transform(s, lambda x: {{'piece': x, 'head': {_HEAD_SQL.format('x')}, 'bare': substr({_BARE_LINE.format('x')}, 1, {P.HEAD})}}) AS hs FROM d),
+p AS (SELECT doc_id, list_reduce(hs, lambda a, h: CASE WHEN {_STEP_P} IS NULL THEN {{'least': a.least, 'place': a.place, 'out': list_append(a.out, a.place)}}
+  ELSE {{'least': CASE WHEN suffix(rtrim(h.piece, {N.quote(L.SPACE)}), '.') THEN {_STEP_P} + 1 ELSE a.least END, 'place': {_STEP_P}, 'out': list_append(a.out, {_STEP_P})}} END, {{'least': 0::BIGINT, 'place': -1::BIGINT, 'out': CAST([] AS BIGINT[])}}).out AS paragraphs FROM e),
+q AS (SELECT doc_id, list_reduce(hs, lambda a, h: CASE WHEN {_STEP_L} IS NULL THEN {{'line': a.line, 'at': a.at, 'out': list_append(a.out, -1)}}
+  ELSE list_transform([{_STEP_L}], lambda k: list_transform([strpos(substr(b[k + 1], CASE WHEN k = a.line THEN a.at + 1 ELSE 1 END), h.bare) - 1 + CASE WHEN k = a.line THEN a.at ELSE 0 END + length(h.piece)], lambda z:
+    {{'line': CASE WHEN z >= length(b[k + 1]) THEN k + 1 ELSE k END, 'at': CASE WHEN z >= length(b[k + 1]) THEN 0 ELSE z END, 'out': list_append(a.out, k)}})[1])[1] END, {{'line': 0::BIGINT, 'at': 0::BIGINT, 'out': CAST([] AS BIGINT[])}}).out AS lines FROM e)
+SELECT doc_id, array_to_string(paragraphs, ',') AS paragraphs, array_to_string(lines, ',') AS lines FROM p JOIN q USING (doc_id)""")
 def forward_places(spark, sf_dir):
     """Sentences of every document found again in its lines, in order: by paragraph and by line."""
     docs = table(spark, sf_dir, "documents").select("doc_id", L.sentences(F.col("text")).alias("s"), L.rows(F.col("text")).alias("r"))
-    return docs.select("doc_id", P.forward_paragraphs_arrow("s", "r").alias("paragraphs"), P.forward_lines_arrow("s", "r").alias("lines"))
+    listed = lambda c: F.array_join(c.cast("array<string>"), ",")
+    return docs.select("doc_id", listed(P.forward_paragraphs_arrow("s", "r")).alias("paragraphs"), listed(P.forward_lines_arrow("s", "r")).alias("lines"))
 
 
 @query("SELECT max(n) AS longest FROM (" + ORACLES["numeric_runs"].replace("SELECT conv_id, min(line_no) AS first_line, count(*) AS n_lines, sum(len(string_split(t, ' ')))::BIGINT AS n_pieces", "SELECT sum(len(string_split(t, ' ')))::BIGINT AS n") + ")")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.matching import SearchParams, release, search
+from ..operators.matching import SearchParams, search
 
 
 def watch(spark: SparkSession, folder: str, sources: DataFrame, out: str, checkpoint: str, params: SearchParams = SearchParams(), schema: str = "doc_id bigint, text string", once: bool = True) -> StreamingQuery:
@@ -15,10 +15,9 @@ def watch(spark: SparkSession, folder: str, sources: DataFrame, out: str, checkp
     a restart neither loses nor doubles results."""
 
     def batch(docs: DataFrame, number: int) -> None:
-        matches, ranked = search(sources, docs, params)
-        matches.write.mode("overwrite").parquet(f"{out}/match_lines/batch={number}")
-        ranked.write.mode("overwrite").parquet(f"{out}/doc_matches/batch={number}")
-        release()
+        with search(sources, docs, params) as found:
+            found.matches.write.mode("overwrite").parquet(f"{out}/match_lines/batch={number}")
+            found.ranked.write.mode("overwrite").parquet(f"{out}/doc_matches/batch={number}")
 
     stream = spark.readStream.schema(schema).parquet(folder)
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

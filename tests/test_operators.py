@@ -69,9 +69,93 @@ def test_separators_are_lossless_too(spark):
     assert [(r["src_line"], r["tgt_line"], r["match_words"], r["total_words"]) for r in found.collect()] == [(0, 0, 6, 7)]
 
 
-def test_zero_rate_tables_and_bounds(spark):
-    import pytest
+def test_blanks_alone_can_reach_low_rates(spark):
+    """Rates that no shared word is needed for: lengths alone prune, and nothing is lost."""
+    from test_functions import table_lcs
+
+    random.seed(10)
+    make = lambda: " ".join(random.choice("abc") for _ in range(random.choice((1, 2, 3, 5, 8, 13))))
+    src, tgt = [make() for _ in range(15)], [make() for _ in range(20)]
+    a = M.line_table(spark.createDataFrame([(1, "\n".join(src))], "src_id int, text string"), "src_id")
+    b = M.line_table(spark.createDataFrame([(2, "\n".join(tgt))], "doc_id int, text string"), "doc_id")
+    blanks = lambda line: [x for w in line.split() for x in (w, " ")][:-1]
+    for rate in (0.3, 0.4, 0.5, 0.55):
+        want = set()
+        for s, x in enumerate(src):
+            for t, y in enumerate(tgt):
+                if table_lcs(blanks(x), blanks(y)) / max(len(blanks(x)), len(blanks(y))) >= rate:
+                    want.add((s, t))
+        got = M.similarity_join(a, b, M.SearchParams(rate=rate, min_words=1, separators=True))
+        assert {(r["src_line"], r["tgt_line"]) for r in got.collect()} == want, rate
+
+
+def test_join_of_very_long_lines(spark):
+    """Lines of 20,000 words on both sides, with words that repeat: rows hold ids, not lines, and none is lost."""
+    random.seed(11)
+    line = [f"w{random.randrange(30_000)}" for _ in range(20_000)]
+    other = [w if random.random() < 0.8 else "z" for w in line]
+    src = spark.createDataFrame([(1, " ".join(line) + "\n" + "same " * 20_000)], "src_id int, text string")
+    tgt = spark.createDataFrame([(k, t) for k, t in enumerate([" ".join(other), "same " * 15_000, *(" ".join(random.sample(line, 20_000)) for _ in range(6))])], "doc_id int, text string")
+    got = M.similarity_join(M.line_table(src, "src_id"), M.line_table(tgt, "doc_id"), M.SearchParams(rate=0.7, min_words=1)).collect()
+    assert {(r["src_line"], r["doc_id"]): (r["match_words"], r["total_words"]) for r in got} == {(0, 0): (sum(a == b for a, b in zip(line, other)), 20_000), (1, 1): (15_000, 20_000)}
+
+
+def test_work_grows_with_the_words_of_a_line(spark):
+    """Rows of the candidate search for a line of n words, and twice as many: twice the rows."""
+    made = []
+    for n in (4_000, 8_000):
+        src = M.line_table(spark.createDataFrame([(1, " ".join(f"a{i}" for i in range(n)))], "src_id int, text string"), "src_id")
+        tgt = M.line_table(spark.createDataFrame([(k, " ".join(f"a{i + k}" for i in range(n))) for k in range(4)], "doc_id int, text string"), "doc_id")
+        where = M.postings(tgt)
+        assert "words" not in where.columns
+        keys = M.prefixes(src, M.frequencies(tgt, src.select(F.explode("words").alias("w"))), M.SearchParams(min_words=1))
+        made.append((where.count(), keys.count()))
+    assert made[1] == tuple(2 * x for x in made[0]) or all(b <= 2 * a + 2 for a, b in zip(*made))
+
+
+def test_excluded_tables_leave_the_denominator(spark):
+    text = "Alpha beta gamma delta\n1 2 3 4\n5 6 7 8"
+    a, b = (spark.createDataFrame([(1, text)], f"{k} int, text string") for k in ("src_id", "doc_id"))
+    for segmenter in (None, "plain", "full"):
+        got = M.search(a, b, M.SearchParams(min_words=1, exclude_tables=True, segmenter=segmenter))[1].collect()
+        assert [(r["match_count"], r["total"], r["rate"]) for r in got] == [(1, 1, 1.0)], segmenter
+    first = spark.createDataFrame([(1, "1 2 3 4\nAlpha beta gamma delta")], "src_id int, text string")
+    assert M.search(first, b, M.SearchParams(min_words=1, exclude_tables=True))[1].first()["total"] == 2
+
+
+def test_accepted_zero_is_no_match(spark):
+    a = spark.createDataFrame([(1, "a b\nc d\ne f")], "src_id int, text string")
+    b = spark.createDataFrame([(1, "x y\nz q"), (2, "x y\nc d"), (3, "c d")], "doc_id int, text string")
+    params = M.SearchParams(rate=0.0, min_words=1, accept_zero=True)
+    matches, ranked = M.search(a, b, params)
+    # The first line takes the first line of each document, whatever it holds.
+    assert {(r["doc_id"], r["src_line"], r["tgt_line"]) for r in matches.collect()} == {(2, 1, 1)}
+    assert [(r["doc_id"], r["match_count"], r["total"]) for r in ranked.collect()] == [(2, 1, 3)]
+    walked = M.greedy(M.similarity_join(M.line_table(a, "src_id"), M.line_table(b, "doc_id"), params)).filter("rate > 0")
+    assert {(r["doc_id"], r["src_line"], r["tgt_line"]) for r in walked.collect()} == {(2, 1, 1)}
+
+
+def test_queue_of_searches_equals_single_ones(spark):
+    random.seed(12)
+    make = lambda: "\n".join(" ".join(random.choice(["alpha", "beta", "gamma", "データ", "の", "delta"]) for _ in range(random.randrange(2, 9))) for _ in range(6))
+    src = spark.createDataFrame([(k, make()) for k in range(4)], "src_id int, text string")
+    tgt = spark.createDataFrame([(k, "ab"[k % 2], make()) for k in range(12)], "doc_id int, scope string, text string")
+    asked = [(10, 0, "a", False, 0.5, 3), (11, 0, "b", True, None, 2), (12, 1, "a", None, 0.8, None), (13, 2, "b", False, 1.0, 1), (14, 2, "b", True, 0.4, 5), (15, 3, "none", False, 0.5, 1)]
+    queue = spark.createDataFrame(asked, "request_id int, src_id int, scope string, is_jp boolean, rate double, min_words int")
+    default = M.SearchParams(rate=0.6, min_words=4)
+    with M.search_queue(src, tgt, queue, default) as found:
+        got = sorted((r["request_id"], r["doc_id"], r["src_line"], r["tgt_line"], r["rate"]) for r in found.matches.collect())
+        ranks = sorted((r["request_id"], r["doc_id"], r["match_count"], r["total"]) for r in found.ranked.collect())
+    want, totals = [], []
+    for request, source, scope, is_jp, rate, least in asked:
+        params = M.SearchParams(rate=default.rate if rate is None else rate, min_words=default.min_words if least is None else least, is_jp=bool(is_jp))
+        matches, ranked = M.search(src.filter(f"src_id = {source}"), tgt.filter(F.col("scope") == scope), params)
+        want += [(request, r["doc_id"], r["src_line"], r["tgt_line"], r["rate"]) for r in matches.collect()]
+        totals += [(request, r["doc_id"], r["match_count"], r["total"]) for r in ranked.collect()]
+    assert got == sorted(want) and ranks == sorted(totals) and len({g[0] for g in got}) >= 3
 
+
+def test_zero_rate_tables_and_bounds(spark):
     a = spark.createDataFrame([(1, "a b c\n1 2 3\nx y z")], "src_id int, text string")
     b = spark.createDataFrame([(2, "a b d\n1 2 3")], "doc_id int, text string")
     src, tgt = M.line_table(a, "src_id"), M.line_table(b, "doc_id")
@@ -79,8 +163,6 @@ def test_zero_rate_tables_and_bounds(spark):
     assert pairs(rate=0.0) == [(0, 0, 0.67), (1, 1, 1.0)]
     assert pairs(rate=0.0, accept_zero=True) == [(0, 0, 0.67), (0, 1, 0.0), (1, 0, 0.0), (1, 1, 1.0), (2, 0, 0.0), (2, 1, 0.0)]
     assert pairs(rate=0.6, exclude_tables=True) == [(0, 0, 0.67)]
-    with pytest.raises(ValueError):
-        pairs(rate=0.4, separators=True)
     ranked = M.rank(M.greedy(M.similarity_join(src, tgt, M.SearchParams(min_words=1))), a, M.totals(src, M.SearchParams(min_words=1)), b).collect()
     assert [(r["src_id"], r["doc_id"], r["match_count"], r["total"]) for r in ranked] == [(1, 2, 2, 3)]
 
@@ -112,14 +194,24 @@ def test_levels_and_colours(spark):
     assert shades[0] == "LightPink" and shades[2] == "Yellow" and shades[6] == "LightGreen" and shades[-1] == "White"
 
 
-def test_segmenter():
-    seg = L.FullSegmenter()
-    assert seg("One two. Three four.\nnext line") == "One two.\nThree four. \nnext line "
-    assert seg("alpha\nBeta gamma") == "alpha\nBeta gamma "
-    assert seg("") == ""
-    assert seg("see fig. 3 here") == "see fig. 3 here "
+def segmented(spark, *texts, **k):
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    return [r["text"] for r in L.segment_full(df, "id", **k).orderBy("id").collect()]
+
+
+def test_segmenter(spark):
     table = "Title\n" + "\n".join("1 2 3" for _ in range(4)) + "\nEnd"
-    assert "1 2 3" not in L.FullSegmenter(exclude_tables=True)(table)
+    got = segmented(spark, "One two. Three four.\nnext line", "alpha\nBeta gamma", "", "see fig. 3 here", None)
+    assert got == ["One two.\nThree four. \nnext line ", "alpha\nBeta gamma ", "", "see fig. 3 here ", ""]
+    assert "1 2 3" not in segmented(spark, table, exclude_tables=True)[0]
+
+
+def test_runs_of_a_very_long_text(spark):
+    """40,000 lines, every other one a number; the time is that of the lines."""
+    text = "\n".join("12" if i % 2 else "word" for i in range(40_000))
+    assert segmented(spark, text)[0].count("12") == 20_000
+    lines = segmented(spark, "9\nA b\n7\n\nlower\n5", exclude_tables=True)[0]
+    assert lines.startswith("9") and "7" not in lines and "5" not in lines
 
 
 def test_rows_and_groups(spark):
@@ -146,6 +238,41 @@ def test_alignment_and_run_split(spark):
     assert (r["before"], r["inside"], r["after"]) == ("h", "ell", "o")
 
 
+def naive_paragraphs(pieces, paragraphs):
+    out, place, least = [], -1, 0
+    for piece in pieces:
+        head = piece.strip()[: P.HEAD]
+        hits = [i for i, x in enumerate(paragraphs) if i >= least and head and head in x]
+        if hits:
+            place = hits[0]
+            if piece.rstrip().endswith("."):
+                least = place + 1
+        out.append(place)
+    return out
+
+
+def naive_lines(pieces, lines):
+    out, least = [], (0, 0)
+    bare = [x.strip().strip(".") for x in lines]
+    for piece in pieces:
+        head = piece.strip().strip(".")[: P.HEAD]
+        places = [(k, i) for k, x in enumerate(bare) for i in range(len(x)) if head and x.startswith(head, i) and (k, i) >= least]
+        out.append(places[0][0] if places else -1)
+        if places:
+            k, i = places[0]
+            least = (k, i + len(piece)) if i + len(piece) < len(bare[k]) else (k + 1, 0)
+    return out
+
+
+def test_places_by_brute_force():
+    random.seed(14)
+    for _ in range(300):
+        make = lambda n: "".join(random.choice("ab. ") for _ in range(random.randrange(n)))
+        pieces, lines = [make(8) for _ in range(12)], [make(30) for _ in range(8)]
+        assert P.forward_paragraphs(pieces, lines) == naive_paragraphs(pieces, lines)
+        assert P.forward_lines(pieces, lines) == naive_lines(pieces, lines)
+
+
 def test_places_in_order():
     paragraphs = ["one two. three four.", "five six", "one two. again."]
     assert P.forward_paragraphs(["one two.", "three four", "five", "zzz", "again."], paragraphs) == [0, 0, 1, 1, 2]
@@ -153,7 +280,7 @@ def test_places_in_order():
     assert P.forward_lines(["one two", "three four", "five six", "nothing"], ["one two. three four.", "five six"]) == [0, 0, 1, -1]
 
 
-def test_requests_segmenters_and_release(spark):
+def test_requests_segmenters_and_own_release(spark):
     line = "Alpha beta gamma delta epsilon zeta."
     src = spark.createDataFrame([(1, line), (2, line)], "src_id int, text string")
     tgt = spark.createDataFrame([(7, f"{line}\n{line}"), (8, line), (9, None)], "doc_id int, text string")
@@ -163,8 +290,11 @@ def test_requests_segmenters_and_release(spark):
         matches, ranked = M.search(src, tgt, p, asked)
         assert sorted((r["src_id"], r["doc_id"]) for r in ranked.collect()) == [(1, 8), (2, 7)]
         assert sorted((r["src_id"], r["doc_id"], r["rate"]) for r in matches.collect()) == [(1, 8, 1.0), (2, 7, 1.0)]
-    M.release()
-    assert not M._KEPT
+    one, two = M.search(src, tgt, params), M.search(src, tgt, params)
+    with one:
+        assert one.matches.count() == 4
+    assert not one.kept.frames and two.kept.frames and two.ranked.count() == 4
+    two.release()
 
 
 def test_pairs_are_made_once(spark):
