@@ -31,7 +31,7 @@ from .common import BROADCAST_ROWS, lookup, materialise
 #: Words of a window, and of the runs whose hashes compete to be its minimiser.
 WINDOW, RUN = 13, 3
 #: A task holds so many super-k-mers of a bucket, and packs so many bytes at a time.
-HOLD, PACK = 20_000, 32 << 20
+HOLD, PACK = 200_000, 32 << 20
 #: Cut places that are broadcast at most.
 CUTS = 1_000_000
 _PLACE = 20

@@ -174,7 +174,7 @@ def passage_rows():
     return rows + [(400, " ".join(draw(30_000))), (401, " ".join(["same"] * 30_000)), (402, "x" * 200_000)]
 
 
-@pytest.mark.parametrize("hold, parts", [(20_000, "4"), (10, "4"), (10, "64")])
+@pytest.mark.parametrize("hold, parts", [(200_000, "4"), (10, "4"), (10, "64")])
 def test_passages_by_brute_force(spark, monkeypatch, hold, parts):
     """With a small hold, buckets are put off to the windows' own way, by the count before or by the task."""
     rows = passage_rows()
