@@ -32,8 +32,10 @@ LOT_WORDS = 1024
 #: Goes before control and unused pieces of a unigram model: text never spells them.
 _UNSPOKEN = "\ufdd0"
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Encoded words that a worker keeps from lot to lot, before it starts anew.
-KNOWN = 800_000
+#: Bytes of encoded words that a worker keeps from lot to lot, before it starts anew.
+KNOWN_BYTES = 96 << 20
+#: What an entry of such a table takes besides its word and ids.
+_ENTRY = 180
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -164,6 +166,7 @@ class Codec:
         self.opens = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
         self.known: dict[str, bytes] = {}  # ids of a mark and a word without marks
         self.chunks: dict[str, bytes] = {}  # ids of other chunks
+        self.held = 0  # bytes of both
 
     def learn(self, words: list[str]) -> None:
         """Normalise and encode new words, many in one input and many inputs at once. The normaliser sets a mark
@@ -175,35 +178,47 @@ class Codec:
             cuts = np.flatnonzero(self.opens[ids]).tolist()
             if len(cuts) == len(lot) and cuts[0] == 0:
                 data = ids.tobytes()
-                self.known.update((w, data[4 * i : 4 * j]) for w, i, j in zip(lot, cuts, [*cuts[1:], len(ids)]))
+                self._keep(self.known, ((w, data[4 * i : 4 * j]) for w, i, j in zip(lot, cuts, [*cuts[1:], len(ids)])))
             else:
-                self.known.update((w, self._whole(MARK + w)) for w in lot)
+                self._keep(self.known, zip(lot, self._whole([MARK + w for w in lot])))
 
-    def _whole(self, normal: str) -> bytes:
-        return np.array(self.plain.encode_batch([normal], add_special_tokens=False)[0].ids, np.int32).tobytes()
+    def _keep(self, table: dict[str, bytes], entries) -> None:
+        for w, ids in entries:
+            table[w] = ids
+            self.held += len(w) + len(ids) + _ENTRY
+
+    def _whole(self, normal: list[str]) -> list[bytes]:
+        return [np.array(x.ids, np.int32).tobytes() for x in self.plain.encode_batch_fast(normal, add_special_tokens=False)]
 
     def _strung(self, texts: list[str]) -> list[bytes]:
         """Ids of each text from those of its chunks; a text falls apart before every run of marks.
 
         Here the normaliser only turns blanks into marks and sets one in front (see ``apart``). So a text with
         single blanks and no marks of its own falls into the words between its blanks, which are normalised
-        once each in ``learn``; other texts are normalised whole."""
+        once each in ``learn``; other texts are normalised whole. What is kept is bounded by its bytes, and
+        one lot of texts."""
         plain = [bool(t) and t[0] != " " and "  " not in t and MARK not in t for t in texts]
         split = [t.split(" ") if p else _CHUNK.findall(self.fast.normalizer.normalize_str(t)) if t else [] for t, p in zip(texts, plain)]
-        if len(self.known) > KNOWN:
-            self.known, self.chunks = {}, {}
+        if self.held > KNOWN_BYTES:
+            self.known, self.chunks, self.held = {}, {}, 0
         known, chunks = self.known, self.chunks
         self.learn(list(set().union(*(s for s, p in zip(split, plain) if p)).difference(known)))
-        for w in set().union(*(s for s, p in zip(split, plain) if not p)).difference(chunks):
-            chunks[w] = self._whole(w)
+        fresh = list(set().union(*(s for s, p in zip(split, plain) if not p)).difference(chunks))
+        self._keep(chunks, zip(fresh, self._whole(fresh)))
         return [b"".join(map((known if p else chunks).__getitem__, s)) for s, p in zip(split, plain)]
 
+    def ids_of(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text (32-bit, as bytes), by the tokenizers library alone."""
+        if self.apart:
+            return self._strung(texts)
+        return [np.array(x.ids, np.int32).tobytes() for x in self.fast.encode_batch_fast(texts, add_special_tokens=False)]
+
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
-        """Ids of each text, and whether both libraries agree on them. Sentencepiece encodes every text whole."""
+        """Ids of each text and whether sentencepiece, on the whole text, has the same; its own if not."""
+        ours = self.ids_of(texts)
         theirs = self.check.encode(texts, num_threads=self.threads)
-        if not self.apart:
-            return theirs, [a.ids == b for a, b in zip(self.fast.encode_batch(texts, add_special_tokens=False), theirs)]
-        return theirs, [a == array("i", b).tobytes() for a, b in zip(self._strung(texts), theirs)]
+        same = [a == array("i", b).tobytes() for a, b in zip(ours, theirs)]
+        return [array("i", a).tolist() if ok else b for a, b, ok in zip(ours, theirs, same)], same
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         """By the tokenizers library."""

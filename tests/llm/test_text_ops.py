@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -237,6 +238,28 @@ def test_parity_is_of_whole_texts(model, monkeypatch):
     assert same == [False] and ids[0] == c.check.encode(text)
 
 
+def test_ids_are_the_tokenizers_librarys(model, monkeypatch):
+    """Without sentencepiece the same ids come out; with the encoding stubbed they don't."""
+    c = pieces.Codec(model, 1)
+    theirs = c.check.encode(ODD)
+    monkeypatch.setattr(c, "check", None)
+    assert [np.frombuffer(x, np.int32).tolist() for x in c.ids_of(ODD)] == theirs
+    monkeypatch.setattr(pieces.Codec, "_whole", lambda self, normal: [b"" for _ in normal])
+    monkeypatch.setattr(pieces.Codec, "learn", lambda self, words: self.known.update((w, b"") for w in words))
+    c = pieces.Codec(model, 1)
+    assert not any(np.frombuffer(x, np.int32).tolist() == y for x, y in zip(c.ids_of(ODD), theirs) if y)
+
+
+def test_worker_tables_are_bounded(model, monkeypatch):
+    """Words, texts without blanks and texts with double blanks all count, by bytes."""
+    monkeypatch.setattr(pieces, "KNOWN_BYTES", 1 << 20)
+    c = pieces.Codec(model, 1)
+    for k in range(40):
+        c.ids_of([" ".join(f"w{k}x{i}" for i in range(500)), "  ".join(f"d{k}x{i}" for i in range(500)), f"{k}" + "y" * 30_000])
+        used = sum(len(w) + len(x) for t in (c.known, c.chunks) for w, x in t.items())
+        assert used <= c.held <= (1 << 20) + 500_000
+
+
 def test_unigram_model_is_rebuilt():
     """A unigram model written by hand, byte by byte."""
     import struct
