@@ -67,15 +67,32 @@ def remove(df: DataFrame) -> None:
     p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Work:
+    """Work tables of one job, deleted together once nothing reads them any more."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(materialise(df, name))
+        return self.tables[-1]
+
+    def clear(self) -> None:
+        while self.tables:
+            table = self.tables.pop()
+            if hasattr(table, "work_table"):
+                remove(table)
+
+
 #: A key is hot from this share of the rows on, but not below so many rows; there are fewer than HOT_SHARE such keys.
 HOT_ROWS, HOT_SHARE = 1_000, 1_000
 #: A table of a few longs a row is broadcast up to so many counted rows (well below 64 MB).
 BROADCAST_ROWS = 250_000
 
 
-def small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a written table only when its counted rows are few; otherwise let it be shuffled."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def free(df: DataFrame, name: str) -> str:

@@ -1,16 +1,17 @@
-"""Near copies for the pipeline: SimHash groups, completed by five-word shingles of similarity 0.8 or more.
+"""Near copies for the pipeline: texts whose five-word shingles agree to 0.8 or more.
 
 One pass over the texts gives each its SimHash fingerprint and a MinHash sketch of its five-word
-shingles. Fingerprints are linked by the Gray-order index of ``simhash``, at its radius of 4 bits; most
-texts that agree to 0.8 stand further apart than any such index can reach (9.7 bits on average at 0.8),
-so texts that share a band of their sketches are looked at as well. Whether two are alike is then
-decided on their sets of shingles (as 64-bit hashes).
+shingles. Both only name pairs to look at: the Gray-order index of ``simhash`` links fingerprints within 4
+bits, and texts that share a band of their sketches are looked at as well (most texts that agree to 0.8
+stand further apart than any such index can reach, 9.7 bits on average). Whether two texts are alike
+is decided on their sets of shingles (as 64-bit hashes), for every link.
 
 Bands: 32 of 4 hashes; two texts at 0.8 share none with probability (1 - 0.8 ** 4) ** 32 = 5e-8, above
-0.8 with less. Buckets in which all texts are linked already are put aside. The others go to tasks with
-the shingle sets of their members, large ones in tiles; a task skips pairs that are linked already and
-pairs whose sketches are far apart, compares the sets of the rest, and gives back links that span what
-it found, never the pairs.
+0.8 with less. Work is done in two steps. In the first every text meets one centre of each of its
+buckets and of its group of fingerprints; that is linear, and joins most groups of copies. In the
+second, buckets whose texts are not all together yet are compared in tiles, by sketches alone; only texts
+that have a near one of another group get their sets sent to a tile, which gives back links that span
+what it found, never the pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, free, lookup, materialise, small
+from .common import Work, free, lookup, materialise, remove, small
 from .graph import components
 from .simhash import majority, rooted, shingle_hashes, words_of
 
@@ -168,47 +169,139 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def completed(rows: DataFrame, comps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``rows`` of ``sketches``, ``comps(fp, comp, n)``: the component of each fingerprint so far -> ``(comp,
-    root)`` for components that five-word shingles link to others."""
-    first = rows.groupBy("digest").agg(F.min("id").alias("id"), F.min("fp").alias("fp"))
-    texts = rows.filter("size(keys) > 0").join(first, ["digest", "id", "fp"], "left_semi").dropDuplicates(["digest", "id"])
-    texts = materialise(lookup(materialise(texts, "texts"), comps, "fp", "n", rows.count()).select("id", "digest", "comp", "keys", "bits"), "texts")
-    keyed = texts.select(F.explode("keys").alias("key"), "comp")
-    live = keyed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
-    live = materialise(live.select("key", F.ceil(F.col("n") / TILE).cast("int").alias("parts"), "n"), "live")
-    met = texts.select("id", "digest", "comp", "bits", F.explode("keys").alias("key"))
-    few = live.count() <= BROADCAST_ROWS
-    met = materialise(met.join(F.broadcast(live.drop("n")), "key") if few else lookup(met, live, "key", "n", BANDS * texts.count()), "met")
-    who = materialise(met.select("id", "digest").distinct(), "who")
-    sets = materialise(_sets(docs, who, id_col, text_col), "sets")
-    tile = F.pmod(F.xxhash64("id", "digest"), F.col("parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    met = met.select("id", "digest", "comp", "bits", "key", tile.alias("t"), other.alias("o")).join(sets, ["id", "digest"])
-    tiles = met.select("key", F.least("t", "o").alias("t1"), F.greatest("t", "o").alias("t2"), "t", "comp", "bits", "shingles")
-    dealt = tiles.withColumn("h", F.hash("key", "t1", "t2")).repartition("h").sortWithinPartitions("key", "t1", "t2", "t").drop("h")
-    return components(dealt.mapInArrow(_linked, "u bigint, v bigint")).toDF("comp", "root")
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of tiles that arrive sorted by (key, t1, t2, t), the rows with a near sketch in another component."""
+    held_key, held = None, []
+
+    def flush() -> pa.RecordBatch | None:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        side, comp = rows.column("t").to_numpy(), rows.column("comp").to_numpy()
+        bits = rows.column("bits").combine_chunks().values.to_numpy().view(np.uint64).reshape(-1, 8)
+        split = int(np.searchsorted(side, held_key[2])) if held_key[1] != held_key[2] else None
+        near = np.zeros(len(comp), bool)
+        for i in range(len(comp) if split is None else split):
+            first = i + 1 if split is None else split
+            found = (np.bitwise_count(bits[first:] ^ bits[i]).sum(axis=1) <= DIFFER) & (comp[first:] != comp[i])
+            near[first:] |= found
+            near[i] |= found.any()
+        return rows.filter(pa.array(near)).to_batches()
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = np.stack([b.column(i).to_numpy() for i in range(3)])
+        cuts = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
+            key = tuple(k[:, lo].tolist())
+            if key != held_key:
+                if held:
+                    yield from flush()
+                held_key, held = key, []
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield from flush()
+
+
+def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (centre, salt, member): the centre's set comes first, the others are held against it."""
+    at, own = None, None
+    for b in batches:
+        u, v = [], []
+        for centre, salt, member, name, data in zip(*(b.column(i).to_pylist() for i in range(5))):
+            if (centre, salt) != at:
+                at, own = (centre, salt), None
+            if not member:
+                own = np.frombuffer(data, np.uint64)
+            elif own is not None and alike(own, np.frombuffer(data, np.uint64)):
+                u.append(centre)
+                v.append(name)
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def _centred(work: Work, texts: DataFrame, live: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(u, v)``: texts that are alike to a centre of their fingerprints' group or of one of their buckets."""
+    total = texts.count()
+    group = texts.groupBy("root").agg(F.min(F.when(F.col("fp") == F.col("root"), F.col("digest"))).alias("centre"), F.count("*").alias("n")).filter("n > 1")
+    by_fp = lookup(texts.select("root", "digest"), work.table(group, "groups"), "root", "n", total)
+    by_band = lookup(texts.select(F.explode("keys").alias("key"), "digest"), live.select("key", F.col("lo").alias("centre"), "n"), "key", "n", BANDS * total)
+    pairs = by_fp.select("digest", "centre").unionByName(by_band.select("digest", "centre")).filter("digest <> centre").distinct()
+    pairs = work.table(pairs, "pairs")
+    size = pairs.groupBy("centre").agg(F.count("*").alias("n"))
+    centres = work.table(size.join(texts.select(F.col("digest").alias("centre"), F.col("bits").alias("its")), "centre"), "centres")
+    both = lookup(pairs, centres, "centre", "n", pairs.count()).join(texts.select("digest", "bits"), "digest")
+    differ = F.aggregate(F.zip_with("bits", "its", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = work.table(both.filter(differ <= DIFFER).select("centre", "digest"), "near")
+    who = near.select("digest").unionByName(near.select(F.col("centre").alias("digest"))).distinct()
+    sets = work.table(_sets(docs, texts.select("id", "digest").join(who, "digest", "left_semi").select("id", "digest"), id_col, text_col).select("digest", "shingles"), "sets")
+    parts = near.groupBy("centre").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+    heads = parts.join(sets.withColumnRenamed("digest", "centre"), "centre").select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("centre").alias("digest"), "shingles")
+    dealt = lookup(near, near.groupBy("centre").agg(F.count("*").alias("n"), F.ceil(F.count("*") / TILE).cast("int").alias("parts")), "centre", "n", near.count())
+    members = dealt.select("centre", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int").alias("salt"), F.lit(1).alias("member"), "digest").join(sets, "digest")
+    rows = heads.unionByName(members.select(*heads.columns)).withColumn("h", F.hash("centre", "salt")).repartition("h").sortWithinPartitions("centre", "salt", "member").drop("h")
+    return rows.mapInArrow(_starred, "u bigint, v bigint")
+
+
+def _tiled(work: Work, texts: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(u, v)``: links between the components of texts that share a bucket, in ``texts(id, digest, comp, keys, bits)``."""
+    live = texts.select(F.explode("keys").alias("key"), "comp").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+    live = work.table(live.select("key", F.ceil(F.col("n") / TILE).cast("int").alias("parts"), "n"), "live")
+    met = lookup(texts.select(F.explode("keys").alias("key"), "digest", "comp", "bits"), live, "key", "n", BANDS * texts.count())
+    tile = F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")
+    met = met.select("key", "digest", "comp", "bits", tile.alias("t"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.withColumn("h", F.hash("key", "t1", "t2")).repartition("h").sortWithinPartitions("key", "t1", "t2", "t").drop("h")
+
+    tiles = met.select("key", F.least("t", "o").alias("t1"), F.greatest("t", "o").alias("t2"), "t", "comp", "bits", "digest")
+    close = work.table(dealt(tiles).mapInArrow(_close, tiles.schema), "close")
+    who = texts.select("id", "digest").join(close.select("digest").distinct(), "digest", "left_semi").select("id", "digest")
+    sets = work.table(_sets(docs, work.table(who, "who"), id_col, text_col).select("digest", "shingles"), "sets")
+    full = close.join(sets, "digest").select("key", "t1", "t2", "t", "comp", "bits", "shingles")
+    return dealt(full).mapInArrow(_linked, "u bigint, v bigint")
+
+
+def rooted_copies(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``rows`` of ``sketches`` -> ``(digest, comp, n)``: for each text the component that links of 0.8 make, named
+    by one of its texts, and the number of its rows, as a written table."""
+    work = Work()
+    first = work.table(rows.groupBy("digest").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.count("*").alias("n")), "first")
+    found = rooted(rows.select("id", "fp"))
+    work.tables.append(found)
+    once = rows.filter("size(keys) > 0").join(first.select("digest", "id", "fp"), ["digest", "id", "fp"], "left_semi").dropDuplicates(["digest"])
+    texts = work.table(lookup(work.table(once, "once"), found.select("fp", "root", "n"), "fp", "n", rows.count()), "texts")
+    live = texts.select(F.explode("keys").alias("key"), "digest").groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.count("*").alias("n")).filter("lo < hi").drop("hi")
+    links = work.table(_centred(work, texts, work.table(live, "live"), docs, id_col, text_col), "links")
+    stars = components(links)
+    work.tables.append(stars)
+    grouped = texts.join(stars.withColumnRenamed("node", "digest"), "digest", "left").select("id", "digest", F.coalesce(stars["root"], "digest").alias("comp"), "keys", "bits")
+    more = work.table(_tiled(work, work.table(grouped, "grouped"), docs, id_col, text_col), "more")
+    roots = components(links.unionByName(more))
+    work.tables.append(roots)
+    out = materialise(first.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("digest", F.coalesce("root", "digest").alias("comp"), "n"), "components")
+    work.clear()
+    return out
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each group of near copies the row with the least id; all columns are kept.
 
-    Texts are linked by fingerprints within 4 bits (``simhash``) and by five-word shingles of similarity
-    0.8 or more. Rows are told apart by id and words, so of an id that stands at several texts each text
-    has its own fate; equal rows become one. Rows without an id are kept and link nothing. Null texts and
-    texts without words are copies of each other; an empty table stays empty."""
-    rows = materialise(sketches(docs.filter(F.col(id_col).isNotNull()), id_col, text_col), "sketches")
-    found = rooted(rows.select("id", "fp"))
-    comps = found.select("fp", F.col("root").alias("comp"), "n")
-    joined = completed(rows, comps, docs, id_col, text_col)
-    last = comps.join(small(joined), "comp", "left").select("fp", "n", F.coalesce("root", "comp").alias("comp"))
-    own = materialise(lookup(rows.select("id", "digest", "fp"), materialise(last, "last"), "fp", "n", rows.count()).select("id", "digest", "comp"), "own")
+    Texts are linked by five-word shingles of similarity 0.8 or more, each link verified. Rows are told
+    apart by id and words, so of an id that stands at several texts each text has its own fate; equal rows
+    become one. Rows without an id are kept and link nothing. Null texts and texts without words are copies
+    of each other; an empty table stays empty."""
+    work = Work()
+    rows = work.table(sketches(docs.filter(F.col(id_col).isNotNull()), id_col, text_col), "sketches")
+    comps = rooted_copies(rows, docs, id_col, text_col)
+    own = work.table(lookup(rows.select("id", "digest"), comps, "digest", "n", rows.count()), "own")
     stay = own.groupBy("comp").agg(F.min(F.struct("id", "digest")).alias("k")).select("k.id", "k.digest")
-    own = own.select("id", "digest").distinct()
     # An id of one row is settled by the id; texts of repeated ids are named once more.
     again_id, gone_id, its_id, its_name = (free(docs, x) for x in ("__again", "__gone", "__id", "__name"))
     again = materialise(rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias(again_id)), "again")
+    kept = materialise(stay.select(F.col("id").alias(its_id), F.col("digest").alias(its_name)).join(again, F.col(its_id) == F.col(again_id), "left_semi"), "kept")
+    own = own.select("id", "digest").distinct()
     gone = materialise(own.join(stay, ["id", "digest"], "left_anti").select(F.col("id").alias(gone_id)).distinct(), "gone")
+    work.clear()
+    remove(comps)
     key = F.col(id_col)
     once = docs.filter(key.isNotNull()).join(small(again), key == F.col(again_id), "left_anti").join(small(gone), key == F.col(gone_id), "left_anti")
 
@@ -217,6 +310,5 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     made = free(docs, "__digest")
     twice = docs.join(small(again), key == F.col(again_id), "left_semi").withColumn(made, F.pandas_udf(named, "bigint")(F.coalesce(F.col(text_col), F.lit(""))))
-    kept = stay.select(F.col("id").alias(its_id), F.col("digest").alias(its_name))
     twice = twice.join(kept, (key == F.col(its_id)) & (F.col(made) == F.col(its_name)), "left_semi").dropDuplicates([id_col, made]).select(*docs.columns)
     return once.unionByName(twice).unionByName(docs.filter(key.isNull()))

@@ -33,6 +33,9 @@ HITS = 2
 #: Ends a paragraph, in the syntax that both engines share.
 PARAGRAPH = r"\n(?:[^A-Za-z0-9\n]*\n)+"
 
+#: Names of licence files, in the syntax that both engines share.
+FILE_NAME = r"(?i)(^|/)(un)?(licen[cs]e|copying|copyright|legal|notice)s?([._-][^/]*)?$"
+
 #: Licence names as notices write them.
 NAMES = {
     "AGPL-3.0": ["GNU Affero General Public License, version 3", "GNU AGPL v3.0"],
@@ -95,17 +98,21 @@ def templates() -> list[tuple[str, str]]:
     for lic, names in NAMES.items():
         out += [(lic, lead.format(lic if "SPDX" in lead else name)) for name in names for lead in _LEADS]
         out += [(lic, name) for name in names if len(name.split()) > 2]
-    full = [(f.name[: -len(".txt")], f.read_text(encoding="utf-8")) for f in sorted(TEXTS.glob("*.txt"))]
-    return list(dict.fromkeys(out + list(_FILES.items()) + _HEADERS + full))
+    return list(dict.fromkeys(out + list(_FILES.items()) + _HEADERS + full_texts()))
+
+
+def full_texts() -> list[tuple[str, str]]:
+    return [(f.name[: -len(".txt")], f.read_text(encoding="utf-8")) for f in sorted(TEXTS.glob("*.txt"))]
 
 
 def tokens_of(text: str) -> list[str]:
     return [w for w in re.findall("[a-z0-9]+", text.lower()) if w not in STOP]
 
 
-def model(rows: list[tuple[str, str]]) -> tuple[list[tuple[int, str, str, float, int]], dict[str, float], float, list[str]]:
-    """Template vectors of unit length (template, licence, token, weight, tokens needed), idf, idf of unknown tokens, anchors."""
-    counts = [Counter(tokens_of(t)) for _, t in rows]
+def model(rows: list[tuple[str, str]]) -> tuple[list[tuple[int, str, str, float, int, int]], dict[str, float], float, list[str]]:
+    """Template vectors of unit length (template, licence, token, weight, tokens needed, tokens of a full text
+    or 0), idf, idf of unknown tokens, anchors."""
+    counts, whole = [Counter(tokens_of(t)) for _, t in rows], set(full_texts())
     df = Counter(w for c in counts for w in c)
     idf = {w: 1 + math.log((1 + len(rows)) / (1 + n)) for w, n in df.items()}
     unknown = 1 + math.log(1 + len(rows))
@@ -115,7 +122,8 @@ def model(rows: list[tuple[str, str]]) -> tuple[list[tuple[int, str, str, float,
         norm = math.sqrt(sum(x * x for x in raw.values()))
         unit = {w: x / norm for w, x in raw.items()}
         need = min(HITS, len(unit))
-        vectors += [(k, rows[k][0], w, x, need) for w, x in sorted(unit.items())]
+        size = c.total() if rows[k] in whole else 0
+        vectors += [(k, rows[k][0], w, x, need, size) for w, x in sorted(unit.items())]
         rest = sum(x * x for w, x in unit.items() if w not in anchors)
         # Words that say "licence" first, then the heaviest, a common word of another language last; stop
         # once the rest is too light or has too few words.
@@ -133,17 +141,19 @@ def _tokens(text: Column) -> Column:
 
 
 def _best(units: DataFrame, spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
-    """``units(rid, whole, unit, text)`` -> best template of each row's parts and of its whole text."""
+    """``units(rid, whole, unit, text)`` -> best template of each row's parts, of its whole text, and of its
+    whole text among the full texts of at most twice its length."""
     vectors, idf, unknown, _ = model(rows)
-    weights = F.broadcast(spark.createDataFrame(vectors, "template int, license string, token string, weight double, need int"))  # fixed size
+    weights = F.broadcast(spark.createDataFrame(vectors, "template int, license string, token string, weight double, need int, size int"))  # fixed size
     idfs = F.broadcast(spark.createDataFrame(sorted(idf.items()), "token string, idf double"))  # fixed size
     terms = units.select("rid", "whole", "unit", F.explode(_tokens(F.col("text"))).alias("token")).filter(~F.col("token").isin(*STOP)).groupBy("rid", "whole", "unit", "token").agg(F.count("*").alias("n"))
-    heavy = terms.join(idfs, "token", "left").select("rid", "whole", "unit", "token", (F.col("n") * F.coalesce("idf", F.lit(unknown))).alias("w"))
-    norms = heavy.groupBy("rid", "whole", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = heavy.join(weights, "token").groupBy("rid", "whole", "unit", "template", "license", "need").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"), F.count("*").alias("hits")).filter("hits >= need")
-    scored = dots.join(norms, ["rid", "whole", "unit"]).select("rid", "whole", "license", F.round(F.col("dot") / F.col("norm"), 4).alias("score")).filter(F.col("score") >= THRESHOLD)
+    heavy = terms.join(idfs, "token", "left").select("rid", "whole", "unit", "token", "n", (F.col("n") * F.coalesce("idf", F.lit(unknown))).alias("w"))
+    norms = heavy.groupBy("rid", "whole", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("n").alias("tokens"))
+    dots = heavy.join(weights, "token").groupBy("rid", "whole", "unit", "template", "license", "need", "size").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"), F.count("*").alias("hits")).filter("hits >= need")
+    full = F.col("whole") & (F.col("size") > 0) & (2 * F.col("tokens") >= F.col("size"))
+    scored = dots.join(norms, ["rid", "whole", "unit"]).select("rid", "whole", "license", full.alias("full"), F.round(F.col("dot") / F.col("norm"), 4).alias("score")).filter(F.col("score") >= THRESHOLD)
     pick = F.max(F.struct(F.col("score"), F.col("license"))).alias("best")
-    return scored.groupBy("rid", "whole").agg(pick).select("rid", "whole", F.col("best.score").alias("score"), F.col("best.license").alias("license"))
+    return scored.groupBy("rid", "whole", "full").agg(pick).select("rid", "whole", "full", F.col("best.score").alias("score"), F.col("best.license").alias("license"))
 
 
 def parent(path: Column) -> Column:
@@ -153,8 +163,8 @@ def parent(path: Column) -> Column:
 def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, path, license, score, origin, license_dir)`` for each row of ``docs``.
 
-    ``origin``: ``file`` when the whole text is a licence, ``header`` when one of its lines or paragraphs is a notice,
-    ``inherited`` from the licence file in the nearest directory above, else null. Of several licences
+    ``origin``: ``file`` when the whole text is a licence and the name says so too (LICENSE, COPYING, NOTICE and the
+    like) or it is a licence's full text, ``header`` when it, a line or a paragraph of it is a notice, ``inherited`` from the licence file in the nearest directory above, else null. Of several licences
     the best cosine wins, then the greater name; a directory with several licence files likewise.
     Null or empty texts have no licence of their own; null paths inherit nothing; repeated rows each get
     their row; further columns are ignored; an empty table gives an empty table.
@@ -172,8 +182,10 @@ def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     parts = lines.unionByName(blocks.filter(F.contains("text", F.lit("\n")))).filter(anchored(F.col("text")))
     units = parts.unionByName(marked.select("rid", F.lit(True).alias("whole"), F.lit(0).alias("unit"), "text"))
     best = materialise(_best(units, spark, rows), "licensed")
-    own = best.groupBy("rid").agg(F.max(F.struct("whole", "score", "license")).alias("b"))
-    every = seen.drop("text").join(own, "rid", "left").select("doc_id", "path", F.col("b.license").alias("license"), F.col("b.score").alias("score"), F.when(F.col("b.whole"), "file").when(F.col("b.license").isNotNull(), "header").alias("origin"))
+    own = best.groupBy("rid").agg(*(F.max(F.struct(is_file.alias("file"), "score", "license")).alias(n) for n, is_file in (("named", F.col("whole")), ("other", F.col("full")))))
+    b = F.when(F.col("path").rlike(FILE_NAME), F.col("named")).otherwise(F.col("other"))
+    every = seen.drop("text").join(own, "rid", "left").withColumn("b", b)
+    every = every.select("doc_id", "path", F.col("b.license").alias("license"), F.col("b.score").alias("score"), F.when(F.col("b.file"), "file").when(F.col("b.license").isNotNull(), "header").alias("origin"))
     every = materialise(every, "owned").withColumn("dir", parent(F.col("path")))
     return inherit(every)
 
@@ -203,19 +215,19 @@ def op4_sql() -> str:
     """DuckDB: all lines and whole texts against all templates, without anchors."""
     vectors, idf, unknown, _ = model(templates())
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    vec = ",".join(f"({k},{quote(lic)},{quote(w)},{x!r}::DOUBLE,{need})" for k, lic, w, x, need in vectors)
+    vec = ",".join(f"({k},{quote(lic)},{quote(w)},{x!r}::DOUBLE,{need},{size})" for k, lic, w, x, need, size in vectors)
     idfs = ",".join(f"({quote(w)},{x!r}::DOUBLE)" for w, x in sorted(idf.items()))
     return f"""
-WITH v(template, license, token, weight, need) AS (VALUES {vec}), i(token, idf) AS (VALUES {idfs}),
+WITH v(template, license, token, weight, need, size) AS (VALUES {vec}), i(token, idf) AS (VALUES {idfs}),
 d AS (SELECT doc_id, concat(source, '/', lang, '/', doc_id) AS path, concat(source, '/', lang) AS dir, coalesce(text, '') AS text FROM documents),
 l AS (SELECT doc_id, false AS whole, unnest(range(len(string_split(text, chr(10))))) AS unit, unnest(string_split(text, chr(10))) AS text FROM d
   UNION ALL SELECT doc_id, false, -1 - unnest(range(len(p))), unnest(p) FROM (SELECT doc_id, string_split_regex(text, {quote(PARAGRAPH)}) AS p FROM d)
   UNION ALL SELECT doc_id, true, 0, text FROM d),
 t AS (SELECT doc_id, whole, unit, token, count(*) AS n FROM (SELECT doc_id, whole, unit, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM l) WHERE token NOT IN ({", ".join(map(quote, STOP))}) GROUP BY ALL),
 h AS (SELECT t.*, n * coalesce(idf, {unknown!r}::DOUBLE) AS w FROM t LEFT JOIN i USING (token)),
-n AS (SELECT doc_id, whole, unit, sqrt(sum(w * w)) AS norm FROM h GROUP BY ALL),
-p AS (SELECT doc_id, whole, unit, template, license, sum(w * weight) AS dot FROM h JOIN v USING (token) GROUP BY doc_id, whole, unit, template, license, need HAVING count(*) >= need),
-s AS (SELECT doc_id, whole, license, round(dot / norm, 4) AS score FROM p JOIN n USING (doc_id, whole, unit) WHERE round(dot / norm, 4) >= {THRESHOLD}),
+n AS (SELECT doc_id, whole, unit, sqrt(sum(w * w)) AS norm, sum(n) AS tokens FROM h GROUP BY ALL),
+p AS (SELECT doc_id, whole, unit, template, license, size, sum(w * weight) AS dot FROM h JOIN v USING (token) GROUP BY doc_id, whole, unit, template, license, need, size HAVING count(*) >= need),
+s AS (SELECT doc_id, whole AND (regexp_matches(path, {quote(FILE_NAME)}) OR size > 0 AND 2 * tokens >= size) AS whole, license, round(dot / norm, 4) AS score FROM p JOIN n USING (doc_id, whole, unit) JOIN d USING (doc_id) WHERE round(dot / norm, 4) >= {THRESHOLD}),
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY whole DESC, score DESC, license DESC) = 1),
 f AS (SELECT d.doc_id, path, dir, license, score, CASE WHEN whole THEN 'file' WHEN license IS NOT NULL THEN 'header' END AS origin FROM d LEFT JOIN b USING (doc_id)),
 u AS (SELECT dir AS up, license AS from_license, score AS from_score FROM f WHERE origin = 'file' QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license DESC) = 1),
