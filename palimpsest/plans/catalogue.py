@@ -17,6 +17,8 @@ from ..operators import matching as M
 from ..operators import report as R
 from ..operators import rough
 from ..sources import corpus as C
+from ..sources.index import LineIndex
+from ..sources.work import work_path
 
 PARAMS = M.SearchParams(rate=0.6, min_words=5)
 ROUGH = 5
@@ -198,9 +200,18 @@ def text_slices(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", N.head(t).alias("head"), N.safe_substring(t, F.lit(100), F.lit(50)).alias("middle"), N.safe_substring(t, F.length(t) + 5).alias("beyond"))
 
 
-@query(f"SELECT doc_id, line_no, regexp_replace(text, '^[\\t-\\r\\x85\\p{{Z}}]+|[\\t-\\r\\x85\\p{{Z}}]+$', '', 'g') AS text FROM (SELECT doc_id, line_no, regexp_replace(text || '   x  ', '[\\t-\\r\\x85\\p{{Z}}]+', ' ', 'g') AS text FROM {_DOC})")
+#: A blank before or behind a dash between blanks stays as it is: such blanks are marked on both sides, and the
+#: parts between marks are collapsed.
+_GAP = "[\\t\\x0B\\f\\x85\\p{Z}]"
+_DASHED = "text || '   x  -   y - - z  -- '"
+for _from, _to in ((f"({_GAP})-([\\t-\\r\\x85\\p{{Z}}])", "\x01\\1\x01-\\2"), (f"({_GAP})-([\\t-\\r\\x85\\p{{Z}}])", "\x01\\1\x01-\\2"), (f"([\\t-\\r\\x85\\p{{Z}}]\x01?-)({_GAP})", "\\1\x01\\2\x01")):
+    _DASHED = f"regexp_replace({_DASHED}, {N.quote(_from)}, {N.quote(_to)}, 'g')"
+_DASHED = f"array_to_string(list_transform(string_split({_DASHED}, '\x01'), lambda x, i: CASE WHEN i % 2 = 0 THEN x ELSE regexp_replace(x, '{_GAP}+', ' ', 'g') END), '')"
+
+
+@query(f"SELECT doc_id, line_no, regexp_replace(text, '^[\\t-\\r\\x85\\p{{Z}}]+|[\\t-\\r\\x85\\p{{Z}}]+$', '', 'g') AS text FROM (SELECT doc_id, line_no, {_DASHED} AS text FROM {_DOC})")
 def cleanup_text(spark, sf_dir):
-    return doc_lines_of(spark, sf_dir).select("doc_id", "line_no", N.cleanup(F.concat("text", F.lit("   x  "))).alias("text"))
+    return doc_lines_of(spark, sf_dir).select("doc_id", "line_no", N.cleanup(F.concat("text", F.lit("   x  -   y - - z  -- "))).alias("text"))
 
 
 _CODES_SQL = "(SELECT page_id, upper(printf('%x', 61472 + page_id % 120)) AS code FROM pages)"
@@ -468,7 +479,7 @@ def report_pivot(spark, sf_dir):
     return R.pivot(found, M.matched_rank(found, M.totals(M.line_table(bench(spark, sf_dir), "src_id"), PARAMS)))
 
 
-@query(f"{_M} SELECT src_id, doc_id, CASE WHEN rate = 1 THEN '100%' WHEN rate >= 0.9 THEN '>=90%' ELSE '<90%' END AS band, sum(match_words)::BIGINT AS match_words, sum(total_words)::BIGINT AS total_words FROM matches GROUP BY ALL")
+@query(f"{_M}, bands AS (SELECT unnest(['100%', '>=90%', '<90%']) AS band), m AS (SELECT *, CASE WHEN rate = 1 THEN '100%' WHEN rate >= 0.9 THEN '>=90%' ELSE '<90%' END AS own FROM matches) SELECT src_id, doc_id, band, coalesce(sum(match_words) FILTER (own = band), 0)::BIGINT AS match_words, coalesce(sum(total_words) FILTER (own = band), 0)::BIGINT AS total_words FROM m CROSS JOIN bands GROUP BY ALL")
 def match_subtotals(spark, sf_dir):
     return R.subtotals(matched(spark, sf_dir))
 
@@ -478,10 +489,36 @@ def pair_detail(spark, sf_dir):
     return R.details(matched(spark, sf_dir), L.explode(bench(spark, sf_dir), "src_id", L.sentences(F.col("text"))))
 
 
-@query(f"{_M} SELECT r.src_id, round(r.rate * 100, 2) AS percent, match_count, source || '/' || doc_id AS path, doc_id FROM ranked r JOIN documents USING (doc_id)")
-def result_list(spark, sf_dir):
-    paths = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"))
-    return R.resort(R.result_list(ranked(spark, sf_dir), paths), 1)
+_LIST_SQL = f"{_M}, li AS (SELECT r.src_id, round(r.rate * 100, 2) AS percent, match_count, source || '/' || doc_id AS path, doc_id FROM ranked r JOIN documents USING (doc_id))"
+_BY = ("percent DESC", "match_count DESC", "path", "doc_id")
+
+
+def _listed(name: str, column: int) -> None:
+    def f(spark, sf_dir):
+        paths = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"))
+        return R.listed(R.result_list(ranked(spark, sf_dir), paths), column)
+
+    f.__name__ = name
+    query(f"{_LIST_SQL} SELECT *, row_number() OVER (ORDER BY {_BY[column]}, src_id, doc_id) AS position FROM li")(f)
+
+
+for _name, _c in (("result_list", 1), ("result_list_by_rate", 0), ("result_list_by_path", 2), ("result_list_by_id", 3)):
+    _listed(_name, _c)
+
+
+@query(f"{_M} SELECT src_id, doc_id, match_count, total, rate, row_number() OVER (ORDER BY rate DESC, src_id, doc_id) AS position FROM ranked")
+def ranked_positions(spark, sf_dir):
+    """Matched documents, best first."""
+    return R.positions(ranked(spark, sf_dir), F.desc("rate"), F.asc("src_id"), F.asc("doc_id"))
+
+
+@query(f"{_M} SELECT * FROM ranked")
+def indexed_search(spark, sf_dir):
+    """The search served by a stored index: one language was added first, the others later."""
+    docs, index = table(spark, sf_dir, "documents"), LineIndex.create(spark, work_path(spark, "index"), PARAMS)
+    index.append(docs.filter("lang = 'en'"))
+    index.append(docs)
+    return index.search(bench(spark, sf_dir), PARAMS).ranked
 
 
 _COLOUR = "CASE WHEN {r} = 1 THEN 'LightPink' WHEN {r} >= 0.9 THEN '{mid}' WHEN {r} > 0 THEN 'LightGreen' ELSE 'White' END"
