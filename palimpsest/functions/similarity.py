@@ -6,11 +6,16 @@ The longest common subsequence has two backends with equal results: an expressio
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from . import normalize as N
 from .normalize import strip_all, trim_separator
 from .tokens import pieces
 
@@ -96,16 +101,45 @@ def contains_either(a: Column, b: Column) -> Column:
 
 
 def common_substring(a: str, b: str) -> int:
-    """Longest common run of two texts, blanks aside (rolling row of the usual table)."""
+    """Longest common run of two texts, blanks aside: one text's suffix automaton, walked with the other."""
     a, b = "".join(a.split()), "".join(b.split())
-    best, row = 0, [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            kept, row[j] = row[j], diagonal + 1 if x == y else 0
-            diagonal = kept
-            if row[j] > best:
-                best = row[j]
+    if not a or not b:
+        return 0
+    if len(a) < len(b):
+        a, b = b, a
+    step: list[dict[str, int]] = [{}]
+    size, link, last = [0], [-1], 0
+    for c in b:
+        new, at = len(size), last
+        step.append({})
+        size.append(size[last] + 1)
+        link.append(0)
+        while at >= 0 and c not in step[at]:
+            step[at][c] = new
+            at = link[at]
+        if at >= 0:
+            to = step[at][c]
+            if size[to] == size[at] + 1:
+                link[new] = to
+            else:
+                twin = len(size)
+                step.append(dict(step[to]))
+                size.append(size[at] + 1)
+                link.append(link[to])
+                while at >= 0 and step[at].get(c) == to:
+                    step[at][c] = twin
+                    at = link[at]
+                link[to] = link[new] = twin
+        last = new
+    best = at = run = 0
+    for c in a:
+        while at and c not in step[at]:
+            at = link[at]
+            run = size[at]
+        if c in step[at]:
+            at = step[at][c]
+            run += 1
+            best = max(best, run)
     return best
 
 
@@ -114,23 +148,54 @@ def common_substring_arrow(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([common_substring(x or "", y or "") for x, y in zip(a, b)], dtype="int32")
 
 
+_MATH = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), N.MATH[0][0]))
+_SIGNS = re.compile(N.PUNCTUATION[0][0])
+_WIDTHS = str.maketrans(N.WIDE + N.HALF_KANA, N.NARROW + N.FULL_KANA)
+#: Quotes, dashes and marks become quotes first, and those are signs.
+_QUOTED = re.compile("|".join(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), p) for p, _ in N.SPACES + N.QUOTES))
+
+
+@lru_cache(maxsize=1 << 16)
+def _bare(c: str) -> str:
+    """What ``strip_all`` leaves of one character, blanks aside."""
+    if _MATH.match(c) or _QUOTED.match(c):
+        return ""
+    c = c.translate(_WIDTHS)
+    gone = c.isspace() or _SIGNS.match(c) or ord(c) > 0xFFFF or unicodedata.category(c) in ("Cc", "Cf", "Co")
+    return "" if gone else c
+
+
+def bared(text: str) -> tuple[str, list[int]]:
+    """A text without blanks and symbols, and the place of each character that is left."""
+    signs = list(map(_bare, text))
+    return "".join(signs), [i for i, c in enumerate(signs) if c]
+
+
+def beginnings(part: str, whole: str) -> list[int]:
+    """How much of the beginning of ``part`` stands at each place of ``whole`` (Z-function)."""
+    text = f"{part}\0{whole}"
+    z, left, right = [0] * len(text), 0, 0
+    for i in range(1, len(text)):
+        k = min(right - i, z[i - left]) if i < right else 0
+        while i + k < len(text) and text[k] == text[i + k]:
+            k += 1
+        z[i] = k
+        if i + k > right:
+            left, right = i, i + k
+    return z[len(part) + 1 :]
+
+
 def overlap_offset(a: str, b: str) -> int | None:
-    """Where ``b`` starts relative to ``a`` when the texts overlap, blanks aside: the longest beginning of
-    either that the other holds, no shorter than their longest common run; none without overlap."""
+    """Where ``b`` starts relative to ``a`` when the texts overlap, blanks and symbols aside: the longest beginning
+    of either that the other holds, no shorter than their longest common run; none without overlap."""
     least = common_substring(a, b)
-    if not least:
-        return None
-
-    def place(whole: str, part: str) -> int | None:
-        kept = [i for i, c in enumerate(whole) if not c.isspace()]
-        i = "".join(whole[k] for k in kept).find("".join(part.split()))
-        lead = len(part) - len(part.lstrip())
-        return kept[i] - lead if i >= 0 and part.strip() else None
-
-    for x, y, sign in ((a, b, 1), (b, a, -1)):
-        for size in range(len(y), least - 1, -1):
-            if (i := place(x, y[:size])) is not None:
-                return sign * i
+    bare = bared(a), bared(b)
+    for (whole, places), (part, own), size, sign in ((*bare, len(b), 1), (*bare[::-1], len(a), -1)):
+        at = beginnings(part, whole) if part and whole else []
+        most = max(at, default=0)
+        long = size if most == len(part) else own[most]
+        if most and long >= least and (offset := places[at.index(most)] - own[0]) >= 0:
+            return sign * offset
     return None
 
 

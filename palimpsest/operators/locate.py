@@ -1,8 +1,9 @@
 """Where a matched line stands in a document: patterns, spans, paragraphs, runs.
 
-A line becomes a pattern that forgives blanks around punctuation and between words; all its
-places in the paragraphs' joined text are found in an Arrow function (the engine's regex
-functions give text, not positions). Paragraph and run positions both count normalised text.
+A line becomes a pattern that forgives blanks around punctuation and between words. All patterns of a
+document are looked for at once, by an automaton over the text without blanks; where one may stand it is
+matched, in an Arrow function (the engine's regex functions give text, not positions). Paragraph and run
+positions both count normalised text.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -67,7 +69,81 @@ def spans(line: str | None, text: str | None) -> list[dict]:
     return out
 
 
-@F.pandas_udf(ArrayType(StructType([StructField("begin", IntegerType()), StructField("end", IntegerType())])))
+#: Signs that a pattern's apostrophe and quote also stand for.
+_ALIKE = {ord("‘"): "'", **dict.fromkeys(map(ord, "®™–—"), '"')}
+
+
+def folded(text: str) -> tuple[str, np.ndarray]:
+    """The text without blanks, signs that patterns take for one another made one, and each sign's place."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    seen = np.flatnonzero(~np.isin(codes, _BLANKS))
+    return codes[seen].tobytes().decode("utf-32-le", "surrogatepass").translate(_ALIKE), seen
+
+
+_BLANKS = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
+
+
+def all_spans(lines: list[str | None], text: str | None) -> list[list[dict]]:
+    """``spans`` of each line. The text is walked over once for all of them; a pattern is made and matched only
+    where the line stands but for blanks."""
+    import ahocorasick
+
+    out: list[list[dict]] = [[] for _ in lines]
+    keys = [folded(line)[0] if line else "" for line in lines]
+    if not text or not any(keys):
+        return out
+    automaton = ahocorasick.Automaton()
+    for key in {k for k in keys if k}:
+        automaton.add_word(key, key)
+    automaton.make_automaton()
+    body, place = folded(text)
+    starts: dict[str, list[int]] = {}
+    for last, key in automaton.iter(body):
+        starts.setdefault(key, []).append(int(place[last - len(key) + 1]))
+    for line, key, found in zip(lines, keys, out):
+        free = 0
+        made = re.compile(pattern(line)) if key in starts else None
+        for at in starts.get(key, ()):
+            if at < free:
+                continue
+            before = at
+            while before > free and text[before - 1].isspace():
+                before -= 1
+            hit = made.match(text, before) or made.match(text, at)
+            if hit:
+                b, e = hit.span()
+                free = e
+                while text[b].isspace():
+                    b += 1
+                while text[e - 1].isspace():
+                    e -= 1
+                found.append({"begin": b, "end": e - 1})
+    return out
+
+
+_SPAN = StructType([StructField("begin", IntegerType()), StructField("end", IntegerType())])
+
+
+@F.pandas_udf(ArrayType(ArrayType(_SPAN)))
+def all_spans_arrow(lines: pd.Series, text: pd.Series) -> pd.Series:
+    return pd.Series([all_spans(list(a), b) for a, b in zip(lines, text)])
+
+
+#: Patterns of one document that are looked for in one go.
+PATTERNS = 2_000
+
+
+def spans_in(patterns: DataFrame, texts: DataFrame, key: list[str]) -> DataFrame:
+    """``patterns(doc_id, key..., search)`` in ``texts(doc_id, text)`` -> ``(doc_id, key..., search, spans)``. A document
+    with very many patterns is read once for each ``PATTERNS`` of them; a null search has no spans."""
+    no = F.row_number().over(W.partitionBy("doc_id").orderBy(*key))
+    each = patterns.select("doc_id", F.floor((no - 1) / PATTERNS).alias("part"), F.struct(*key, "search").alias("p"))
+    listed = each.groupBy("doc_id", "part").agg(F.collect_list("p").alias("ps"))
+    both = listed.join(texts.select("doc_id", "text"), "doc_id").withColumn("spans", all_spans_arrow(F.transform("ps", lambda p: p["search"]), F.col("text")))
+    return both.select("doc_id", F.inline(F.arrays_zip("ps", "spans"))).select("doc_id", "ps.*", "spans")
+
+
+@F.pandas_udf(ArrayType(_SPAN))
 def spans_arrow(line: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([spans(a, b) for a, b in zip(line, text)])
 
@@ -131,7 +207,7 @@ def aligned(normal: str, raw: str, begin: int, end: int) -> tuple[int, int]:
 
 def located(patterns: DataFrame, texts: DataFrame) -> DataFrame:
     """``patterns(doc_id, pattern_no, line, rate)`` in ``texts(doc_id, text)`` -> spans and whether any was found."""
-    found = patterns.join(texts, "doc_id").withColumn("search", prepared(F.col("line"))).withColumn("spans", spans_arrow("search", "text"))
+    found = spans_in(patterns.withColumn("search", prepared(F.col("line"))), texts, ["pattern_no", "rate"])
     return found.select("doc_id", "pattern_no", "rate", "spans", F.when(F.col("search").isNull(), "skipped").when(F.size("spans") > 0, "found").otherwise("not found").alias("status"))
 
 

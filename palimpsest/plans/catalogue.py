@@ -375,7 +375,20 @@ def common_substring(spark, sf_dir):
     return _pairs(spark, sf_dir, "benchmark", "item_id").select(F.col("item_id").alias("id"), "line_no", S.common_substring_arrow("a", "b").alias("size"))
 
 
-@query()
+_BARE_CHAR = _BARE.format(N.strip_all_sql("substr(@, i, 1)"))
+_KEPT_SQL = f"list_filter(range(1, length(@) + 1), lambda i: {_BARE_CHAR} <> '')"
+_FOLD_SQL = f"array_to_string(list_transform(range(1, length(@) + 1), lambda i: {_BARE_CHAR}), '')"
+
+
+def _begins_sql(whole: str, part: str, text: str) -> str:
+    """Offset of ``part`` in ``whole`` if its longest beginning found there is long enough."""
+    most = f"len(list_filter(range(1, length(f{part}) + 1), lambda k: contains(f{whole}, substr(f{part}, 1, k))))"
+    return f"""list_transform([{most}], lambda m: CASE WHEN m > 0 AND CASE WHEN m = length(f{part}) THEN length({text}) ELSE k{part}[m + 1] - 1 END >= best AND k{whole}[strpos(f{whole}, substr(f{part}, 1, m))] >= k{part}[1]
+    THEN k{whole}[strpos(f{whole}, substr(f{part}, 1, m))] - k{part}[1] END)[1]"""
+
+
+@query(ORACLES["common_substring"].replace("WITH p AS (SELECT id, line_no,", "WITH p AS (SELECT id, line_no, a, b,").split("SELECT id, line_no, coalesce(best, 0)")[0] + f""", f AS (SELECT p.id AS item_id, p.line_no, a, b, coalesce(best, 0) AS best, {_FOLD_SQL.replace('@', 'a')} AS fx, {_FOLD_SQL.replace('@', 'b')} AS fy, {_KEPT_SQL.replace('@', 'a')} AS kx, {_KEPT_SQL.replace('@', 'b')} AS ky FROM p LEFT JOIN c USING (id, line_no))
+SELECT item_id, line_no, coalesce({_begins_sql('x', 'y', 'b')}, -({_begins_sql('y', 'x', 'a')}))::INT AS "offset" FROM f""")
 def overlap_offset(spark, sf_dir):
     return _pairs(spark, sf_dir, "benchmark", "item_id").select("item_id", "line_no", S.overlap_offset_arrow("a", "b").alias("offset"))
 
@@ -609,8 +622,9 @@ def pattern_spans(spark, sf_dir):
     """Matched target lines looked up in their documents: each must be found again, at its first place."""
     lines = doc_lines_of(spark, sf_dir).select("doc_id", F.col("line_no").alias("tgt_line"), F.col("text").alias("line"))
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
-    hit = matched(spark, sf_dir).join(lines, ["doc_id", "tgt_line"]).join(texts, "doc_id")
-    hit = hit.withColumn("search", P.prepared(F.col("line"))).filter("search is not null").withColumn("spans", P.spans_arrow("search", "text"))
+    hit = R.few(matched(spark, sf_dir))
+    hit = lines.join(hit, ["doc_id", "tgt_line"]).withColumn("search", P.prepared(F.col("line"))).filter("search is not null")
+    hit = P.spans_in(hit, texts, ["src_id", "src_line"])
     first = F.get("spans", F.lit(0))
     return hit.select("src_id", "doc_id", "src_line", (F.size("spans") > 0).alias("found"), first["begin"].alias("begin"), first["end"].alias("end"))
 

@@ -119,3 +119,37 @@ def test_nulls(spark):
     assert df.select(N.line(F.col("t"))).first()[0] == ""
     assert df.select(N.strip_all(F.col("t"))).first()[0] == ""
 
+
+
+def naive_run(a, b):
+    a, b = "".join(a.split()), "".join(b.split())
+    return max((k for i in range(len(a)) for k in range(len(a) - i + 1) if a[i : i + k] in b), default=0)
+
+
+def naive_offset(a, b):
+    least = naive_run(a, b)
+    for x, y, sign in ((a, b, 1), (b, a, -1)):
+        whole, places = S.bared(x)
+        for size in range(len(y), max(least, 1) - 1, -1):
+            part, own = S.bared(y[:size])
+            i = whole.find(part) if part else -1
+            if i >= 0 and places[i] - own[0] >= 0:
+                return sign * (places[i] - own[0])
+    return None
+
+
+def test_runs_and_overlaps_by_brute_force():
+    random.seed(16)
+    for _ in range(1500):
+        a, b = ("".join(random.choice("abc .-Ａ’\u3000😀") for _ in range(random.randrange(14))) for _ in range(2))
+        assert S.common_substring(a, b) == naive_run(a, b), (a, b)
+        assert S.overlap_offset(a, b) == naive_offset(a, b), (a, b)
+
+
+def test_runs_of_long_texts_are_linear():
+    import time
+
+    texts = [" ".join(f"w{random.randrange(10**6)}" for _ in range(n)) for n in (20_000, 20_000)]
+    began = time.time()
+    assert S.common_substring(texts[0], texts[0][100:] + texts[1]) == len("".join(texts[0][100:].split()))
+    assert S.overlap_offset(texts[0], texts[0][100:] + texts[1]) == 100 and time.time() - began < 20

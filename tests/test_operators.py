@@ -238,6 +238,19 @@ def test_alignment_and_run_split(spark):
     assert (r["before"], r["inside"], r["after"]) == ("h", "ell", "o")
 
 
+def test_all_patterns_at_once_equal_single_ones(spark):
+    random.seed(15)
+    for _ in range(400):
+        text = "".join(random.choice(["a", "b", " ", "  ", ".", "'", "‘", '"', "–", "1", "2", "\n", "(", "\u3000"]) for _ in range(60))
+        lines = ["".join(random.choice("ab .'\"12(") for _ in range(random.randrange(1, 5))).strip() for _ in range(8)] + [None, "", "®"]
+        lines = [x if x is None or x.strip() else None for x in lines]
+        assert P.all_spans(lines, text) == [P.spans(x, text) for x in lines], (lines, text)
+    texts = spark.createDataFrame([(1, "one two  three. four"), (2, None), (3, "x")], "doc_id int, text string")
+    asked = spark.createDataFrame([(1, 1, "two three"), (1, 2, "four"), (1, 3, None), (2, 1, "a b"), (3, 1, "x"), (9, 1, "x")], "doc_id int, n int, search string")
+    got = {(r["doc_id"], r["n"]): [(s["begin"], s["end"]) for s in r["spans"]] for r in P.spans_in(asked, texts, ["n"]).collect()}
+    assert got == {(1, 1): [(4, 13)], (1, 2): [(16, 19)], (1, 3): [], (2, 1): [], (3, 1): [(0, 0)]}
+
+
 def naive_paragraphs(pieces, paragraphs):
     out, place, least = [], -1, 0
     for piece in pieces:
