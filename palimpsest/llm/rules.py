@@ -143,10 +143,15 @@ def plan(texts: list[str | None], rules: tuple[Rule, ...] = RULES) -> tuple[Rule
     return tuple(sorted(rules, key=lambda r: seen[r.name]))
 
 
+#: Bytes of the longest text in the sample, which so is at most SAMPLE_ROWS times as large (16 MB).
+SAMPLE_BYTES = 1 << 15
+
+
 def sample(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS) -> list[str | None]:
-    """At most ``rows`` texts, only to order the rules. A few rows of the first partitions suffice:
-    a poor sample costs time, not correctness."""
-    return [r[0] for r in docs.select(text_col).limit(rows).collect()]
+    """At most ``rows`` texts of at most ``SAMPLE_BYTES`` each, drawn by a hash of the row's number from all rows,
+    only to order the rules: a poor sample costs time, not correctness."""
+    drawn = docs.select(F.col(text_col).alias("text"), F.xxhash64(F.monotonically_increasing_id()).alias("draw")).filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
+    return [r[0] for r in drawn.orderBy("draw").limit(rows).collect()]
 
 
 def _verdict(m: Measures, order: tuple[Rule, ...]) -> bool:
