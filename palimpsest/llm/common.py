@@ -103,17 +103,18 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str | list[str], n: str, total: int) -> DataFrame:
-    """``rows`` joined with ``table``, which has one row a key and in ``n`` the number of rows that have it.
+def lookup(rows: DataFrame, table: DataFrame, key: str | list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined (``inner`` or ``left``) with ``table``, which has one row a key and in ``n`` the number of rows
+    that have it.
 
     Hot keys, under HOT_SHARE of them, are broadcast, so their rows stay where they are; the others are
     shuffled. ``n`` is dropped. ``rows`` and ``table`` are read twice: both should be written tables."""
     key = [key] if isinstance(key, str) else key
     if total <= HOT_ROWS:  # no key can be hot
-        return rows.join(table.drop(n), key)
+        return rows.join(table.drop(n), key, how)
     hot = F.col(n) > max(HOT_ROWS, total // HOT_SHARE)
     heavy = F.broadcast(table.filter(hot).drop(n))
-    cold = rows.join(heavy.select(*key), key, "left_anti").join(table.filter(~hot).drop(n), key)
+    cold = rows.join(heavy.select(*key), key, "left_anti").join(table.filter(~hot).drop(n), key, how)
     return rows.join(heavy, key).unionByName(cold)
 
 

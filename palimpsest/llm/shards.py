@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import lookup, materialise
 
 SHARDS = 40
 ROUNDS = 6
@@ -51,7 +51,8 @@ def propagate(state: DataFrame, quota: float, shards: int = SHARDS, rounds: int
     A group's core is the fewest of its shards, most of it first, that have room for all of it: one for
     any group but the largest. Members elsewhere move to the core, by its shards' room. A shard whose
     room is under a hundredth of its quota takes nobody, and incoming moves beyond the room are scaled
-    down alike, so quotas hold in every round."""
+    down alike, so quotas hold in every round. An empty table stays empty; rows of one group and shard must be
+    one row, and none may be null."""
     order = W.partitionBy("g").orderBy(F.desc("bytes"), F.xxhash64("g", "shard"), "shard")  # at most one row a shard
     group = W.partitionBy("g")
     for _ in range(rounds):
@@ -113,8 +114,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("bigint") + 16).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("g"))
     rows = materialise(rows.withColumn("rid", F.monotonically_increasing_id()), "rows")
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    groups = rows.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = materialise(rows.join(groups, "g", "left").select("doc_id", "size", "text_crc32", "g", "rid", F.coalesce("n", F.lit(1)).alias("n")), "rows")
+    groups = materialise(rows.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").withColumn("m", F.col("n")), "groups")
+    rows = materialise(lookup(rows, groups, "g", "m", n, "left").select("doc_id", "size", "text_crc32", "g", "rid", F.coalesce("n", F.lit(1)).alias("n")), "rows")
     linked, single = rows.filter("n > 1"), rows.filter("n = 1")
 
     quota = total / shards if n else 1.0
@@ -125,7 +126,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     cuts = cut.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("cuts"))  # at most one a shard
     place = lambda at: F.coalesce(F.get(F.filter("cuts", lambda c: c["upto"] > at), F.lit(0))["shard"], F.element_at("cuts", -1)["shard"])
     columns = ["doc_id", "size", "text_crc32", "g", "rid", "n"]
-    homed = materialise(linked.join(cuts, "g").select(*columns, "cuts"), "homed")
+    cuts = materialise(cuts.join(groups.select("g", "m"), "g"), "cuts")
+    homed = materialise(lookup(linked, cuts, "g", "m", n).select(*columns, "cuts"), "homed")
     whole = homed.filter(F.size("cuts") == 1).select(*columns, place(F.lit(0.0)).alias("shard"))
     split = numbered(homed.filter(F.size("cuts") > 1)).select(*columns, place((F.col("place") + 0.5) / F.col("n")).alias("shard"))
     placed = whole.unionByName(split)
@@ -156,7 +158,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """``place``: each row's number in its group, from counted buckets of bounded size."""
+    """``place``: each row's number in its group, from counted buckets of bounded size. Repeated rows are told
+    apart by ``rid``."""
     buckets = F.ceil(F.col("n") / BUCKET_ROWS)
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("rid"), buckets))
     counts = rows.groupBy("g", "bucket").agg(F.count("*").alias("count"))
@@ -167,7 +170,8 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 
 def slots(rows: DataFrame, n: int) -> DataFrame:
-    """Gapless places in each shard: sub-buckets are counted, then numbered by themselves."""
+    """Gapless places in each shard: sub-buckets are counted, then numbered by themselves. Rows with a null
+    doc_id come first among equal texts; an empty table gives none."""
     subs = max(BUCKETS // SHARDS, -(-n // (SHARDS * BUCKET_ROWS)))
     hot = F.col("n") > BUCKET_ROWS
     key = ["shard", "a", "b", "c"]
