@@ -7,6 +7,8 @@ drives both the Spark expression and, in tests and oracles, the DuckDB one. Blan
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,6 +58,16 @@ def apply(c: Column, rules: Rules) -> Column:
     return c
 
 
+def compiled(rules: Rules) -> list[tuple[re.Pattern, str]]:
+    """The same rules for Python's engine."""
+
+    def pattern(p: str) -> str:
+        p = re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), p)
+        return p.replace(r"\p{Z}", " \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000").replace("[[", r"[\[")
+
+    return [(re.compile(pattern(p)), r) for p, r in rules]
+
+
 def quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 

@@ -148,17 +148,16 @@ def common_substring_arrow(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([common_substring(x or "", y or "") for x, y in zip(a, b)], dtype="int32")
 
 
-_MATH = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), N.MATH[0][0]))
-_SIGNS = re.compile(N.PUNCTUATION[0][0])
+_MATH, _SIGNS = (N.compiled(x)[0][0] for x in (N.MATH, N.PUNCTUATION))
 _WIDTHS = str.maketrans(N.WIDE + N.HALF_KANA, N.NARROW + N.FULL_KANA)
 #: Quotes, dashes and marks become quotes first, and those are signs.
-_QUOTED = re.compile("|".join(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), p) for p, _ in N.SPACES + N.QUOTES))
+_QUOTED = [p for p, _ in N.compiled(N.SPACES + N.QUOTES)]
 
 
 @lru_cache(maxsize=1 << 16)
 def _bare(c: str) -> str:
     """What ``strip_all`` leaves of one character, blanks aside."""
-    if _MATH.match(c) or _QUOTED.match(c):
+    if _MATH.match(c) or any(p.match(c) for p in _QUOTED):
         return ""
     c = c.translate(_WIDTHS)
     gone = c.isspace() or _SIGNS.match(c) or ord(c) > 0xFFFF or unicodedata.category(c) in ("Cc", "Cf", "Co")

@@ -62,9 +62,7 @@ class Run:
 
 def normal(text: str) -> str:
     """Quotes, blanks and widths of a paragraph, as in ``normalize.short_line``."""
-    from ..operators.lines import _python
-
-    for p, r in _python(N.SPACES + N.QUOTES):
+    for p, r in N.compiled(N.SPACES + N.QUOTES):
         text = p.sub(r, text)
     return text.translate(_WIDTHS)
 
@@ -310,11 +308,17 @@ def shaded(content: bytes) -> list[list[str | None]]:
     return out
 
 
+def agreeing(before: bytes, after: bytes, parts: Iterable[tuple[int, int, int, str]]) -> list[bool]:
+    """For each part, whether a written copy still has its text, blanks aside, and shades all of it. Both files
+    are parsed once, whatever the number of parts."""
+    old, new = ([t for t, _ in paragraphs(x)] for x in (before, after))
+    fills = shaded(after)
+    same = lambda k, b, e: "".join(old[k][b : e + 1].split()) == "".join(new[k][b : e + 1].split())
+    return [same(k, b, e) and all(fills[k][b : e + 1]) for k, b, e, _ in parts]
+
+
 def agrees(before: bytes, after: bytes, part: tuple[int, int, int, str]) -> bool:
-    """Whether a written copy still has the part's text, blanks aside, and shades all of it."""
-    k, begin, end, _ = part
-    old, new = ("".join(paragraphs(x)[k][0][begin : end + 1].split()) for x in (before, after))
-    return old == new and all(shaded(after)[k][begin : end + 1])
+    return agreeing(before, after, [part])[0]
 
 
 def copies(files: DataFrame, parts: DataFrame) -> DataFrame:
@@ -330,7 +334,7 @@ def copies(files: DataFrame, parts: DataFrame) -> DataFrame:
                 made, right, error = None, 0, None
                 try:
                     made = highlighted(content, {}, given)
-                    right = sum(agrees(content, made, x) for x in given)
+                    right = sum(agreeing(content, made, given))
                 except Exception as e:  # a file's fault stays with the file
                     error = f"{type(e).__name__}: {e}"
                 yield pa.RecordBatch.from_pydict(

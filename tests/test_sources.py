@@ -61,7 +61,8 @@ def test_texts_pages_and_queue(spark, tmp_path):
     pages = spark.createDataFrame([(1, 2, "b"), (1, 1, "a")], "doc_id int, page_no int, text string")
     assert corpus.read_pages(pages).first()["text"] == "a\nb"
     pages = spark.createDataFrame([(1, 1, "Head.\n1 2\n3 4"), (1, 2, "Tail line.\nMore text.")], "doc_id int, page_no int, text string")
-    by_page = lines.FullSegmenter()("Head.\n1 2\n3 4") + "\n" + lines.FullSegmenter()("Tail line.\nMore text.")
+    alone = lines.segment_full(pages.select("page_no", "text"), "page_no").orderBy("page_no").collect()
+    by_page = "\n".join(r["text"] for r in alone)
     assert corpus.read_pages(pages, segment=True).first()["text"] == by_page
     asked = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "x")], "src string, target string")
     assert corpus.queue(asked).count() == 2
@@ -112,3 +113,25 @@ def test_highlighted_parts_split_runs(spark, tmp_path):
     parts = spark.createDataFrame([(path, *part)], "path string, line_no int, `from` int, `to` int, colour string")
     row = docx.copies(files, parts).first()
     assert (row["n_parts"], row["n_agree"], row["error"]) == (1, 1, None) and bytes(row["content"]) == docx.highlighted(content, {}, [part])
+
+
+def test_from_a_search_to_verified_copies(spark, tmp_path):
+    from palimpsest.operators.highlight import highlighted
+
+    para = lambda *runs: "<w:p>" + "".join(f'<w:r><w:t xml:space="preserve">{r}</w:t></w:r>' for r in runs) + "</w:p>"
+    line, other = "alpha beta gamma delta epsilon zeta", "one two three four five six seven"
+    bodies = {"a": para("Intro here.") + para("") + para(line[:14], line[14:]) + para(other), "b": para("nothing of it at all here"), "c": para(other.replace("seven", "eight"))}
+    for name, body in bodies.items():
+        with zipfile.ZipFile(tmp_path / f"{name}.docx", "w") as z:
+            z.writestr("word/document.xml", f'<w:document xmlns:w="{W}"><w:body>{body}</w:body></w:document>')
+    (tmp_path / "bad.docx").write_bytes(b"no zip")
+    files = corpus.scan(spark, str(tmp_path))
+    src = spark.createDataFrame([(1, line), (2, other)], "src_id int, text string")
+    made = highlighted(src, files, SearchParams(rate=0.6, min_words=3))
+    got = {r["path"].rsplit("/", 1)[1]: r for r in made.copies.collect()}
+    assert {k: (r["n_parts"], r["n_agree"], r["error"]) for k, r in got.items()} == {"a.docx": (2, 2, None), "c.docx": (1, 1, None)}
+    fills = docx.shaded(bytes(got["a.docx"]["content"]))
+    assert fills[0] == [None] * 11 and len(set(fills[2])) == 1 and fills[2][0] and len(fills[2]) == len(line) and all(fills[3])
+    assert docx.shaded(bytes(got["c.docx"]["content"]))[0][0] != fills[3][0]
+    assert {(r["src_id"], r["status"]) for r in made.located.collect()} == {(1, "found"), (2, "found")}
+    made.found.release()
