@@ -8,6 +8,7 @@ drives both the Spark expression and, in tests and oracles, the DuckDB one. Blan
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -101,9 +102,17 @@ PLAIN_FIRST: Rules = CONTROLS + [(r"[\x{A0}\x{C2A0}]", " ")] + QUOTES + FIGURE +
 PLAIN_LAST = PLAIN_BRACKET + PLAIN_NUMBER
 
 
+def _either(c: Column, every: Callable[[Column], Column], printable: Callable[[Column], Column]) -> Column:
+    """``printable`` is what is left of ``every`` for a line of printable ASCII, as most lines are: rules that look
+    for other signs are not run there."""
+    c = F.coalesce(c, F.lit(""))
+    return F.when(c.rlike("[^ -~]"), every(c)).otherwise(printable(c))
+
+
 def line(c: Column) -> Column:
     """The whole chain for one line; null is empty."""
-    return apply(widths(apply(F.coalesce(c, F.lit("")), FIRST)), LAST)
+    ascii_ = lambda x: F.when(F.contains(x, F.lit("SEQ")), apply(x, FIELD_CODE)).otherwise(x)
+    return _either(c, lambda x: apply(widths(apply(x, FIRST)), LAST), lambda x: apply(ascii_(x), FIGURE + COLLAPSE + BRACKET_NUMBER + NUMBER_LINE))
 
 
 def line_sql(expr: str) -> str:
@@ -111,7 +120,7 @@ def line_sql(expr: str) -> str:
 
 
 def plain_line(c: Column) -> Column:
-    return apply(widths(apply(F.coalesce(c, F.lit("")), PLAIN_FIRST)), PLAIN_LAST)
+    return _either(c, lambda x: apply(widths(apply(x, PLAIN_FIRST)), PLAIN_LAST), lambda x: apply(x, FIGURE + COLLAPSE + PLAIN_PERIOD + PLAIN_LAST))
 
 
 def plain_line_sql(expr: str) -> str:
