@@ -402,14 +402,14 @@ def matched(spark: SparkSession, sf_dir: str, params: M.SearchParams = PARAMS) -
     return M.greedy(M.similarity_join(M.eligible(src, params), tgt, params))
 
 
-def _match_sql(src: str = _SRC, doc: str = _DOC, where: str = "", only: str = "") -> str:
+def _match_sql(src: str = _SRC, doc: str = _DOC, where: str = "", only: str = "", params: M.SearchParams = PARAMS) -> str:
     """CTEs up to ``matches``: overlap counts of numbered pieces bound the rate; the rest is scored and assigned.
     ``where`` limits the lines, ``only`` the pairs."""
-    t = PARAMS.rate
-    line = lambda src, key: f"SELECT {key}, line_no, idx, w, len(w) AS n FROM (SELECT {key}, line_no, {T.split_words_sql('text')} AS idx, {T.pieces_sql('text')} AS w, text FROM {src}) WHERE text <> '' AND idx <> ''{where}"
+    t, pieces = params.rate, T.pieces_sql(T.split_words_sql('text') if params.is_jp else 'text')
+    line = lambda src, key: f"SELECT {key}, line_no, idx, w, len(w) AS n FROM (SELECT {key}, line_no, {T.split_words_sql('text')} AS idx, {pieces} AS w, text FROM {src}) WHERE text <> '' AND idx <> ''{where}"
     num = lambda src, key: f"SELECT {key}, line_no, n, p, row_number() OVER (PARTITION BY {key}, line_no, p) AS k FROM (SELECT {key}, line_no, n, unnest(w) AS p FROM {src})"
     fold = "list_reduce(pairs, lambda s, x: CASE WHEN len(list_filter(s, lambda y: y.src_line = x.src_line OR y.tgt_line = x.tgt_line)) > 0 THEN s ELSE list_append(s, x) END, CAST([] AS STRUCT(src_line INT, tgt_line INT, match_words INT, total_words INT, rate DOUBLE)[]))"
-    return f"""sl AS ({line(src, 'src_id')}), el AS (SELECT * FROM sl WHERE len(string_split(idx, ' ')) >= {PARAMS.min_words}), tl AS ({line(doc, 'doc_id')}),
+    return f"""sl AS ({line(src, 'src_id')}), el AS (SELECT * FROM sl WHERE len(string_split(idx, ' ')) >= {params.min_words}), tl AS ({line(doc, 'doc_id')}),
 sn AS ({num('el', 'src_id')}), tn AS ({num('tl', 'doc_id')}),
 ov AS (SELECT src_id, sn.line_no AS src_line, doc_id, tn.line_no AS tgt_line FROM sn JOIN tn USING (p, k)
   WHERE least(sn.n, tn.n) >= {t} * greatest(sn.n, tn.n) - 1e-9 GROUP BY ALL HAVING count(*) >= {t} * greatest(max(sn.n), max(tn.n)) - 1e-9),
@@ -478,6 +478,24 @@ def search_accepting_zero(spark, sf_dir):
     return M.search(bench(spark, sf_dir), table(spark, sf_dir, "documents"), replace(PARAMS, rate=0.0, accept_zero=True))[1]
 
 
+#: The searches of a queue: (language of the documents, settings).
+_ASKED = (("en", M.SearchParams(0.6, 5)), ("de", M.SearchParams(0.4, 3, True)), ("fr", M.SearchParams(1.0, 8)), ("es", PARAMS))
+
+
+def _asked_sql(k: int, lang: str, params: M.SearchParams) -> str:
+    docs = _lines_sql(f"(SELECT doc_id, text FROM documents WHERE lang = '{lang}')", "doc_id", "doc_id")
+    return f"SELECT src_id * {len(_ASKED)} + {k} AS request_id, doc_id, match_count, total, rate FROM (WITH {_match_sql(doc=docs, params=params)} SELECT * FROM ranked)"
+
+
+@query(" UNION ALL ".join(_asked_sql(k, lang, params) for k, (lang, params) in enumerate(_ASKED)))
+def queue_search(spark, sf_dir):
+    """Every item searched in four languages, each time with other settings, in one pass."""
+    asked = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(lang).alias("scope"), F.lit(p.is_jp).alias("is_jp"), F.lit(p.rate).alias("rate"), F.lit(p.min_words).alias("min_words")) for k, (lang, p) in enumerate(_ASKED)])
+    sources = bench(spark, sf_dir)
+    queue = sources.select("src_id", F.inline(asked)).withColumn("request_id", F.col("src_id") * len(_ASKED) + F.col("k"))
+    return M.search_queue(sources, table(spark, sf_dir, "documents").withColumnRenamed("lang", "scope"), queue)[1]
+
+
 _LEVEL = "least(9, greatest(0, ceil((1 - rate) * 10)::INT))"
 
 
