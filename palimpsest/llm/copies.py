@@ -98,19 +98,25 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint, digest bigint, keys array<bigint>, bits array<bigint>")
 
 
-def _sets(docs: DataFrame, who: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, digest, shingles)`` of the texts that ``who(id, digest)`` names: their sorted distinct hashes."""
+def _sent(work: Work, docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``places(id, digest, ...)`` with the ``shingles`` of the text that has this id and name, its sorted distinct
+    hashes: the names go to the texts, and a set is made where its text is, once, and sent to each of its places."""
+    columns = [c for c in places.columns if c not in ("id", "digest")]
+    to = places.groupBy("id", "digest").agg(F.collect_list(F.struct(*columns)).alias("places"))
+    asked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(small(work.table(to, "places")), "id").select("text", "digest", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words = [words_of(t) for t in b.column(2).to_pylist()]
-            same = [digest(w) == d for w, d in zip(words, b.column(1).to_pylist())]
-            made = [np.unique(five_words(shingle_hashes(w))).tobytes() if k else None for w, k in zip(words, same)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], names=["id", "digest", "shingles"]).filter(pa.array(same, pa.bool_()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                b = whole.slice(at, 64)
+                words = [words_of(t) for t in b.column(0).to_pylist()]
+                made = [np.unique(five_words(shingle_hashes(w))).tobytes() if digest(w) == d else None for w, d in zip(words, b.column(1).to_pylist())]
+                sets = pa.array(made, pa.binary()).take(b.column(2).value_parent_indices())
+                out = pa.RecordBatch.from_arrays([*b.column(2).flatten().flatten(), sets], names=[*columns, "shingles"])
+                yield out.filter(sets.is_valid())
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(small(who), "id").select("id", "digest", "text")
-    kind = who.schema["id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"id {kind}, digest bigint, shingles binary").dropDuplicates(["id", "digest"])
+    kinds = ", ".join(f"{c} {places.schema[c].dataType.simpleString()}" for c in columns)
+    return asked.mapInArrow(run, f"{kinds}, shingles binary")
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -218,66 +224,65 @@ def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
-def _centred(work: Work, texts: DataFrame, live: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(u, v)``: texts that are alike to a centre of their fingerprints' group or of one of their buckets."""
+def _centred(work: Work, texts: DataFrame, roots: DataFrame, live: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(u, v)``: texts that are alike to a centre of their fingerprints' group or of one of their buckets.
+    ``roots(digest, root, fp)``: the group of each text's fingerprint."""
     total = texts.count()
-    group = texts.groupBy("root").agg(F.min(F.when(F.col("fp") == F.col("root"), F.col("digest"))).alias("centre"), F.count("*").alias("n")).filter("n > 1")
-    by_fp = lookup(texts.select("root", "digest"), work.table(group, "groups"), "root", "n", total)
+    group = roots.groupBy("root").agg(F.min(F.when(F.col("fp") == F.col("root"), F.col("digest"))).alias("centre"), F.count("*").alias("n")).filter("n > 1")
+    by_fp = lookup(roots.select("root", "digest"), work.table(group, "groups"), "root", "n", total)
     by_band = lookup(texts.select(F.explode("keys").alias("key"), "digest"), live.select("key", F.col("lo").alias("centre"), "n"), "key", "n", BANDS * total)
     pairs = by_fp.select("digest", "centre").unionByName(by_band.select("digest", "centre")).filter("digest <> centre").distinct()
     pairs = work.table(pairs, "pairs")
     size = pairs.groupBy("centre").agg(F.count("*").alias("n"))
     centres = work.table(size.join(texts.select(F.col("digest").alias("centre"), F.col("bits").alias("its")), "centre"), "centres")
-    both = lookup(pairs, centres, "centre", "n", pairs.count()).join(texts.select("digest", "bits"), "digest")
+    both = lookup(pairs, centres, "centre", "n", pairs.count()).join(texts.select("id", "digest", "bits"), "digest")
     differ = F.aggregate(F.zip_with("bits", "its", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = work.table(both.filter(differ <= DIFFER).select("centre", "digest"), "near")
-    who = near.select("digest").unionByName(near.select(F.col("centre").alias("digest"))).distinct()
-    sets = work.table(_sets(docs, texts.select("id", "digest").join(who, "digest", "left_semi").select("id", "digest"), id_col, text_col).select("digest", "shingles"), "sets")
-    parts = near.groupBy("centre").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
-    heads = parts.join(sets.withColumnRenamed("digest", "centre"), "centre").select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("centre").alias("digest"), "shingles")
-    dealt = lookup(near, near.groupBy("centre").agg(F.count("*").alias("n"), F.ceil(F.count("*") / TILE).cast("int").alias("parts")), "centre", "n", near.count())
-    members = dealt.select("centre", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int").alias("salt"), F.lit(1).alias("member"), "digest").join(sets, "digest")
-    rows = heads.unionByName(members.select(*heads.columns)).withColumn("h", F.hash("centre", "salt")).repartition("h").sortWithinPartitions("centre", "salt", "member").drop("h")
-    return rows.mapInArrow(_starred, "u bigint, v bigint")
+    near = work.table(both.filter(differ <= DIFFER).select("centre", "digest", "id"), "near")
+    parts = near.groupBy("centre").agg(F.count("*").alias("n"), F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+    parts = work.table(parts, "parts")
+    heads = parts.join(texts.select("id", F.col("digest").alias("centre")), "centre").select("id", F.col("centre").alias("digest"), "centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("centre").alias("name"))
+    members = lookup(near, parts, "centre", "n", near.count()).select("id", "digest", "centre", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int").alias("salt"), F.lit(1).alias("member"), F.col("digest").alias("name"))
+    rows = _sent(work, docs, heads.unionByName(members), id_col, text_col).withColumn("h", F.hash("centre", "salt"))
+    return rows.repartition("h").sortWithinPartitions("centre", "salt", "member").drop("h").mapInArrow(_starred, "u bigint, v bigint")
 
 
 def _tiled(work: Work, texts: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(u, v)``: links between the components of texts that share a bucket, in ``texts(id, digest, comp, keys, bits)``."""
     live = texts.select(F.explode("keys").alias("key"), "comp").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
     live = work.table(live.select("key", F.ceil(F.col("n") / TILE).cast("int").alias("parts"), "n"), "live")
-    met = lookup(texts.select(F.explode("keys").alias("key"), "digest", "comp", "bits"), live, "key", "n", BANDS * texts.count())
+    met = lookup(texts.select(F.explode("keys").alias("key"), "digest"), live, "key", "n", BANDS * texts.count())
+    met = work.table(met, "met").join(texts.select("id", "digest", "comp", "bits"), "digest")
     tile = F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")
-    met = met.select("key", "digest", "comp", "bits", tile.alias("t"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
+    met = met.select("key", "id", "digest", "comp", "bits", tile.alias("t"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.withColumn("h", F.hash("key", "t1", "t2")).repartition("h").sortWithinPartitions("key", "t1", "t2", "t").drop("h")
 
-    tiles = met.select("key", F.least("t", "o").alias("t1"), F.greatest("t", "o").alias("t2"), "t", "comp", "bits", "digest")
+    tiles = met.select("key", F.least("t", "o").alias("t1"), F.greatest("t", "o").alias("t2"), "t", "comp", "bits", "id", "digest")
     close = work.table(dealt(tiles).mapInArrow(_close, tiles.schema), "close")
-    who = texts.select("id", "digest").join(close.select("digest").distinct(), "digest", "left_semi").select("id", "digest")
-    sets = work.table(_sets(docs, work.table(who, "who"), id_col, text_col).select("digest", "shingles"), "sets")
-    full = close.join(sets, "digest").select("key", "t1", "t2", "t", "comp", "bits", "shingles")
-    return dealt(full).mapInArrow(_linked, "u bigint, v bigint")
+    return dealt(_sent(work, docs, close, id_col, text_col)).mapInArrow(_linked, "u bigint, v bigint")
 
 
 def rooted_copies(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``rows`` of ``sketches`` -> ``(digest, comp, n)``: for each text the component that links of 0.8 make, named
     by one of its texts, and the number of its rows, as a written table."""
     work = Work()
-    first = work.table(rows.groupBy("digest").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.count("*").alias("n")), "first")
+    first = rows.groupBy("digest").agg(F.min(F.struct("id", "fp", "keys", "bits")).alias("x"), F.count("*").alias("n"))
+    every = work.table(first.select("digest", "x.*", "n"), "every")
+    texts = every.filter("size(keys) > 0")
     found = rooted(rows.select("id", "fp"))
     work.tables.append(found)
-    once = rows.filter("size(keys) > 0").join(first.select("digest", "id", "fp"), ["digest", "id", "fp"], "left_semi").dropDuplicates(["digest"])
-    texts = work.table(lookup(work.table(once, "once"), found.select("fp", "root", "n"), "fp", "n", rows.count()), "texts")
+    roots = work.table(lookup(texts.select("digest", "fp"), found.select("fp", "root", "n"), "fp", "n", rows.count()), "roots")
     live = texts.select(F.explode("keys").alias("key"), "digest").groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.count("*").alias("n")).filter("lo < hi").drop("hi")
-    links = work.table(_centred(work, texts, work.table(live, "live"), docs, id_col, text_col), "links")
+    links = work.table(_centred(work, texts, roots, work.table(live, "live"), docs, id_col, text_col), "links")
     stars = components(links)
     work.tables.append(stars)
-    grouped = texts.join(stars.withColumnRenamed("node", "digest"), "digest", "left").select("id", "digest", F.coalesce(stars["root"], "digest").alias("comp"), "keys", "bits")
+    grouped = texts.join(stars.withColumnRenamed("node", "digest"), "digest", "left").select("id", "digest", F.coalesce("root", "digest").alias("comp"), "keys", "bits")
     more = work.table(_tiled(work, work.table(grouped, "grouped"), docs, id_col, text_col), "more")
-    roots = components(links.unionByName(more))
-    work.tables.append(roots)
-    out = materialise(first.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("digest", F.coalesce("root", "digest").alias("comp"), "n"), "components")
+    last = components(links.unionByName(more))
+    work.tables.append(last)
+    out = every.select("digest", "n").join(last.withColumnRenamed("node", "digest"), "digest", "left")
+    out = materialise(out.select("digest", F.coalesce("root", "digest").alias("comp"), "n"), "components")
     work.clear()
     return out
 
