@@ -33,7 +33,7 @@ LOT_WORDS = 1024
 _UNSPOKEN = "\ufdd0"
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Bytes of encoded words that a worker keeps from lot to lot, before it starts anew.
-KNOWN_BYTES = 96 << 20
+KNOWN_BYTES = 160 << 20
 #: What an entry of such a table takes besides its word and ids.
 _ENTRY = 180
 #: Piece types of the model format.
@@ -187,6 +187,14 @@ class Codec:
             table[w] = ids
             self.held += len(w) + len(ids) + _ENTRY
 
+    def _forget(self) -> None:
+        """Words that came first are the common ones: half of them stay."""
+        old, self.known, self.chunks, self.held = self.known, {}, {}, 0
+        for w, ids in old.items():
+            self._keep(self.known, ((w, ids),))
+            if 2 * self.held > KNOWN_BYTES:
+                break
+
     def _whole(self, normal: list[str]) -> list[bytes]:
         return [np.array(x.ids, np.int32).tobytes() for x in self.plain.encode_batch_fast(normal, add_special_tokens=False)]
 
@@ -200,7 +208,7 @@ class Codec:
         plain = [bool(t) and t[0] != " " and "  " not in t and MARK not in t for t in texts]
         split = [t.split(" ") if p else _CHUNK.findall(self.fast.normalizer.normalize_str(t)) if t else [] for t, p in zip(texts, plain)]
         if self.held > KNOWN_BYTES:
-            self.known, self.chunks, self.held = {}, {}, 0
+            self._forget()
         known, chunks = self.known, self.chunks
         self.learn(list(set().union(*(s for s, p in zip(split, plain) if p)).difference(known)))
         fresh = list(set().union(*(s for s, p in zip(split, plain) if not p)).difference(chunks))
@@ -213,12 +221,19 @@ class Codec:
             return self._strung(texts)
         return [np.array(x.ids, np.int32).tobytes() for x in self.fast.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
-        """Ids of each text and whether sentencepiece, on the whole text, has the same; its own if not."""
-        ours = self.ids_of(texts)
+    def coded(self, texts: list[str]) -> tuple[list[bytes], list[list[int]], list[bool]]:
+        """Ids of each text as 32-bit numbers, the same as a list, and whether sentencepiece, on the whole text, has
+        the same; its own if not."""
         theirs = self.check.encode(texts, num_threads=self.threads)
-        same = [a == array("i", b).tobytes() for a, b in zip(ours, theirs)]
-        return [array("i", a).tolist() if ok else b for a, b, ok in zip(ours, theirs, same)], same
+        held = [array("i", b).tobytes() for b in theirs]
+        ours = self.ids_of(texts)
+        same = [a == b for a, b in zip(ours, held)]
+        return [a if ok else b for a, b, ok in zip(ours, held, same)], theirs, same
+
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
+        """Ids of each text and whether both libraries agree on them."""
+        ids, _, same = self.coded(texts)
+        return [np.frombuffer(x, np.int32).tolist() for x in ids], same
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         """By the tokenizers library."""
@@ -274,18 +289,17 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(data, threads)
         for b in batches:
-            counts, flat, same, back, n_bytes = [], array("i"), [], [], []
+            parts, same, back = [], [], []
             for lot in _lots([t or "" for t in b.column(1).to_pylist()]):
-                got, ok = c.encode(lot)
-                back += c.decode(got)
+                ids, lists, ok = c.coded(lot)
+                back += c.decode(lists)
                 same += ok
-                for x in got:
-                    one = array("i", x)
-                    counts.append(len(one))
-                    n_bytes.append(int(c.is_byte[np.frombuffer(one, np.int32)].sum()) if one else 0)
-                    flat.extend(one)
-            offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
-            ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(flat, np.int32)))
+                parts += ids
+            flat = np.frombuffer(b"".join(parts), np.int32)
+            ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) // 4)))
+            upto = np.concatenate(([0], np.cumsum(c.is_byte[flat]))) if len(flat) else np.zeros(1, np.int64)
+            counts, n_bytes = np.diff(ends), np.diff(upto[ends])
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), ids, pa.array(counts, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(back, pa.string()), pa.array(same, pa.bool_())],
                 names=["doc_id", "ids", "n_tokens", "n_byte_tokens", "decoded", "parity"],
