@@ -381,8 +381,3 @@ def segmented(docs: DataFrame, id_col: str, params: SearchParams) -> DataFrame:
 def numbered_lines(docs: DataFrame, id_col: str, segmented: bool = False) -> DataFrame:
     """All lines, empty ones too, with their index form."""
     return with_index(explode(docs, id_col, (rows if segmented else sentences)(F.col("text"))))
-
-
-def ordered(ranked: DataFrame) -> DataFrame:
-    """Best first; equal rates by document."""
-    return ranked.orderBy(F.desc("rate"), "src_id", "doc_id")

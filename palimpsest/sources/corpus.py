@@ -23,11 +23,18 @@ def scan(spark: SparkSession, folder: str, sidecar: str = ".index") -> DataFrame
     return files.filter(wanted(F.col("path"), sidecar)).select("path", "length", "content")
 
 
-def sidecar_texts(spark: SparkSession, folder: str, sidecar: str = ".index") -> DataFrame:
-    """Text sidecars below ``folder``: ``(path, text)``."""
-    files = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True)
-    files = files.select(F.input_file_name().alias("path"), F.col("value").alias("text"))
-    return files.filter(F.contains("path", F.lit(f"/{sidecar}/")) & F.col("path").endswith(".txt"))
+def sidecar_texts(spark: SparkSession, folder: str, sidecar: str = ".index", depth: int = 16) -> DataFrame:
+    """Text sidecars below ``folder``, at most ``depth`` folders down: ``(path, text)``. Spark's listing passes over
+    dot folders, so each level's sidecar folders are named by a pattern; levels without any are left out."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(context._jsc.hadoopConfiguration())
+    levels = [f"{folder.rstrip('/')}{'/*' * k}/{sidecar}" for k in range(depth)]
+    there = [x for x in levels if len(fs.globStatus(path(x)) or ())]
+    if not there:
+        return spark.createDataFrame([], "path string, text string")
+    files = spark.read.option("pathGlobFilter", "*.txt").text(there, wholetext=True)
+    return files.select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:

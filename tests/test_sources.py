@@ -135,3 +135,12 @@ def test_from_a_search_to_verified_copies(spark, tmp_path):
     assert docx.shaded(bytes(got["c.docx"]["content"]))[0][0] != fills[3][0]
     assert {(r["src_id"], r["status"]) for r in made.located.collect()} == {(1, "found"), (2, "found")}
     made.found.release()
+
+
+def test_sidecar_texts(spark, tmp_path):
+    for name, text in (("d/.index/a.txt", "one\ntwo"), ("d/.index/a.idx", "no"), ("d/b.txt", "no"), ("d/e/f/.index/c.txt", "deep"), (".index/top.txt", "top")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    got = corpus.sidecar_texts(spark, str(tmp_path)).collect()
+    assert {r["path"].split(str(tmp_path))[1]: r["text"] for r in got} == {"/d/.index/a.txt": "one\ntwo", "/d/e/f/.index/c.txt": "deep", "/.index/top.txt": "top"}
+    assert corpus.sidecar_texts(spark, str(tmp_path / "d/e/f/.index")).count() == 0
