@@ -234,6 +234,50 @@ def test_license_tables(spark):
 # ---- shards --------------------------------------------------------------------------------
 
 
+def propagated_by_hand(state, quota, n, rounds, unit):
+    """The rounds written down group by group: ``state`` {(group, shard): bytes}."""
+    for _ in range(rounds):
+        loads = [sum(b for (_, s), b in state.items() if s == k) for k in range(n)]
+        room = [max(0.0, quota - x) for x in loads]
+        free = [r if r > quota / 100 else 0.0 for r in room]
+        moves = []
+        for g in {g for g, _ in state}:
+            own = sorted(((b, s) for (h, s), b in state.items() if h == g), key=lambda x: -x[0])
+            total, before, core = sum(b for b, _ in own), 0.0, []
+            for b, s in own:
+                if before < total:
+                    core.append(s)
+                before += free[s] + b
+            pull = sum(free[s] for s in core)
+            moves += [(g, s, to, b * free[to] / pull, free[to] / pull, b * free[to] / pull) for b, s in own if s not in core for to in core if free[to] > 0]
+        asked = [sum(m[3] for m in moves if m[2] == k) for k in range(n)]
+        if not any(asked):
+            return state
+        state = dict(state)
+        for g, s, to, b, pull, _ in moves:
+            share = min(1.0, room[to] / asked[to]) if asked[to] else 0.0
+            part = share if b > quota / 100 or pull < 1 else float(unit[g, s, to] < share)
+            state[g, s] -= b * part
+            state[g, to] = state.get((g, to), 0.0) + b * part
+        state = {k: b for k, b in state.items() if b > 0.5}
+    return state
+
+
+def test_propagation_by_hand(spark):
+    random.seed(21)
+    n = 6
+    state = {(g, s): random.uniform(5, 4_000 if g else 40_000) for g in range(25) for s in random.sample(range(n), random.randrange(1, n + 1))}
+    quota = 1.1 * sum(state.values()) / n
+    names = spark.createDataFrame([(g, s, t) for g in range(25) for s in range(n) for t in range(n)], "g bigint, shard int, `to` int")
+    unit = {(r["g"], r["shard"], r["to"]): r["u"] for r in names.select("*", shards._unit("g", "shard", "to").alias("u")).collect()}
+    table = spark.createDataFrame([(g, s, b) for (g, s), b in state.items()], "g bigint, shard int, bytes double")
+    for rounds in (1, 3):
+        want = propagated_by_hand(state, quota, n, rounds, unit)
+        got = {(r["g"], r["shard"]): r["bytes"] for r in shards.propagate(table, quota, n, rounds).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 * max(1, want[k]) for k in want)
+        assert len(got) < len(state)
+
+
 def check_shards(rows, shards_n=shards.SHARDS):
     at = {}
     for r in rows:
