@@ -34,6 +34,8 @@ BANDS, ROWS = 32, 4
 #: Sketches hold 4 bits of each hash. At 0.8 two of them differ in 51 bits on average, deviation 10.4; at
 #: more than this (five deviations, similarity 0.6 on average) a pair is put aside.
 DIFFER = 103
+#: Places of sets that are sent to the texts by broadcast at most (some 120 bytes each, so about 60 MB).
+PLACES = 500_000
 #: Members of a bucket that one task compares; a larger one is cut into tiles that meet in pairs.
 TILE = 1_024
 
@@ -102,8 +104,10 @@ def _sent(work: Work, docs: DataFrame, places: DataFrame, id_col: str, text_col:
     """``places(id, digest, ...)`` with the ``shingles`` of the text that has this id and name, its sorted distinct
     hashes: the names go to the texts, and a set is made where its text is, once, and sent to each of its places."""
     columns = [c for c in places.columns if c not in ("id", "digest")]
-    to = places.groupBy("id", "digest").agg(F.collect_list(F.struct(*columns)).alias("places"))
-    asked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(small(work.table(to, "places")), "id").select("text", "digest", "places")
+    to = work.table(places.groupBy("id", "digest").agg(F.collect_list(F.struct(*columns)).alias("places")), "places")
+    if (to.agg(F.sum(F.size("places"))).first()[0] or 0) <= PLACES:
+        to = small(to)
+    asked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(to, "id").select("text", "digest", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
