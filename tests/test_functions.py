@@ -153,3 +153,25 @@ def test_runs_of_long_texts_are_linear():
     began = time.time()
     assert S.common_substring(texts[0], texts[0][100:] + texts[1]) == len("".join(texts[0][100:].split()))
     assert S.overlap_offset(texts[0], texts[0][100:] + texts[1]) == 100 and time.time() - began < 20
+
+
+def test_prefix_lcs_by_table_and_of_long_lines(spark):
+    import time
+
+    def table(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(max(row[j] + 1 if x.startswith(y) or y.startswith(x) else 0, row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    random.seed(5)
+    for _ in range(1000):
+        a, b = (["".join(random.choice("ab😀") for _ in range(random.randrange(1, 4))) for _ in range(random.randrange(9))] for _ in range(2))
+        assert S.prefix_lcs_length(a, b) == table(a, b), (a, b)
+    words = [f"w{random.randrange(10**4)}" for _ in range(3000)]
+    df = spark.createDataFrame([(" ".join(words), " ".join(w + "x" for w in words[100:]))], "a string, b string")
+    began = time.time()
+    assert df.select(*S.prefix_lcs(F.col("a"), F.col("b"))).first()[0] >= 2900 and time.time() - began < 20
