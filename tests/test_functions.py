@@ -175,3 +175,17 @@ def test_prefix_lcs_by_table_and_of_long_lines(spark):
     df = spark.createDataFrame([(" ".join(words), " ".join(w + "x" for w in words[100:]))], "a string, b string")
     began = time.time()
     assert df.select(*S.prefix_lcs(F.col("a"), F.col("b"))).first()[0] >= 2900 and time.time() - began < 20
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tokens_and_lines_are_cut_once(spark):
+    from palimpsest.operators import lines as L
+
+    df = spark.createDataFrame([("a b. C d.\r\n\r\ne,",), ("",), (None,), ("x",)], "t string")
+    assert plan(df.select(T.split_words(F.col("t")).alias("x"))).count("regexp_extract_all") == 1
+    assert plan(df.select(F.explode(L.rows(F.col("t"))))).count("split(") == 1
+    assert [r[0] for r in df.select(L.sentences(F.col("t"))).collect()] == [["a b.", "C d.", "", "e,"], [], None, ["x"]]
+    assert [r[0] for r in df.select(T.split_words(F.col("t"))).collect()] == ["a b C d e ", "", None, "x"]
