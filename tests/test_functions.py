@@ -189,3 +189,14 @@ def test_tokens_and_lines_are_cut_once(spark):
     assert plan(df.select(F.explode(L.rows(F.col("t"))))).count("split(") == 1
     assert [r[0] for r in df.select(L.sentences(F.col("t"))).collect()] == [["a b.", "C d.", "", "e,"], [], None, ["x"]]
     assert [r[0] for r in df.select(T.split_words(F.col("t"))).collect()] == ["a b C d e ", "", None, "x"]
+
+
+def test_lines_are_bared_once(spark, sf_dir):
+    from palimpsest.plans import catalogue
+
+    assert plan(catalogue.containment(spark, sf_dir)).count("\\x{25A0}") == 1
+    texts = ["", "a-b (c)", "Größe, À × ÷.", "x∆y ‘q’ Ａ　ﾊ", "\x00z\t\xad‎¶", "é!\n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    whole = N.strip_symbols(N.short_line(N.strip_math(F.col("t"))))
+    for got, want, bare in df.select(N.strip_all(F.col("t")), whole, N.bare(F.col("t"))).collect():
+        assert got == want and bare == "".join(got.split())
