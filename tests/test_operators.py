@@ -317,3 +317,30 @@ def test_pairs_are_made_once(spark):
         got = M.candidates(M.line_table(src, "src_id"), M.line_table(tgt, "doc_id"), M.SearchParams(rate=rate, min_words=1)).collect()
         pairs = [(r["src_id"], r["src_line"], r["doc_id"], r["tgt_line"]) for r in got]
         assert len(pairs) == len(set(pairs)) > 0
+
+
+def test_rough_walk_of_many_blocks_is_quick():
+    """Every pair of blocks as by a plain walk; 10,000 pairs over blocks of 3,000 signs in seconds."""
+    import random
+    import time
+
+    def plain_walk(words, block):
+        pos = hits = 0
+        for i, w in enumerate(words):
+            at = pos + 1 if w == "" else block.find(w, pos) + 1
+            pos, hits = at or pos, hits + (at > 0)
+            if (i == len(words) - 1 or i > rough.WORDS // 2) and hits * 2 < i:
+                return False
+            if len(block) <= pos:
+                return True
+        return True
+
+    random.seed(3)
+    word = lambda: "".join(random.choice("abcd😀") for _ in range(random.randrange(5)))
+    for size, times in ((8, 200), (600, 100)):
+        groups = [[word() for _ in range(random.randrange(1, 21))] for _ in range(100)]
+        blocks = [" ".join(word() for _ in range(random.randrange(size))) + " " for _ in range(times)]
+        began = time.time()
+        got = [rough.passing(groups, b) for b in blocks]
+        assert time.time() - began < 20
+        assert got == [[k for k, g in enumerate(groups) if plain_walk(g, b)] for b in blocks]
