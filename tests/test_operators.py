@@ -344,3 +344,12 @@ def test_rough_walk_of_many_blocks_is_quick():
         got = [rough.passing(groups, b) for b in blocks]
         assert time.time() - began < 20
         assert got == [[k for k, g in enumerate(groups) if plain_walk(g, b)] for b in blocks]
+
+
+def test_rough_search_looks_at_documents_with_pairs_only(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(rough, "rough_lines", lambda s, t, r, f=rough.rough_lines: seen.append(t.select("doc_id").distinct().count()) or f(s, t, r))
+    src = spark.createDataFrame([(1, "one two three four five six")], "src_id long, text string")
+    tgt = spark.createDataFrame([(i, "one two three four five six" if i == 7 else f"x{i} y z one") for i in range(50)], "doc_id long, text string")
+    got = M.search(src, tgt, M.SearchParams(rate=0.6, min_words=2, rough_lines=5))[1].collect()
+    assert [(r["doc_id"], r["match_count"], r["total"]) for r in got] == [(7, 1, 1)] and seen == [1]
