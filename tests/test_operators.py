@@ -353,3 +353,17 @@ def test_rough_search_looks_at_documents_with_pairs_only(spark, monkeypatch):
     tgt = spark.createDataFrame([(i, "one two three four five six" if i == 7 else f"x{i} y z one") for i in range(50)], "doc_id long, text string")
     got = M.search(src, tgt, M.SearchParams(rate=0.6, min_words=2, rough_lines=5))[1].collect()
     assert [(r["doc_id"], r["match_count"], r["total"]) for r in got] == [(7, 1, 1)] and seen == [1]
+
+
+def test_accepted_zero_is_counted_without_scores(spark):
+    random.seed(8)
+    make = lambda: "\n".join(random.choice(["", "1 2", ". .", " ".join(random.choice("abcde") for _ in range(3))]) for _ in range(7))
+    a = spark.createDataFrame([(k, make()) for k in range(6)], "src_id int, text string")
+    b = spark.createDataFrame([(k, make()) for k in range(20)] + [(90, None)], "doc_id int, text string")
+    params = M.SearchParams(rate=0.0, min_words=1, accept_zero=True, exclude_tables=True)
+    matches, ranked = M.search(a, b, params)
+    assert "lcs_arrow" not in ranked._jdf.queryExecution().optimizedPlan().toString()
+    src, tgt = (M.line_table(d, c) for d, c in ((a, "src_id"), (b, "doc_id")))
+    walked = M.greedy(M.similarity_join(M.eligible(src, params), tgt, params)).filter("rate > 0").collect()
+    assert sorted(walked) == sorted(matches.select(walked[0].__fields__).collect())
+    assert sum(r["match_count"] for r in ranked.collect()) == len(walked) > 20
