@@ -367,3 +367,32 @@ def test_accepted_zero_is_counted_without_scores(spark):
     walked = M.greedy(M.similarity_join(M.eligible(src, params), tgt, params)).filter("rate > 0").collect()
     assert sorted(walked) == sorted(matches.select(walked[0].__fields__).collect())
     assert sum(r["match_count"] for r in ranked.collect()) == len(walked) > 20
+
+
+def counted(spark, df):
+    """``df`` and a count of its rows as they are made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(look, df.schema), made
+
+
+def test_documents_are_read_once(spark):
+    """A join reads and cuts each document once; lines that cannot reach the rate are not kept."""
+    random.seed(21)
+    src = spark.createDataFrame([(1, "a b b c\nd e f g h")], "src_id int, text string")
+    texts = [" ".join(random.choice("abcdefghxyz") for _ in range(6)) for _ in range(30)] + ["b  a b c ", "x y z a", "h g f e d", "d e f h"]
+    docs, made = counted(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+    params, kept = M.SearchParams(rate=0.6, min_words=1), M.Kept()
+    a, b = M.line_table(src, "src_id"), M.line_table(docs, "doc_id")
+    got = M.similarity_join(a, b, params, kept=kept).collect()
+    assert {(r["src_line"], r["doc_id"]) for r in got} == naive_pairs(["a b b c", "d e f g h"], texts, 0.6)
+    assert made.value == len(texts)
+    kept.release()
+    _, lines, _ = M.numbered(a, b, list("abcdefgh"), params, kept)
+    assert {r["doc_id"] for r in lines.collect()} == {k for k, t in enumerate(texts) if sum(w in "abcdefgh" for w in t.split()) >= 0.6 * len(t.split())}
+    kept.release()
