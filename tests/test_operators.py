@@ -396,3 +396,14 @@ def test_documents_are_read_once(spark):
     _, lines, _ = M.numbered(a, b, list("abcdefgh"), params, kept)
     assert {r["doc_id"] for r in lines.collect()} == {k for k, t in enumerate(texts) if sum(w in "abcdefgh" for w in t.split()) >= 0.6 * len(t.split())}
     kept.release()
+
+
+def test_queue_cuts_asked_scopes_only(spark):
+    """A queue reads the documents once for each form of lines, and cuts those of scopes asked for in that form."""
+    src = spark.createDataFrame([(1, "a b c d")], "src_id int, text string")
+    rows = [(1, "x", "a b c d"), (2, "y", "a b c e"), (3, "z", "a b c d")]
+    docs, made = counted(spark, spark.createDataFrame(rows, "doc_id int, scope string, text string"))
+    queue = spark.createDataFrame([(10, 1, "x", False, 0.6, 1), (11, 1, "y", True, 0.6, 1)], "request_id int, src_id int, scope string, is_jp boolean, rate double, min_words int")
+    with M.search_queue(src, docs, queue) as found:
+        assert sorted((r["request_id"], r["doc_id"], r["match_words"]) for r in found.matches.collect()) == [(10, 1, 4), (11, 2, 3)]
+        assert made.value <= 2 * len(rows)
