@@ -407,3 +407,12 @@ def test_queue_cuts_asked_scopes_only(spark):
     with M.search_queue(src, docs, queue) as found:
         assert sorted((r["request_id"], r["doc_id"], r["match_words"]) for r in found.matches.collect()) == [(10, 1, 4), (11, 2, 3)]
         assert made.value <= 2 * len(rows)
+
+
+def test_pivot_makes_matches_once(spark):
+    rows = [(1, 0, 5, 0, 4, 4, 1.0), (1, 1, 5, 2, 3, 4, 0.75), (1, 0, 6, 1, 4, 4, 1.0)]
+    matches, made = counted(spark, spark.createDataFrame(rows, "src_id int, src_line int, doc_id int, tgt_line int, match_words int, total_words int, rate double"))
+    total = spark.createDataFrame([(1, 2)], "src_id int, total int")
+    got = R.pivot(matches, M.matched_rank(matches, total)).collect()
+    assert sorted((r["doc_id"], r["l0"], r["l3"], r["total_words"]) for r in got) == [(5, 4, 3, 7), (6, 4, 0, 4)]
+    assert made.value == len(rows)
