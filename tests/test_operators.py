@@ -416,3 +416,16 @@ def test_pivot_makes_matches_once(spark):
     got = R.pivot(matches, M.matched_rank(matches, total)).collect()
     assert sorted((r["doc_id"], r["l0"], r["l3"], r["total_words"]) for r in got) == [(5, 4, 3, 7), (6, 4, 0, 4)]
     assert made.value == len(rows)
+
+
+def test_zero_rows_of_the_ranking_are_not_moved(spark):
+    matches = spark.createDataFrame([(1, 0, 5, 0, 4, 4, 1.0)], "src_id int, src_line int, doc_id int, tgt_line int, match_words int, total_words int, rate double")
+    sources, docs = spark.createDataFrame([(1,), (2,)], "src_id int"), spark.createDataFrame([(5,), (6,)], "doc_id int")
+    total = spark.createDataFrame([(1, 2)], "src_id int, total int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = M.rank(matches, sources, total, docs)
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r["src_id"], r["doc_id"], r["match_count"], r["total"]) for r in out.collect()) == [(1, 5, 1, 2), (1, 6, 0, 2), (2, 5, 0, 0), (2, 6, 0, 0)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
