@@ -2,10 +2,12 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.operators import matching as M
+from palimpsest.sources import index as I
 from palimpsest.sources.index import LineIndex
 
 
@@ -62,3 +64,50 @@ def test_index_knows_its_lines(spark, tmp_path):
         docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
         assert rows(index.search(src, params)) == rows(M.search(src, docs, params))
     assert index.search(src.filter(F.lit(False)), M.SearchParams(segmenter="full")).ranked.count() == 0
+
+
+def test_postings_are_lists(spark, tmp_path):
+    """A frequent word is a few rows, not one for each line, and loses none; ids may hold any sign."""
+    docs = spark.createDataFrame([(f"a:{i} \x1e é", "alpha alpha beta\nalpha word" + str(i) + "\n- -  alpha") for i in range(50)], "doc_id string, text string")
+    index = LineIndex.create(spark, f"file://{tmp_path}/index", kind="string", buckets=2)
+    index.append(docs.repartition(1))
+    got = {tuple(r) for r in index.table("postings").select("w", "doc_id", "tgt_line", "m", "c").collect()}
+    want = M.postings(M.line_table(docs, "doc_id")).select("w", "doc_id", "tgt_line", "m", "c").collect()
+    assert got == {tuple(r) for r in want} and len(want) == len(got) == 300
+    assert index._stored("postings").filter("w = 'alpha'").count() == 2
+
+
+def test_lists_are_bounded(monkeypatch):
+    monkeypatch.setattr(I, "LIST_LINES", 3)
+    monkeypatch.setattr(I, "HANDED_LINES", 5)
+    lines = ["x", " x  y ", "y x x", "x", "x x", "", "x y", "x"]
+    batches = list(I._listed(pa.array(range(8), pa.int32()), pa.array(list("abcdefgh")), pa.array(lines)))
+    got = [tuple(r.values()) for b in batches for r in b.to_pylist()]
+    assert got == [("x", 1, 3, "0:1:a 1:2:b 3:1:d"), ("x", 1, 2, "6:2:g 7:1:h"), ("x", 2, 2, "2:3:c 4:2:e"), ("y", 1, 3, "1:2:b 2:3:c 6:2:g")]
+    assert len(batches) > 1 and not list(I._listed(pa.array([], pa.int32()), pa.array([], pa.string()), pa.array([], pa.string())))
+
+
+def test_shared_pieces_lose_no_pair(spark, tmp_path):
+    """Lines that share one rare piece only are no candidates; all that reach the rate are."""
+    docs = spark.createDataFrame([*enumerate(texts(40, 5))], "doc_id bigint, text string")
+    src = spark.createDataFrame([*enumerate(texts(8, 6))], "src_id bigint, text string")
+    index = LineIndex.create(spark, f"file://{tmp_path}/index", buckets=2)
+    index.append(docs)
+    for params in (M.SearchParams(rate=0.3, min_words=1), M.SearchParams(rate=0.7, min_words=2, separators=True)):
+        assert rows(index.search(src, params)) == rows(M.search(src, docs, params))
+    lines, params = M.line_table(src, "src_id"), M.SearchParams(rate=0.6, min_words=1)
+    where = index.table("postings")
+    seen = where.groupBy("w").agg(F.count("*").alias("df"))
+    one, two = (M.candidate_ids(M.prefixes(lines, seen, params, n), where, params).count() for n in (1, 2))
+    assert two < one
+
+
+def test_known_documents_without_shuffle(spark, tmp_path, monkeypatch):
+    """Documents are added alike whether the known ones are sent around or not."""
+    docs = spark.createDataFrame([*enumerate(texts(12, 7))], "doc_id bigint, text string")
+    for most in (0, 100):
+        monkeypatch.setattr(I, "KNOWN_ROWS", most)
+        index = LineIndex.create(spark, f"file://{tmp_path}/index{most}", buckets=2)
+        assert index.append(docs.filter("doc_id < 5")) and index.append(docs) and index.append(docs) is None
+        assert sorted(r[0] for r in index.table("documents").collect()) == list(range(12))
+        assert index.table("lines").count() == M.line_table(docs, "doc_id").count()
