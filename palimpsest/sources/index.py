@@ -26,7 +26,7 @@ from ..operators import matching as M
 BUCKETS = 64
 #: Lines of one list at most, as a reader holds some thousands of lists; text that a task lists at once, and lines
 #: that it hands over at once.
-LIST_LINES, LISTED_BYTES, HANDED_LINES = 1024, 16 << 20, 1 << 18
+LIST_LINES, LISTED_BYTES, HANDED_LINES = 1024, 6 << 20, 1 << 16
 #: Pieces that a line must share with a source line before its text is read: more of them read more lists.
 SHARED = 2
 #: Known documents up to so many are sent to the new ones; beyond, texts are shuffled.
@@ -56,12 +56,13 @@ def _listed(line: pa.Array, doc: pa.Array, text: pa.Array) -> Iterator[pa.Record
     """Lists of the pieces of these lines, in batches: ``(w, c, n, list)``."""
     cut = pc.split_pattern(text, " ")
     words = cut.flatten()
-    row = np.repeat(np.arange(len(cut)), np.diff(cut.offsets.to_numpy()))
+    row = np.repeat(np.arange(len(cut), dtype="int32"), np.diff(cut.offsets.to_numpy()))
     some = pc.not_equal(words, "")
     row, words = row[some.to_numpy(zero_copy_only=False)], words.filter(some).dictionary_encode()
     entry = pc.binary_join_element_wise(line.cast(pa.string()), pa.array(np.bincount(row, minlength=len(cut))).cast(pa.string()), doc, _PART)
     # A number for each word of a line, in order; equal ones are the word's repetitions in it.
-    held = np.sort(words.indices.to_numpy().astype("int64") * len(cut) + row)
+    held = words.indices.to_numpy().astype("int64") * len(cut) + row
+    held.sort()
     at = np.flatnonzero(np.diff(held, prepend=-1))
     c = np.diff(at, append=len(held))
     w, row = np.divmod(held[at], max(1, len(cut)))
