@@ -407,6 +407,10 @@ def test_rough_lines_come_once_without_a_shuffle(spark, monkeypatch):
         got = [tuple(r) for r in df.select("src_id", "doc_id", "line_no").collect()]
         assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
         assert df._jdf.queryExecution().optimizedPlan().toString().startswith("MapInArrow")
+    texts = spark.createDataFrame([(1, "one. Two"), (2, None), (3, "")], "doc_id long, text string")
+    df = rough.rough_lines(src, texts.select("doc_id", L.sentences(F.col("text")).alias("lines")), 5)
+    cuts = [x._jdf.queryExecution().optimizedPlan().toString().count("([A-Z])") for x in (df, texts.select(L.sentences(F.col("text")).alias("lines")))]
+    assert cuts[0] == cuts[1] > 0 and {r["doc_id"] for r in df.collect()} <= {1}
 
 
 def test_rough_search_looks_at_documents_with_pairs_only(spark, monkeypatch):
